@@ -155,7 +155,7 @@ def contacts(notes: Column) -> Column:
     lead = r"(?i)" + _LEAD + _PERSON + r"\s*(?:at|@|\z)"
 
     def entry(mail: Column) -> Column:
-        before = F.substring_index(notes, mail, 1)
+        before = F.call_function("substring_index", notes, mail, F.lit(1))
         name = F.trim(F.regexp_extract(before, lead, 1))
         return F.struct(mail.alias("email"), F.when(name != "", name).alias("name"))
 

@@ -108,7 +108,7 @@ def studio_slug(url: Column) -> Column:
     """A company's own handle in its careers address: sub-domain, else first telling path segment."""
     labels = F.split(hostname(url), r"\.")
     first = F.get(labels, F.lit(0))
-    segments = F.filter(F.transform(F.split(path(url), "/"), F.trim),
+    segments = F.filter(F.transform(F.split(path(url), "/"), lambda s: F.trim(s)),
                         lambda s: (s != "") & ~F.lower(s).isin(GENERIC_LABELS))
     return F.when(hostname(url) == "", F.lit(None)).when(
         (F.size(labels) > 2) & ~first.isin(GENERIC_LABELS), first).otherwise(F.get(segments, F.lit(0)))
