@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 import traceback
 
@@ -45,6 +46,11 @@ def main(argv):
         if argv and not any(name.startswith(a) for a in argv):
             continue
         t0 = time.time()
+        def stop():
+            spark.sparkContext.cancelAllJobs()
+            con.interrupt()
+        timer = threading.Timer(float(os.environ.get("LIMIT", "60")), stop)
+        timer.start()
         try:
             df = q.run(spark, sf)
             cols = sorted(df.columns)
@@ -85,6 +91,8 @@ def main(argv):
             print(f"ERR   {name}: {type(e).__name__} {str(e)[:1500]}", flush=True)
             if os.environ.get("TRACE"):
                 traceback.print_exc()
+        finally:
+            timer.cancel()
     print("bad:", bad)
     return bad
 

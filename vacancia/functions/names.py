@@ -180,17 +180,22 @@ def same_role_cluster(a: Column, b: Column) -> Column:
     return role_words_match(cluster_role_words(a), cluster_role_words(b))
 
 
-def company_compatible(a: Column, b: Column, aliases: list[list[str]] | None = None) -> Column:
-    """Names that may denote one employer: equal fold or alias, word subset, or initials."""
-    fa, fb = alias_fold(a, aliases), alias_fold(b, aliases)
-    ca, cb = core_tokens(a), core_tokens(b)
-    one_a, one_b = (F.size(ca) == 1), (F.size(cb) == 1)
-    return (fold(a) != "") & (fold(b) != "") & (
-        (fa == fb)
-        | ((F.size(ca) > 0) & (F.size(cb) > 0) & (
-            (F.size(F.array_except(ca, cb)) == 0) | (F.size(F.array_except(cb, ca)) == 0)
-            | (one_a & (F.get(ca, F.lit(0)) == initials(cb)))
-            | (one_b & (F.get(cb, F.lit(0)) == initials(ca))))))
+def guard_columns(prefix: str, company: Column, aliases: list[list[str]] | None = None) -> dict[str, Column]:
+    """Columns that :func:`company_compatible` compares; project them once per side."""
+    return {f"{prefix}_fold": fold(company), f"{prefix}_alias": alias_fold(company, aliases), f"{prefix}_core": core_tokens(company)}
+
+
+def company_compatible(left: str, right: str) -> Column:
+    """Names that may denote one employer: equal fold or alias, word subset, or initials.
+
+    ``left`` and ``right`` are the prefixes given to :func:`guard_columns`.
+    """
+    ca, cb = F.col(f"{left}_core"), F.col(f"{right}_core")
+    worded = (F.size(ca) > 0) & (F.size(cb) > 0)
+    inside = (F.size(F.array_except(ca, cb)) == 0) | (F.size(F.array_except(cb, ca)) == 0)
+    letters = ((F.size(ca) == 1) & (F.get(ca, F.lit(0)) == initials(cb))) | ((F.size(cb) == 1) & (F.get(cb, F.lit(0)) == initials(ca)))
+    known = (F.col(f"{left}_fold") != "") & (F.col(f"{right}_fold") != "")
+    return known & ((F.col(f"{left}_alias") == F.col(f"{right}_alias")) | (worded & (inside | letters)))
 
 
 def alias_fold(c: Column, aliases: list[list[str]] | None = None) -> Column:

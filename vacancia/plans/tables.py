@@ -64,7 +64,7 @@ _APPLICATION = {
     "score": _SCORE, "status": _STATUS, "pdf": "CASE WHEN o_orderstatus = 'O' THEN '✅' ELSE '❌' END",
     "report": "'[' || CAST(o_orderkey AS STRING) || '](' || CASE WHEN o_orderpriority = '5-LOW' THEN '../' ELSE '' END "
               "|| 'reports/' || CAST(o_orderkey AS STRING) || '.md)'",
-    "notes": "'Emailed Ann at ann.' || CAST(c_custkey AS STRING) || '@mail.example.com'",
+    "notes": "'contact: Ann @ ann.' || CAST(c_custkey AS STRING) || '@mail.example.com'",
 }
 _ADDITION = {
     "file_seq": "o_orderkey",
