@@ -125,7 +125,7 @@ _PAIR_SQL = "pr AS (SELECT num, role, replace(role, 'Gameplay', 'Combat') || ' (
   o AS (SELECT num, a, b, list_filter(a, lambda w: list_contains(b, w)) AS s FROM x)
   SELECT num, len(s) >= 2 AND len(list_filter(s, lambda w: NOT list_contains({_BASE}, w))) > 0 AND len(s) >= 0.6 * least(len(a), len(b)) AS same FROM o""")
 def jon10(t):
-    return _role_pairs(t).select("num", names.same_role_merge(C("role"), C("other")).alias("same"))
+    return names.with_same_role(_role_pairs(t), "role", "other", "same").select("num", "same")
 
 
 _CWORDS = "list_filter(regexp_split_to_array(lower(role), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('senior', 'lead', 'engineer'))"
@@ -134,7 +134,7 @@ _CWORDS = "list_filter(regexp_split_to_array(lower(role), '\\s+'), lambda w: len
 @query("jon11_role_match_cluster", f"""WITH {_PAIR_SQL}, x AS (SELECT num, {_CWORDS} AS a, {_CWORDS.replace('role', "replace(other, ' (berlin)', '')")} AS b FROM pr),
   o AS (SELECT num, a, b, list_filter(a, lambda w: list_contains(b, w)) AS s FROM x) SELECT num, len(s) >= 2 AND len(s) >= 0.6 * least(len(a), len(b)) AS same FROM o""")
 def jon11(t):
-    return _role_pairs(t).select("num", names.same_role_cluster(C("role"), C("other")).alias("same"))
+    return names.with_same_role(_role_pairs(t), "role", "other", "same", names.cluster_role_words, None).select("num", "same")
 
 
 @query("jon12_application_report", "SELECT num, archetype, remote FROM application LEFT JOIN report ON path = regexp_extract(application.report, '\\]\\(([^)]+)\\)', 1)")
@@ -184,7 +184,7 @@ def jon15(t):
       CASE WHEN contains(notes, ' @ ') THEN regexp_extract(notes, ' @ ([^|]+) \\|', 1) END AS company, CASE WHEN contains(notes, ' @ ') THEN regexp_extract(notes, '^(.*) @ ', 1) END AS title FROM bi),
     hd AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN '../' ELSE '' END || 'reports/' || o_orderkey || '.md' AS path, CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' THEN 'https://header.example.com/' || o_orderkey END AS u1,
       CASE WHEN o_orderstatus = 'P' THEN CAST(o_custkey AS VARCHAR) END AS bid FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority = '2-HIGH') OR o_orderstatus = 'P'),
-    fin AS (SELECT jb.id, job_url, unnest([report_num, lpad(report_num, greatest(3, length(report_num)), '0')]) AS no FROM st JOIN jb USING (id) WHERE status = 'completed'),
+    fin AS (SELECT jb.id, job_url, unnest([report_num, lpad(report_num, CAST(greatest(3, length(report_num)) AS INTEGER), '0')]) AS no FROM st JOIN jb USING (id) WHERE status = 'completed'),
     f3 AS (SELECT no, arg_max(job_url, id) AS u3 FROM fin GROUP BY no),
     nt AS (SELECT company, title, job_url AS url, id AS lpos FROM jb WHERE company IS NOT NULL),
     j AS (SELECT ap.pos, hd.u1, jb.job_url AS u2, CASE WHEN hd.path IS NOT NULL THEN f3.u3 END AS u3, b4.url AS u4, b5.url AS u5 FROM application ap LEFT JOIN hd ON hd.path = regexp_extract(ap.report, '\\]\\(([^)]+)\\)', 1)
@@ -338,8 +338,8 @@ REGION_CODES = {"africa": "AF", "america": "US", "asia": "AS", "europe": "EU"}
 
 @query("dup03_country_union", r"""WITH p AS (SELECT *, 'https://one.example.com/jobs/' || l_partkey AS u, coalesce(CASE WHEN contains(location, 'AFRICA') THEN 'AF' WHEN contains(location, 'AMERICA') THEN 'US' WHEN contains(location, 'ASIA') THEN 'AS' WHEN contains(location, 'EUROPE') THEN 'EU' END) AS code FROM posting),
   f AS (SELECT u, min(seq) AS first FROM p GROUP BY u), s AS (SELECT p.u, p.code, p.location, p.seq FROM p JOIN f ON p.u = f.u AND p.seq = f.first),
-  x AS (SELECT p.u, p.code, min(p.seq) AS at FROM p JOIN s ON s.u = p.u WHERE p.code IS NOT NULL AND s.code IS NOT NULL AND p.code <> s.code GROUP BY p.u, p.code),
-  l AS (SELECT u, string_agg(CASE code WHEN 'AF' THEN 'Africa' WHEN 'US' THEN 'United States' WHEN 'AS' THEN 'Asia' ELSE 'Europe' END, ' / ' ORDER BY at) AS names FROM x GROUP BY u)
+  x AS (SELECT p.u, p.code, min(p.seq) AS first_at FROM p JOIN s ON s.u = p.u WHERE p.code IS NOT NULL AND s.code IS NOT NULL AND p.code <> s.code GROUP BY p.u, p.code),
+  l AS (SELECT u, string_agg(CASE code WHEN 'AF' THEN 'Africa' WHEN 'US' THEN 'United States' WHEN 'AS' THEN 'Asia' ELSE 'Europe' END, ' / ' ORDER BY first_at) AS names FROM x GROUP BY u)
   SELECT s.u AS url, s.location || coalesce(' / ' || l.names, '') AS location FROM s LEFT JOIN l USING (u)""")
 def dup03(t):
     rows = t.posting.withColumns({"url": F.concat(F.lit("https://one.example.com/jobs/"), C("seq.l_partkey").cast("string")), "applyUrl": F.lit(None).cast("string")})
@@ -377,8 +377,8 @@ def dup06b(t):
 
 @query("dup07_office_merge", f"""WITH p AS (SELECT lower(trim(company)) AS co, {FOLD.format('title')} AS tk, *, CASE WHEN l_suppkey > 0 THEN split_part(location, ',', 2) || CASE WHEN l_quantity > 25 THEN '' ELSE ' East' END END AS loc FROM posting),
   h AS (SELECT co, tk, arg_min(title, seq) AS title, arg_min(loc, seq) AS loc1, count(*) AS n, max(postedDate) AS postedDate FROM p GROUP BY co, tk),
-  o AS (SELECT co, tk, lower(trim(loc)) AS low, arg_min(trim(loc), seq) AS office, min(seq) AS at FROM p WHERE trim(loc) <> '' GROUP BY 1, 2, 3),
-  l AS (SELECT co, tk, string_agg(office, ' / ' ORDER BY at) AS locs FROM o GROUP BY co, tk)
+  o AS (SELECT co, tk, lower(trim(loc)) AS low, arg_min(trim(loc), seq) AS office, min(seq) AS first_at FROM p WHERE trim(loc) <> '' GROUP BY 1, 2, 3),
+  l AS (SELECT co, tk, string_agg(office, ' / ' ORDER BY first_at) AS locs FROM o GROUP BY co, tk)
   SELECT co AS company_key, h.title, h.postedDate AS "postedDate", CASE WHEN n = 1 THEN loc1 ELSE coalesce(locs, '') END AS location FROM h LEFT JOIN l USING (co, tk)""")
 def dup07(t):
     part = F.coalesce(F.get(F.split("location", ","), F.lit(1)), F.lit(""))

@@ -57,7 +57,7 @@ def board_key(c: Column) -> Column:
     """Legal and trade suffixes cut one after the other from the end (dashboard joins)."""
     s = F.trim(_lower(c))
     for suffix in BOARD_SUFFIXES:
-        s = F.when(F.endswith(s, F.lit(suffix)), F.substring(s, F.lit(1), F.length(s) - len(suffix))).otherwise(s)
+        s = F.regexp_replace(s, suffix.replace(".", r"\.") + r"\z", "")
     return F.trim(s)
 
 
@@ -172,12 +172,11 @@ def role_words_match(a: Column, b: Column, baseline: list[str] | None = None) ->
     return hit
 
 
-def same_role_merge(a: Column, b: Column) -> Column:
-    return role_words_match(merge_role_words(a), merge_role_words(b), BASELINE)
-
-
-def same_role_cluster(a: Column, b: Column) -> Column:
-    return role_words_match(cluster_role_words(a), cluster_role_words(b))
+def with_same_role(df, left: str, right: str, out: str, words=merge_role_words, baseline: list[str] | None = BASELINE):
+    """Add ``out``: do two role columns denote one role? Words are projected once before they are compared."""
+    cols = df.columns
+    split = df.withColumns({"_left": words(F.col(left)), "_right": words(F.col(right))})
+    return split.select(*cols, role_words_match(F.col("_left"), F.col("_right"), baseline).alias(out))
 
 
 def guard_columns(prefix: str, company: Column, aliases: list[list[str]] | None = None) -> dict[str, Column]:
@@ -201,13 +200,15 @@ def company_compatible(left: str, right: str) -> Column:
 def alias_fold(c: Column, aliases: list[list[str]] | None = None) -> Column:
     """Folded name mapped to the first name of its alias group."""
     import re
-    out = fold(c)
+    table: dict[str, str] = {}
     for group in aliases or []:
-        names = [re.sub(r"[\W_]+", " ", n.lower()).strip() for n in group]
-        names = [n for n in names if n]
-        if len(names) > 1:
-            out = F.when(out.isin(names[1:]), F.lit(names[0])).otherwise(out)
-    return out
+        names = [n for n in (re.sub(r"[\W_]+", " ", g.lower()).strip() for g in group) if n]
+        for name in names:
+            table[name] = names[0]
+    if not table:
+        return fold(c)
+    mapped = F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), fold(c))
+    return F.coalesce(mapped, fold(c))
 
 
 def city_compatible(a: Column, b: Column) -> Column:

@@ -73,6 +73,11 @@ def match_span(text: Column, key: object) -> Column:
     return F.when(at > 0, F.struct((at - 1).alias("start"), (at - 1 + size).alias("end")))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False)) if conditions else F.lit(False)
 

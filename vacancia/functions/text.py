@@ -5,7 +5,7 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-from .patterns import SPACE, WORD_EDGE
+from .patterns import SPACE, WORD_EDGE, let
 
 
 def _accents() -> tuple[str, str]:
@@ -38,11 +38,14 @@ def _code_point(n: Column) -> Column:
 
 def _decode_numbers(c: Column, pattern: str, number) -> Column:
     """Replace each numeric reference by its character: text pieces interleaved with decoded marks."""
-    pieces = F.split(c, pattern.replace("(", "(?:"))
-    marks = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda d: _code_point(number(d)))
-    joined = F.array_join(
-        F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.get(marks, i - 1)).otherwise(F.lit("")), p)), "")
-    return F.when(F.rlike(c, F.lit(pattern)), joined).otherwise(c)
+    def decoded(t: Column) -> Column:
+        pieces = F.split(t, pattern.replace("(", "(?:"))
+        marks = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda d: _code_point(number(d)))
+        joined = F.array_join(
+            F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.get(marks, i - 1)).otherwise(F.lit("")), p)), "")
+        return F.when(F.rlike(t, F.lit(pattern)), joined).otherwise(t)
+
+    return let(c, decoded)
 
 
 def decode_entities(c: Column) -> Column:

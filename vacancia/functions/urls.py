@@ -1,9 +1,11 @@
 """URL parts as ECMAScript's URL parser reports them, from expressions that never leave the JVM."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from .patterns import any_of
+from .patterns import let
 
 _URL = r"(?i)^\s*([a-z][a-z0-9+.\-]*)://(?:[^/?#@\s]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\s<>\[\]\\^|%]+)(?::\d*)?(?=[/?#\s]|\z)"
 # Second-level labels that sit under a country code.
@@ -58,15 +60,18 @@ def is_web(url: Column) -> Column:
 
 def on_hosts(host_col: Column, hosts: list[str]) -> Column:
     """True when the host is one of ``hosts`` or below one of them."""
-    return any_of([(host_col == h) | F.endswith(host_col, F.lit("." + h)) for h in map(str.lower, hosts)])
+    listed = "|".join(re.escape(h.lower()) for h in hosts)
+    return F.rlike(host_col, F.lit(rf"(^|\.)({listed})$")) if hosts else F.lit(False)
 
 
 def registrable_domain(host_col: Column) -> Column:
-    labels = F.split(host_col, r"\.")
-    n = F.size(labels)
-    tail2 = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
-    tail3 = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), 3), ".")
-    return F.when(n <= 2, host_col).when(F.rlike(tail2, F.lit(_TWO_LEVEL)), tail3).otherwise(tail2)
+    def cut(labels: Column) -> Column:
+        n = F.size(labels)
+        tail2 = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
+        tail3 = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), 3), ".")
+        return F.when(n <= 2, F.array_join(labels, ".")).when(F.rlike(tail2, F.lit(_TWO_LEVEL)), tail3).otherwise(tail2)
+
+    return let(F.split(host_col, r"\."), cut)
 
 
 def last_two_labels(value: Column) -> Column:
@@ -135,7 +140,6 @@ def guard_status(code: Column) -> Column:
 
 def posting_url(template: str, values: dict[str, Column]) -> Column:
     """Fill ``{name}`` tokens of a url template; values are percent-encoded."""
-    import re
     parts: list[Column] = []
     for literal, token in re.findall(r"([^{}]*)(?:\{(\w+)\})?", template):
         if literal:

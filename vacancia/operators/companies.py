@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names, urls
-from ..functions.patterns import java_pattern
+from ..functions.patterns import java_pattern, let
 from . import classify, predicates
 
 # --- links and hosts ----------------------------------------------------------------------------
@@ -55,28 +55,33 @@ def _on(host: Column, suffix: str) -> Column:
 
 def link_identity(url: Column, table=BOARD_LINKS) -> Column:
     """struct(provider, slug, careers_url) of a hosted job link; NULL when no pattern claims it."""
-    host, segment = urls.hostname(url), F.regexp_extract(urls.path(url), r"^/([^/]+)", 1)
-    none = F.lit(None).cast("struct<provider:string,slug:string,careers_url:string>")
-    out = none
-    for provider, suffix, where in reversed(table):
-        if where == "sub":
-            slug = F.split_part(host, F.lit("."), F.lit(1))
-            page, fits = F.concat(F.lit("https://"), host), F.endswith(host, F.lit("." + suffix)) & (slug != "www")
-        else:
-            slug, fits = segment, (host == suffix) & (segment != "")
-            page = F.concat(F.lit(f"https://{suffix}/"), segment)
-        out = F.when(fits, F.struct(F.lit(provider).alias("provider"), slug.alias("slug"), page.alias("careers_url"))).otherwise(out)
-    return out
+    def identify(at: Column) -> Column:
+        host, segment = at["host"], at["segment"]
+        out = F.lit(None).cast("struct<provider:string,slug:string,careers_url:string>")
+        for provider, suffix, where in reversed(table):
+            if where == "sub":
+                slug = F.split_part(host, F.lit("."), F.lit(1))
+                page, fits = F.concat(F.lit("https://"), host), F.endswith(host, F.lit("." + suffix)) & (slug != "www")
+            else:
+                slug, fits = segment, (host == suffix) & (segment != "")
+                page = F.concat(F.lit(f"https://{suffix}/"), segment)
+            out = F.when(fits, F.struct(F.lit(provider).alias("provider"), slug.alias("slug"), page.alias("careers_url"))).otherwise(out)
+        return out
+
+    return let(F.struct(urls.hostname(url).alias("host"),
+                        F.regexp_extract(urls.path(url), r"^/([^/]+)", 1).alias("segment")), identify)
 
 
 def route_provider(provider: Column, parser: Column, url: Column, known: list[str], table=BOARD_LINKS) -> Column:
     """struct(provider, error): explicit entry, then a parser, then the first link pattern in order."""
+    def first_pattern(host: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for name, suffix, _ in reversed(table):
+            found = F.when(_on(host, suffix), F.lit(name)).otherwise(found)
+        return found
+
     given = F.coalesce(provider, F.lit("")) != ""
-    host = urls.hostname(url)
-    found = F.lit(None).cast("string")
-    for name, suffix, _ in reversed(table):
-        found = F.when(_on(host, suffix), F.lit(name)).otherwise(found)
-    routed = F.when(F.coalesce(parser, F.lit("")) != "", F.lit("local-parser")).otherwise(found)
+    routed = F.when(F.coalesce(parser, F.lit("")) != "", F.lit("local-parser")).otherwise(let(urls.hostname(url), first_pattern))
     return F.struct(
         F.when(given, F.when(provider.isin(known), provider)).otherwise(routed).alias("provider"),
         F.when(given & ~provider.isin(known), F.concat(F.lit("unknown provider: "), provider)).alias("error"))
@@ -84,15 +89,21 @@ def route_provider(provider: Column, parser: Column, url: Column, known: list[st
 
 def host_class(url: Column) -> Column:
     """struct(class, label): aggregator, known platform, own site, or no readable host."""
-    host = urls.host(url)
-    platform = F.lit(None).cast("string")
-    for label, suffixes in reversed(PLATFORM_HOSTS.items()):
-        platform = F.when(urls.on_hosts(host, suffixes), F.lit(label)).otherwise(platform)
-    board = urls.on_hosts(host, JOB_BOARDS) | F.rlike(host, F.lit(r"(^|\.)glassdoor\."))
-    kind = (F.when(host == "", "custom").when(board, "aggregator").when(platform.isNotNull(), "platform").otherwise("custom"))
-    label = (F.when(host == "", F.lit("(unparseable)")).when(kind == "platform", platform)
-             .otherwise(urls.registrable_domain(host)))
-    return F.struct(kind.alias("class"), label.alias("label"))
+    def classed(host: Column) -> Column:
+        platform = F.lit(None).cast("string")
+        for label, suffixes in reversed(PLATFORM_HOSTS.items()):
+            platform = F.when(urls.on_hosts(host, suffixes), F.lit(label)).otherwise(platform)
+        board = urls.on_hosts(host, JOB_BOARDS) | F.rlike(host, F.lit(r"(^|\.)glassdoor\."))
+
+        def row(kind: str, label: Column) -> Column:
+            return F.struct(F.lit(kind).alias("class"), label.alias("label"))
+
+        return (F.when(host == "", row("custom", F.lit("(unparseable)")))
+                .when(board, row("aggregator", urls.registrable_domain(host)))
+                .otherwise(let(platform, lambda p: F.when(p.isNotNull(), row("platform", p)).otherwise(
+                    row("custom", urls.registrable_domain(host))))))
+
+    return let(urls.host(url), classed)
 
 
 def unknown_hosts(links: DataFrame) -> DataFrame:

@@ -92,55 +92,64 @@ def _apply_link(df: DataFrame) -> Column:
     return urls.link_key(F.when(apply_url != "", apply_url).otherwise(F.col("url")))
 
 
+def _own_key(key: Column) -> Column:
+    """Group key with rows that have none kept apart by their place in the order."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.to_json(F.struct("seq"))))
+
+
 def collapse_links(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT,
                    codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
     """Rows that lead to one application link become one; countries of the dropped ones are kept.
 
     A direct row is preferred as survivor, then the first found. Countries are appended only when the
-    survivor's own country is known.
+    survivor's own country is known. Rows combine per link and country first, so a link lists each of
+    its countries once.
     """
     c = F.col
-    keyed = postings.withColumns({"_link": _apply_link(postings),
-                                  "_agg": on_aggregator(c("url"), aggregators, last_resort)})
-    linked = keyed.filter(c("_link").isNotNull())
-    winners = first_per_key(linked, ["_link"], F.struct("_agg", "seq"))
-    named = (linked.withColumn("_codes", classify.countries_named(c("location"), codes))
-             .filter(F.size("_codes") > 0).select("_link", "seq", F.posexplode("_codes").alias("_pos", "_code"))
-             .groupBy("_link", "_code").agg(F.min(F.struct("seq", "_pos")).alias("_at"))
-             .groupBy("_link").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_code"))),
-                                               lambda x: x["_code"]).alias("_all")))
+    row = F.struct(*postings.columns)
+    keyed = postings.withColumns({
+        "_link": _own_key(_apply_link(postings)), "_row": row,
+        "_rank": F.struct(on_aggregator(c("url"), aggregators, last_resort).alias("agg"), c("seq")),
+        "_codes": classify.countries_named(c("location"), codes)})
+    survivor = F.struct("_row", "_codes")
+    merged = (keyed.select("_link", "_row", "_rank", "_codes", F.posexplode_outer("_codes").alias("_pos", "_code"))
+              .groupBy("_link", "_code").agg(
+                  F.min_by(survivor, "_rank").alias("_best"), F.min("_rank").alias("_rank"),
+                  F.min(F.struct(c("_row.seq").alias("seq"), "_pos")).alias("_at"))
+              .groupBy("_link").agg(
+                  F.min_by("_best", "_rank").alias("_best"),
+                  F.array_sort(F.collect_list(F.when(c("_code").isNotNull(), F.struct("_at", "_code")))).alias("_all")))
     shown = F.create_map(*[F.lit(x) for pair in classify.display_names(codes).items() for x in pair])
-    own = classify.countries_named(c("location"), codes)
-    extra = F.array_except(c("_all"), own)
-    location = F.when((F.size(own) > 0) & (F.size(extra) > 0), F.concat(
+    named = merged.select("_best._row.*", c("_best._codes").alias("_own"), F.transform("_all", lambda x: x["_code"]).alias("_all"))
+    extra = F.array_except("_all", "_own")
+    location = F.when((F.size("_own") > 0) & (F.size(extra) > 0), F.concat(
         c("location"), F.lit(" / "), F.array_join(F.transform(extra, lambda x: F.try_element_at(shown, x)), " / ")
     )).otherwise(c("location"))
-    kept = winners.join(named, "_link", "left").withColumn("location", location)
-    return kept.select(*postings.columns).unionByName(keyed.filter(c("_link").isNull()).select(*postings.columns))
+    return named.withColumn("location", location).select(*postings.columns)
 
 
 def collapse_ids(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None) -> DataFrame:
     """Direct rows of one employer with one requisition number: the first stays."""
     c = F.col
-    keyed = postings.withColumns({
-        "_id": F.when(~on_aggregator(c("url"), aggregators, last_resort), urls.posting_id(c("url"))),
-        "_co": names.alias_fold(c("company"), aliases)})
-    first = first_per_key(keyed.filter(c("_id").isNotNull()), ["_co", "_id"], c("seq"))
-    return first.unionByName(keyed.filter(c("_id").isNull())).select(*postings.columns)
+    number = F.when(~on_aggregator(c("url"), aggregators, last_resort), urls.posting_id(c("url")))
+    keyed = postings.withColumns({"_id": _own_key(number), "_co": names.alias_fold(c("company"), aliases)})
+    return first_per_key(keyed, ["_co", "_id"], c("seq")).select(*postings.columns)
+
 
+SHAPE = ["title_key", "company_key", "city"]
 
-def _shapes(df: DataFrame, aliases) -> DataFrame:
-    """Distinct (title, employer, city) of a frame with everything the employer guard compares."""
+
+def _tagged(postings: DataFrame, aggregators, last_resort, aliases) -> DataFrame:
     c = F.col
-    core = names.core_tokens(c("company"))
-    return (df.select(fold(c("title")).alias("title_key"), fold(c("company")).alias("company_key"),
-                      first_segment_fold(c("location")).alias("city"),
-                      names.alias_fold(c("company"), aliases).alias("alias"), core.alias("core"))
-            .filter(c("company_key") != "").distinct())
+    host = urls.host(c("url"))
+    return postings.withColumn("_host", host).withColumns({
+        "_last": urls.on_hosts(c("_host"), list(last_resort)), "_agg": urls.on_hosts(c("_host"), [*aggregators, *last_resort]),
+        "title_key": fold(c("title")), "company_key": fold(c("company")), "city": first_segment_fold(c("location")),
+        "alias": names.alias_fold(c("company"), aliases)})
 
 
-def covered_shapes(mirrors: DataFrame, sources: DataFrame, aliases=None) -> DataFrame:
-    """Shapes of ``mirrors`` that some row of ``sources`` covers: same title, fitting employer and city.
+def covered_shapes(mirrors: DataFrame, sources: DataFrame) -> DataFrame:
+    """Shapes of ``mirrors`` that some shape of ``sources`` covers: same title, fitting employer and city.
 
     Each way to fit is an equi key (same fold, one word set inside the other by its longest word,
     initials), and a blank city meets any city through a wild key, so that no title group is ever
@@ -163,11 +172,9 @@ def covered_shapes(mirrors: DataFrame, sources: DataFrame, aliases=None) -> Data
             F.when(single.isNotNull(), F.array(key(word, single))).otherwise(none))).otherwise(none)
         return F.concat(F.array(key("fold", c("alias"))), by_core)
 
-    probes = (_shapes(mirrors, aliases)
-              .withColumn("k", F.explode(keys("inside", "around", "word", "letters")))
+    probes = (mirrors.withColumn("k", F.explode(keys("inside", "around", "word", "letters")))
               .withColumn("at", F.explode(F.when(c("city") == "", F.array(F.lit("*"))).otherwise(F.array(c("city"), F.lit(""))))))
-    targets = (_shapes(sources, aliases)
-               .withColumn("k", F.explode(keys("around", "inside", "letters", "word")))
+    targets = (sources.withColumn("k", F.explode(keys("around", "inside", "letters", "word")))
                .withColumn("at", F.explode(F.array(c("city"), F.lit("*"))))
                .select("title_key", "k", "at", "core").distinct())
     m, s = probes.alias("m"), targets.alias("s")
@@ -175,22 +182,27 @@ def covered_shapes(mirrors: DataFrame, sources: DataFrame, aliases=None) -> Data
             .when(c("m.k.kind") == "around", F.size(F.array_except("s.core", "m.core")) == 0).otherwise(F.lit(True)))
     same = ((c("m.title_key") == c("s.title_key")) & (c("m.k.kind") == c("s.k.kind"))
             & (c("m.k.key") == c("s.k.key")) & (c("m.at") == c("s.at")))
-    return m.join(s, same & fits, "left_semi").select("title_key", "company_key", "city").distinct()
+    return m.join(s, same & fits, "left_semi").select(*SHAPE).distinct()
 
 
 def mark_mirrors(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None) -> DataFrame:
     """Add ``mirror_tier``: 1 when a direct row covers an aggregator row, 2 when a better aggregator
-    covers a last-resort row, NULL when the row stays."""
+    covers a last-resort row, NULL when the row stays.
+
+    Rows are reduced to distinct (title, employer, city) shapes, which are written once and compared;
+    postings are read twice, for the shapes and for the marks.
+    """
     c = F.col
-    tagged = postings.withColumns({
-        "_agg": on_aggregator(c("url"), aggregators, last_resort), "_last": on_last_resort(c("url"), last_resort),
-        "title_key": fold(c("title")), "company_key": fold(c("company")), "city": first_segment_fold(c("location"))})
-    boards = tagged.filter("_agg")
-    tier1 = covered_shapes(boards, tagged.filter(~c("_agg")), aliases).withColumn("_t1", F.lit(1))
-    tier2 = covered_shapes(tagged.filter("_last"), boards.filter(~c("_last")), aliases).withColumn("_t2", F.lit(2))
-    shape = ["title_key", "company_key", "city"]
-    marked = tagged.join(tier1, shape, "left").join(tier2, shape, "left")
-    tier = F.when(c("_agg") & c("_t1").isNotNull(), 1).when(c("_last") & c("_t2").isNotNull(), 2)
+    tagged = _tagged(postings, aggregators, last_resort, aliases)
+    shapes = cut_lineage(tagged.filter(c("company_key") != "").groupBy(*SHAPE, "alias").agg(
+        F.bool_or(~c("_agg")).alias("direct"), F.bool_or(c("_agg") & ~c("_last")).alias("normal"),
+        F.bool_or("_agg").alias("board"), F.bool_or("_last").alias("last"))
+        .withColumn("core", names.core_tokens(c("company_key"))))
+    tier1 = covered_shapes(shapes.filter("board"), shapes.filter("direct")).withColumn("_t1", F.lit(True))
+    tier2 = covered_shapes(shapes.filter("last"), shapes.filter("normal")).withColumn("_t2", F.lit(True))
+    found = cut_lineage(tier1.join(tier2, SHAPE, "full_outer"))
+    marked = tagged.join(found, SHAPE, "left")
+    tier = F.when(c("_agg") & c("_t1"), 1).when(c("_last") & c("_t2"), 2)
     return marked.select(*postings.columns, tier.alias("mirror_tier"))
 
 
@@ -200,24 +212,23 @@ def drop_mirrors(postings: DataFrame, **config) -> DataFrame:
 
 def dedupe_snapshot(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None,
                     codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
-    """Links, then requisition numbers, then mirrors."""
+    """Links, then requisition numbers, then mirrors. The rows left by the first two passes are written
+    once, since the mirror pass reads them twice."""
     hosts = {"aggregators": aggregators, "last_resort": last_resort}
-    return (postings.transform(lambda d: collapse_links(d, codes=codes, **hosts))
-            .transform(lambda d: collapse_ids(d, aliases=aliases, **hosts))
-            .transform(lambda d: drop_mirrors(d, aliases=aliases, **hosts)))
+    linked = collapse_links(postings, codes=codes, **hosts)
+    return drop_mirrors(cut_lineage(collapse_ids(linked, aliases=aliases, **hosts)), aliases=aliases, **hosts)
 
 
 def dedupe_counts(postings: DataFrame, **hosts) -> DataFrame:
     """One row with the rows each pass removed."""
-    stage0 = collapse_links(postings, **hosts)
-    stage1 = collapse_ids(stage0, **hosts)
-    stage2 = drop_mirrors(stage1, **hosts)
-    stages = [postings, stage0, stage1, stage2]
-    tall = reduce(lambda a, b: a.unionByName(b),
-                  [d.agg(F.count("*").alias("n")).withColumn("stage", F.lit(i)) for i, d in enumerate(stages)])
-    n = [F.sum(F.when(F.col("stage") == i, F.col("n")).otherwise(0)) for i in range(4)]
-    return tall.agg((n[0] - n[1]).alias("by_link"), (n[1] - n[2]).alias("by_id"), (n[2] - n[3]).alias("by_title"),
-                    n[3].alias("kept"))
+    stage0 = cut_lineage(collapse_links(postings, **hosts))
+    stage1 = cut_lineage(collapse_ids(stage0, **hosts))
+    counted = [postings.agg(F.count("*").alias("n0")), stage0.agg(F.count("*").alias("n1")),
+               mark_mirrors(stage1, **hosts).agg(F.count("*").alias("n2"), F.count("mirror_tier").alias("by_title"))]
+    one = reduce(lambda a, b: a.join(F.broadcast(b)), counted)  # one row each
+    c = F.col
+    return one.select((c("n0") - c("n1")).alias("by_link"), (c("n1") - c("n2")).alias("by_id"), "by_title",
+                      (c("n2") - c("by_title")).alias("kept"))
 
 
 # --- history ------------------------------------------------------------------------------------

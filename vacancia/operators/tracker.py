@@ -290,16 +290,15 @@ def best_role_url(apps: DataFrame, listed: DataFrame) -> DataFrame:
     first = rows.groupBy("co").agg(F.min_by("url", "lpos").alias("url"))
     titles = rows.groupBy("co", "title").agg(F.min(F.struct("lpos", "url")).alias("at"))
     wanted = apps.select("pos", names.board_key(c("company")).alias("co"), _role_words(c("role")).alias("words"))
-    shapes = wanted.select("co", "words").distinct()
+    shapes = wanted.select("co", "words").distinct().join(first.select("co"), "co", "left_semi")
     counted = (shapes.select("co", "words", F.explode("words").alias("w"))
                .groupBy("co", "words", "w").agg(F.count("*").alias("times")))
-    vocab = counted.select("co", "w").distinct()
-    lengths = vocab.groupBy("co").agg(F.collect_set(F.length("w")).alias("ns"))
-    grams = (titles.join(lengths, "co").select("co", "title", "at", F.explode("ns").alias("n"))
-             .filter(F.length("title") >= c("n"))
-             .select("co", "title", "at", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length("title") - c("n") + 1), lambda i: F.substring(c("title"), i, c("n"))))).alias("w")))
-    scored = (grams.join(vocab, ["co", "w"], "left_semi").join(counted, ["co", "w"])
+    lengths = counted.groupBy("co").agg(F.collect_set(F.length("w")).alias("ns"))
+    pieces = F.flatten(F.transform(c("ns"), lambda n: F.transform(
+        F.when(F.length("title") >= n, F.sequence(F.lit(1), F.length("title") - n + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.substring(c("title"), i, n))))
+    grams = titles.join(lengths, "co").select("co", "at", F.explode(F.array_distinct(pieces)).alias("w"))
+    scored = (grams.join(counted, ["co", "w"])
               .groupBy("co", "words", "at").agg(F.sum("times").alias("hits"))
               .groupBy("co", "words").agg(F.min_by("at.url", F.struct((-c("hits")).alias("h"), c("at.lpos"))).alias("best")))
     return (wanted.join(first, "co").join(scored, ["co", "words"], "left")
