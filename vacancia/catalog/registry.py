@@ -40,7 +40,8 @@ def query(name: str, sql: str | None = None):
 
 def plain_types(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint and decimals as double, as the comparison expects."""
-    wide = {T.ByteType(): "bigint", T.ShortType(): "bigint", T.IntegerType(): "bigint", T.FloatType(): "double"}
+    wide = {T.ByteType(): "bigint", T.ShortType(): "bigint", T.IntegerType(): "bigint", T.FloatType(): "double",
+            T.TimestampNTZType(): "timestamp"}
     casts = []
     for f in df.schema.fields:
         to = "double" if isinstance(f.dataType, T.DecimalType) else wide.get(f.dataType)

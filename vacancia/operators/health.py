@@ -80,7 +80,7 @@ def current_streaks(outcomes: DataFrame) -> DataFrame:
 
 
 def longest_streaks(streaks: DataFrame, top: int = 10) -> DataFrame:
-    return streaks.orderBy(F.desc("fails"), "company").limit(top)
+    return streaks.orderBy(F.desc("fails"), "company", "since").limit(top)
 
 
 # --- feed audit ---------------------------------------------------------------------------------
