@@ -50,16 +50,16 @@ def day(x, fmt="yyyy-MM-dd"):
 def src01(t):
     body = payload(t, lambda x: F.struct(
         x["p_name"].alias("title"), F.concat(F.lit("https://boards.greenhouse.io/x/jobs/"), key(x)).alias("absolute_url"), F.struct(x["p_type"].alias("name")).alias("location"),
-        F.when(x["l_quantity"] > 25, day(x)).alias("first_published"), F.unix_millis(x["l_shipdate"].cast("timestamp")).cast("string").alias("updated_at"),
+        F.when(x["l_quantity"] > 25, day(x)).alias("first_published"), day(x, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
         F.concat(F.lit("&lt;p&gt;Make a &lt;b&gt;"), x["p_name"], F.lit("&lt;/b&gt; &amp;amp; more&lt;/p&gt;")).alias("content")),
         lambda rows: F.to_json(F.struct(rows.alias("jobs"))))
     return feeds.json_feed(body, feeds.FEEDS["greenhouse"]).select("title", "url", "company", "location", "postedDate", "description")
 
 
-@query("src01_json_feed_list", f"""WITH {LINES_SQL} SELECT p_name AS title, 'https://jobs.lever.co/x/' || l_partkey AS url, company, iso AS "postedDate", CASE WHEN l_quantity > 25 THEN 'remote' ELSE '' END AS "workMode", p_type AS department FROM ln""")
+@query("src01_json_feed_list", f"""WITH {LINES_SQL} SELECT p_name AS title, 'https://jobs.lever.co/x/' || l_partkey AS url, company, strftime(l_shipdate + INTERVAL 10 YEAR, '%Y-%m-%dT00:00:00.000Z') AS "postedDate", CASE WHEN l_quantity > 25 THEN 'remote' ELSE '' END AS "workMode", p_type AS department FROM ln""")
 def src01b(t):
     body = payload(t, lambda x: F.struct(
-        x["p_name"].alias("text"), F.concat(F.lit("https://jobs.lever.co/x/"), key(x)).alias("hostedUrl"), F.unix_millis(x["l_shipdate"].cast("timestamp")).alias("createdAt"),
+        x["p_name"].alias("text"), F.concat(F.lit("https://jobs.lever.co/x/"), key(x)).alias("hostedUrl"), F.unix_millis((x["l_shipdate"] + F.make_interval(years=F.lit(10))).cast("timestamp")).alias("createdAt"),
         F.when(x["l_quantity"] > 25, F.lit("Remote")).otherwise(F.lit("unspecified")).alias("workplaceType"), F.struct(F.lit("").alias("department"), x["p_type"].alias("team")).alias("categories")),
         lambda rows: F.to_json(rows))
     return feeds.json_feed(body, feeds.FEEDS["lever"]).select("title", "url", "company", "postedDate", "workMode", "department")

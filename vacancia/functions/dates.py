@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .patterns import let
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 _TEXT_FORMATS = [
     "yyyy-MM-dd'T'HH:mm:ss[.SSS][.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss 'UTC'",
-    "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd", "EEE, dd MMM yyyy HH:mm:ss Z",
-    "EEE, dd MMM yyyy HH:mm:ss z", "dd MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd",
+    "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss Z",
+    "d MMM yyyy HH:mm:ss z", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd",
 ]
 
 
@@ -18,9 +20,17 @@ def epoch_instant(n: Column) -> Column:
 
 def any_instant(text: Column) -> Column:
     """Timestamp of a date text or digit run; NULL when it reads as neither."""
-    s = F.trim(text)
-    tried = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in _TEXT_FORMATS])
-    return F.when(F.rlike(s, F.lit(r"^\d{10,13}$")), epoch_instant(s.try_cast("double"))).otherwise(tried)
+    def read(s: Column) -> Column:
+        tried = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in _TEXT_FORMATS])
+        return F.when(F.rlike(s, F.lit(r"^\d{10,13}$")), epoch_instant(s.try_cast("double"))).otherwise(tried)
+
+    # the weekday of mail dates carries nothing
+    return let(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s*", ""), read)
+
+
+def iso_epoch(number: Column) -> Column:
+    """ISO-8601 text of an epoch number in seconds or milliseconds; '' when it is none."""
+    return F.coalesce(F.date_format(epoch_instant(number.try_cast("double")), ISO), F.lit(""))
 
 
 def iso_instant(text: Column) -> Column:

@@ -41,8 +41,7 @@ def _decode_numbers(c: Column, pattern: str, number) -> Column:
     def decoded(t: Column) -> Column:
         pieces = F.split(t, pattern.replace("(", "(?:"))
         marks = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda d: _code_point(number(d)))
-        joined = F.array_join(
-            F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.get(marks, i - 1)).otherwise(F.lit("")), p)), "")
+        joined = F.array_join(F.zip_with(F.concat(F.array(F.lit("")), marks), pieces, lambda m, p: F.concat(m, p)), "")
         return F.when(F.rlike(t, F.lit(pattern)), joined).otherwise(t)
 
     return let(c, decoded)
@@ -128,9 +127,8 @@ def _body_pieces(html: Column) -> Column:
 def ascii_html(html: Column) -> Column:
     """Body text of a page made ASCII-safe; tags, scripts and styles stay untouched."""
     kept = F.regexp_extract_all(html, F.lit(_KEPT), F.lit(1))
-    return F.array_join(
-        F.transform(_body_pieces(html), lambda t, i: F.concat(
-            F.when(i > 0, F.get(kept, i - 1)).otherwise(F.lit("")), ascii_signs(t))), "")
+    return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), kept), _body_pieces(html),
+                                   lambda k, t: F.concat(k, ascii_signs(t))), "")
 
 
 def ascii_sign_counts(html: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import names
 from ..functions.dates import strict_date
 from ..functions.numbers import first_number
+from ..functions.patterns import let
 from ..session import cut_lineage
 from . import classify
 
@@ -30,12 +31,13 @@ def rewrite_links(c: Column, prefix: str) -> Column:
 
 def _word_pairs(words: Column, leading: bool) -> Column:
     """Pairs of words as join keys. A word counts twice only where the leading side repeats it."""
-    distinct = F.array_sort(F.array_distinct(words))
-    n = F.size(distinct)
-    crossed = F.flatten(F.transform(distinct, lambda a, i: F.transform(
-        F.slice(distinct, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda b: F.concat(a, F.lit(" "), b))))
-    twice = F.filter(distinct, lambda a: F.size(F.filter(words, lambda w: w == a)) > 1) if leading else distinct
-    return F.concat(crossed, F.transform(twice, lambda a: F.concat(a, F.lit(" "), a)))
+    def pairs(distinct: Column) -> Column:
+        crossed = F.flatten(F.transform(distinct, lambda a, i: F.transform(
+            F.slice(distinct, i + 2, F.size(distinct)), lambda b: F.concat(a, F.lit(" "), b))))
+        twice = F.filter(distinct, lambda a: F.size(F.filter(words, lambda w: w == a)) > 1) if leading else distinct
+        return F.concat(crossed, F.transform(twice, lambda a: F.concat(a, F.lit(" "), a)))
+
+    return let(F.array_sort(F.array_distinct(words)), pairs)
 
 
 def match_additions(additions: DataFrame, existing: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates, text, urls
-from ..functions.patterns import java_pattern
+from ..functions.patterns import let
 from ..operators import classify
 
 POSTING = ["title", "url", "company", "location"]
@@ -33,6 +33,7 @@ class JsonFeed:
     keep: str = "url <> ''"
     dates: tuple[str, ...] = ("postedDate",)
     modes: tuple[str, ...] = ("workMode",)
+    epochs: tuple[str, ...] = ()
 
 
 FEEDS: dict[str, JsonFeed] = {
@@ -45,7 +46,7 @@ FEEDS: dict[str, JsonFeed] = {
         "categories:struct<location:string,department:string,team:string>>>",
         "doc", {"title": "item.text", "url": "item.hostedUrl", "location": "item.categories.location", "postedDate": "item.createdAt",
                 "workMode": "item.workplaceType", "department": "coalesce(nullif(item.categories.department, ''), item.categories.team)",
-                "description": "item.descriptionPlain"}, keep="true"),
+                "description": "item.descriptionPlain"}, keep="true", epochs=("postedDate",)),
     "ashby": JsonFeed(
         "jobs array<struct<title:string,jobUrl:string,location:string,publishedAt:string,department:string,team:string,"
         "workplaceType:string,isRemote:boolean,descriptionPlain:string>>",
@@ -70,7 +71,7 @@ def json_feed(payload: DataFrame, feed: JsonFeed) -> DataFrame:
     items = (payload.withColumn("doc", F.from_json("body", schema))
              .select("company", F.explode(F.expr(feed.items)).alias("item")))
     rows = items.select("company", *[F.expr(f"coalesce({sql}, '')").alias(n) for n, sql in feed.columns.items()])
-    clean = {n: dates.iso_instant(F.col(n)) for n in feed.dates if n in feed.columns}
+    clean = {n: dates.iso_epoch(F.col(n)) if n in feed.epochs else dates.iso_instant(F.col(n)) for n in feed.dates if n in feed.columns}
     clean |= {n: classify.work_mode(F.col(n)) for n in feed.modes if n in feed.columns}
     if "description" in feed.columns:
         clean["description"] = text.strip_html(text.decode_entities(F.col("description")))
@@ -94,7 +95,7 @@ def search_feed(payload: DataFrame) -> DataFrame:
     link = _blank(d["jobApplicationUrl"])
     return payload.select(F.explode(hits["document"]).alias("d")).filter("coalesce(d.title, '') <> '' and coalesce(d.url, '') <> ''").select(
         d["title"].alias("title"), d["url"].alias("url"), F.coalesce(d["jobCompany"]["title"], F.lit("")).alias("company"),
-        location.alias("location"), dates.iso_instant(d["postDate"]).alias("postedDate"),
+        location.alias("location"), dates.iso_epoch(d["postDate"]).alias("postedDate"),
         _blank(d["jobLevel"]["title"]).alias("experienceLevel"),
         F.when(F.rlike(link, F.lit("(?i)^https?://")), link).alias("applyUrl"))
 
@@ -111,13 +112,13 @@ def position_variants(payload: DataFrame) -> DataFrame:
     url = "coalesce(nullif(p.url_comeet_hosted_page, ''), p.url_active_page, '')"
     listed = F.filter(F.from_json("body", POSITIONS), lambda p: (F.trim(p["name"]) != "") & (
         F.coalesce(F.nullif(p["url_comeet_hosted_page"], F.lit("")), p["url_active_page"], F.lit("")) != ""))
-    bases = F.array_distinct(F.transform(F.filter(listed, lambda p: p["uid"].isNotNull()), lambda p: F.substring_index(p["uid"], "-", 1)))
-    best = F.transform(bases, lambda b: F.coalesce(
+    bases = F.array_distinct(F.transform(F.filter(F.col("listed"), lambda p: p["uid"].isNotNull()), lambda p: F.substring_index(p["uid"], "-", 1)))
+    best = F.transform(F.col("bases"), lambda b: F.coalesce(
         F.get(F.reverse(F.filter(F.col("listed"), lambda p: p["uid"] == b)), F.lit(0)),
         F.get(F.filter(F.col("listed"), lambda p: F.substring_index(p["uid"], "-", 1) == b), F.lit(0))))
     no_uid = F.filter(F.col("listed"), lambda p: p["uid"].isNull())
     mode = classify.work_mode(F.col("p.workplace_type"))
-    return (payload.select("company", listed.alias("listed"), bases.alias("bases")).select("company", F.explode(F.concat(best, no_uid)).alias("p"))
+    return (payload.select("company", listed.alias("listed")).withColumn("bases", bases).select("company", F.explode(F.concat(best, no_uid)).alias("p"))
             .select(F.trim("p.name").alias("title"), F.expr(url).alias("url"), "company", _blank(F.col("p.location.name")).alias("location"),
                     dates.iso_instant(F.col("p.time_updated")).alias("postedDate"), F.col("p.uid").alias("uid"),
                     F.when(mode != "", mode).when(F.col("p.location.is_remote"), "remote").otherwise("").alias("workMode")))
@@ -305,7 +306,8 @@ def label_values(body: Column, pattern: str = r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^
 def first_wins_map(pairs: Column) -> Column:
     """map from array<struct<key,value>>: blanks dropped, the first value of a key kept."""
     full = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    once = F.filter(full, lambda p, i: F.array_position(F.transform(full, lambda q: q["key"]), p["key"]) == i + 1)
+    once = let(full, lambda rows: let(F.transform(rows, lambda q: q["key"]), lambda keys: F.filter(
+        rows, lambda p, i: F.array_position(keys, p["key"]) == i + 1)))
     return F.map_from_entries(once)
 
 
