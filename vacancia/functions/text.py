@@ -136,15 +136,20 @@ def ascii_sign_counts(html: Column) -> Column:
     pieces = _body_pieces(html)
     entries = []
     for i, (name, pattern, _) in enumerate(ASCII_SIGNS):
-        def before(t, upto=i):
-            for _, p, plain in ASCII_SIGNS[:upto]:
-                t = F.regexp_replace(t, p, plain)
-            return t
-        n = F.aggregate(pieces, F.lit(0), lambda acc, t, p=pattern, f=before: acc + F.regexp_count(f(t), F.lit(p)))
+        n = F.aggregate(pieces, F.lit(0), _sign_counter(i, pattern))
         entries.append(F.struct(F.lit(name).alias("sign"), n.alias("n")))
     return F.array(*entries)
 
 
+def _sign_counter(upto: int, pattern: str):
+    """Fold step that counts a sign after the ones before it were replaced."""
+    def count(acc: Column, t: Column) -> Column:
+        for _, p, plain in ASCII_SIGNS[:upto]:
+            t = F.regexp_replace(t, p, plain)
+        return acc + F.regexp_count(t, F.lit(pattern))
+    return count
+
+
 EMAIL = r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+"
 _LEAD = r"(?:Emailed|emailed|contact[:\s]+|to\s+)"
 _PERSON = r"([A-Za-z][A-Za-z]+ ?[A-Za-z]?[A-Za-z]*)"
@@ -177,5 +182,10 @@ def place_string(locality: Column, region: Column, country: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), ", ")
 
 
+def clean_list(items: Column) -> Column:
+    """Trimmed entries of a list; NULL and blank ones are left out."""
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
 def whole_word(word: str) -> str:
     return WORD_EDGE + word + WORD_EDGE
