@@ -1,6 +1,7 @@
 """Text cleaning: entities, markup, slugs, folding, truncation, contacts."""
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -114,10 +115,14 @@ ASCII_SIGNS = [
 _KEPT = r"(?is)(<(script|style)\b[^>]*>.*?</\2>|<[^>]*>)"
 
 
+_ANY_SIGN = "[" + "".join(re.findall(r"\\x\{[0-9A-F]{4}\}(?:-\\x\{[0-9A-F]{4}\})?", "".join(p.replace(SPACE, "") for _, p, _ in ASCII_SIGNS))) + "]"
+
+
 def ascii_signs(c: Column) -> Column:
+    out = c
     for _, pattern, plain in ASCII_SIGNS:
-        c = F.regexp_replace(c, pattern, plain)
-    return c
+        out = F.regexp_replace(out, pattern, plain)
+    return F.when(F.rlike(c, F.lit(_ANY_SIGN)), out).otherwise(c)
 
 
 def _body_pieces(html: Column) -> Column:
@@ -132,22 +137,13 @@ def ascii_html(html: Column) -> Column:
 
 
 def ascii_sign_counts(html: Column) -> Column:
-    """array<struct<sign,n>> of replacements made by :func:`ascii_html`, signs in application order."""
-    pieces = _body_pieces(html)
-    entries = []
-    for i, (name, pattern, _) in enumerate(ASCII_SIGNS):
-        n = F.aggregate(pieces, F.lit(0), _sign_counter(i, pattern))
-        entries.append(F.struct(F.lit(name).alias("sign"), n.alias("n")))
-    return F.array(*entries)
-
-
-def _sign_counter(upto: int, pattern: str):
-    """Fold step that counts a sign after the ones before it were replaced."""
-    def count(acc: Column, t: Column) -> Column:
-        for _, p, plain in ASCII_SIGNS[:upto]:
-            t = F.regexp_replace(t, p, plain)
-        return acc + F.regexp_count(t, F.lit(pattern))
-    return count
+    """array<struct<sign,n>> of replacements made by :func:`ascii_html`, signs in application order.
+
+    No replacement brings in a later sign, so each is counted on the text as it came.
+    """
+    return let(F.array_join(_body_pieces(html), "\n"), lambda t: F.array(*[
+        F.struct(F.lit(name).alias("sign"), F.regexp_count(t, F.lit(p.replace(SPACE + "*", ""))).alias("n"))
+        for name, p, _ in ASCII_SIGNS]))
 
 
 EMAIL = r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+"

@@ -197,7 +197,13 @@ def cluster_applications(apps: DataFrame, fold_limit: int = 256) -> DataFrame:
     if not hot.isEmpty():
         led = led.unionByName(_round_leaders(hot))
     clustered = comparable.join(led, ["co", "words"]).select(*apps.columns, "co", c("leader").alias("cluster"))
-    return clustered.unionByName(rows.filter(F.size("words") < 2).select(*apps.columns, "co", c("pos").alias("cluster")))
+    # a single word never leads and never resembles itself, but meets a leader that repeats it
+    repeated = let(c("words"), lambda ws: F.filter(F.array_distinct(ws), lambda a: F.size(F.filter(ws, lambda w: w == a)) > 1))
+    heads = (shapes.join(led, ["co", "words"]).filter(c("pos") == c("leader")).select("co", "pos", F.explode(repeated).alias("word"))
+             .groupBy("co", "word").agg(F.min("pos").alias("head")))
+    short = rows.filter(F.size("words") < 2).withColumn("word", F.get("words", F.lit(0))).join(heads, ["co", "word"], "left")
+    own = F.when(c("head") < c("pos"), c("head")).otherwise(c("pos"))
+    return clustered.unionByName(short.select(*apps.columns, "co", own.alias("cluster")))
 
 
 def dedupe_applications(apps: DataFrame, fold_limit: int = 256) -> DataFrame:
