@@ -116,12 +116,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, entries: int
     if not bad or not good:
         return Lexicon({}, 0.0, -1.0 if good >= bad else 1.0)
     ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    # the ratio's distance from its mean in deviations guards against rare words
-    sure = ratio / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    words = (counted().withColumn("weight", ratio).withColumn("sure", sure).filter("weight >= 1.2 and sure >= 4")
+    # difference of the two shares in standard errors of their pooled share: guards against chance among many words
+    pooled = (F.col("bad") + F.col("good")) / (bad + good)
+    sure = (F.col("bad") / bad - F.col("good") / good) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / bad + 1 / good))
+    words = (counted().withColumn("weight", ratio).withColumn("sure", sure).filter("weight >= 1.2 and sure >= 5")
              .orderBy(F.desc("sure"), "term").limit(entries).select("term", "weight").collect())
     weights = {r["term"]: float(r["weight"]) for r in words}
-    phrases = (counted(frozenset(weights)).withColumn("weight", ratio).withColumn("sure", sure).filter("weight < 0 and sure <= -2 and bad = 0")
+    phrases = (counted(frozenset(weights)).withColumn("weight", ratio).withColumn("sure", sure).filter("weight < 0 and sure <= -1 and bad = 0")
                .orderBy("sure", "term").limit(entries).select("term").collect()) if weights else []
     taken_back = {r["term"]: -sum(weights.get(w, 0.0) for w in r["term"].split()) for r in phrases}
     lexicon = Lexicon(weights | taken_back, 1.0, 0.0)
