@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, keyed, same
+from .common import keyed, same
 
-#: Letters and digits of ASCII, and everything beyond ASCII.
+#: Letters and digits of ASCII, and everything beyond ASCII. lower() also changes letters beyond ASCII, which moves no word border, and none of them
+#: becomes a letter of the base phrases.
 LICENSE_WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 # Phrases whose places are counted, and their labels.
 PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
@@ -67,7 +68,7 @@ def spans(docs: DataFrame, k: int = 4, drift: int = 3, least: float = 0.75) -> D
 
     ``least``: share of the template's k-grams, on merged diagonals and counted once each, that a span must hold.
     """
-    words = keyed(docs).select("doc_id", "text_key", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(LICENSE_WORD), F.lit(1)).alias("w"))
+    words = keyed(docs).select("doc_id", "text_key", F.regexp_extract_all(F.lower("text"), F.lit(LICENSE_WORD), F.lit(1)).alias("w"))
     hits = (words.select("doc_id", "text_key", F.posexplode(grams(F.col("w"), k)).alias("pos", "gram"))
             .join(F.broadcast(template_table(docs.sparkSession, k)), "gram"))
     votes = (hits.withColumn("diagonal", F.col("pos") - F.col("tpos"))
@@ -88,7 +89,7 @@ def spans(docs: DataFrame, k: int = 4, drift: int = 3, least: float = 0.75) -> D
 
 def scanned(docs: DataFrame, k: int = 4, drift: int = 3, least: float = 0.75) -> DataFrame:
     """Per row: doc_id, text_key, n_words, places per base label, ``found`` (verified spans)."""
-    base = keyed(docs).withColumn("w", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(LICENSE_WORD), F.lit(1)))
+    base = keyed(docs).withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(LICENSE_WORD), F.lit(1)))
     base = base.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"),
                        *[places(F.col("w"), phrase).alias(f"p{i}") for i, phrase in enumerate(PHRASES.values())])
     found = spans(docs, k, drift, least).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(

@@ -13,47 +13,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import let
-from .common import LOWER, SPACES, UPPER, WORD, ascii_lower
+from .common import WORD
 
 # Frequent function words per language.
 COMMON = {
-    "en": "the of and to in a is that for it on was with be as by are this at from".split(),
-    "fr": "de la le et les des un une du en que qui dans pour par sur pas plus au avec".split(),
-    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al".split(),
+    "en": "the of and to in a is that for it".split(),
+    "fr": "de la le et les des un du que pour".split(),
+    "de": "der die und in den von zu das mit auf".split(),
+    "es": "de la que el en y los se del las".split(),
 }
+GAP = r"[\x20\x09-\x0D]+"
 WORDS = sorted({w for words in COMMON.values() for w in words})
-SYMBOLS = "#*$%&|<>"
-DIGITS = "0123456789"
-PUNCTUATION = ".,;:!?'\"()-"
-CLASSES = ["lower", "upper", "digit", "punctuation", "symbol", "space", "line", "other"]
-
-
-def _count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+#: Character classes as patterns, each taken from what the ones before it leave; the last takes the rest.
+CLASSES = {"lower": "[a-z]+", "space": r"[\x20\t\x0B\f\r]+", "beyond": r"[^\x00-\x7F]+", "punctuation": r"[.,;:!?'\"()-]+", "upper": "[A-Z]+",
+           "symbol": "[#*$%&|<>]+", "line": r"\n+", "digit": "[0-9]+", "other": r"(?s).+"}
 
 
 def class_counts(text: Column) -> Column:
-    """Code points per class, in the order of CLASSES."""
-    counts = [_count_of(text, LOWER), _count_of(text, UPPER), _count_of(text, DIGITS), _count_of(text, PUNCTUATION), _count_of(text, SYMBOLS),
-              _count_of(text, SPACES.replace("\n", "")), _count_of(text, "\n")]
-    rest = F.length(text)
-    for c in counts:
-        rest = rest - c
-    return F.array(*[c.cast("double") for c in counts], rest.cast("double"))
+    """Code points per class, in the order of CLASSES. Every class is cut out of a shorter text than the one before."""
+    def peeled(rest: Column, patterns: list[str]) -> Column:
+        def cut(after: Column) -> Column:
+            n = F.array((F.length(rest) - F.length(after)).cast("double"))
+            return F.concat(n, peeled(after, patterns[1:])) if patterns[1:] else n
+        return let(F.regexp_replace(rest, F.lit(patterns[0]), F.lit("")), cut)
+    return peeled(text, list(CLASSES.values()))
 
 
 def word_counts(words: Column) -> Column:
-    """How often each of WORDS occurs; punctuation around a word is ignored."""
-    common = F.filter(F.transform(words, lambda w: F.btrim(ascii_lower(w), F.lit(PUNCTUATION + SYMBOLS))), lambda w: w.isin(WORDS))
-    return let(F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")), lambda line: F.array(*[
-        ((F.length(line) - F.length(F.replace(line, F.lit(f" {w} ")))) / (len(w) + 2)).cast("double") for w in WORDS]))
+    """How often each of WORDS occurs, in any case, as a word without punctuation."""
+    common = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(WORDS))
+    start = F.struct(common.alias("rest"), F.array().cast("array<double>").alias("n"))
+
+    def cut(acc, w):
+        # each word is taken out of what the ones before it left
+        return let(F.array_remove(acc["rest"], w), lambda rest: F.struct(
+            rest.alias("rest"), F.concat(acc["n"], F.array((F.size(acc["rest"]) - F.size(rest)).cast("double"))).alias("n")))
+    return F.aggregate(F.array(*map(F.lit, WORDS)), start, cut, lambda acc: acc["n"])
 
 
 def repeated_words(words: Column, size: int = 3) -> Column:
     """Words that lie in a window of ``size`` words found twice or more, the first included."""
     n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(size)]))
+    # a window is its 64-bit hash; two windows of one text share it by chance about once in 2**64 / n**2
+    windows = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
 
     def covered(placed):
         # equal windows are neighbours in order; before the first and after the last get() is null, and null is no match
@@ -83,25 +85,25 @@ def divergence(p: Column, q: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with a struct ``_q`` of counts and histograms."""
     text = F.coalesce("text", F.lit(""))
-    split = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)))
+    split = docs.withColumns({"_words": F.array_remove(F.split(text, GAP), ""), "_classes": class_counts(text)})
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    words = F.col("_words")
+    words, number = F.col("_words"), {name: F.get("_classes", F.lit(i)) for i, name in enumerate(CLASSES)}
     return split.withColumn("_q", F.struct(
         F.size(words).cast("long").alias("n_words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        (F.length(text) - number["space"] - number["line"]).cast("long").alias("word_chars"),
+        number["symbol"].cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words"),
-        shares(class_counts(text)).alias("classes"),
+        shares(F.col("_classes")).alias("classes"),
         word_counts(words).alias("words"),
-    )).drop("_words")
+    )).drop("_words", "_classes")
 
 
 def references(docs: DataFrame) -> DataFrame:
     """One row: array of (lang, classes, words), pooled over all documents of each known language."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.filter(F.col("lang").isin(*COMMON)).select(
-        "lang", class_counts(text).alias("classes"), word_counts(F.split(text, r"[\x20\x09-\x0D]+")).alias("words"))
+        "lang", class_counts(text).alias("classes"), word_counts(F.split(text, GAP)).alias("words"))
     sums = rows.groupBy("lang").agg(
         shares(F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))])).alias("classes"),
         shares(F.array(*[F.sum(F.col("words")[i]) for i in range(len(WORDS))])).alias("words"))
