@@ -214,7 +214,7 @@ def chunk_join(percent: int):
         if len(members_pdf) and len(probes_pdf):
             members, ids = Members(members_pdf["elements"].tolist()), members_pdf["rep"].to_numpy()
             forest = Forest(len(ids) + len(probes_pdf))
-            for k, (probe, elements) in enumerate(zip(probes_pdf["rep"].tolist(), probes_pdf["elements"])):
+            for k, (probe, elements) in enumerate(zip(probes_pdf["probe"].tolist(), probes_pdf["probe_elements"])):
                 own = np.frombuffer(elements, np.uint64)
                 inter = members.overlaps(own)
                 for j in np.flatnonzero(linked(inter, len(own), members.size, percent)).tolist():
@@ -295,14 +295,15 @@ def member_bits(groups: DataFrame) -> np.ndarray:
 
 def against(members: DataFrame, probes: DataFrame, percent: int, chunk: int, block: int = 256) -> DataFrame:
     """Exact links of members with probes of the same group: chunks of members meet blocks of probes."""
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("np") / block)).cast("int")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("np") / block)).cast("long")
     sized = probes.groupBy("grp").agg(F.count("*").alias("np"))
     left = (members.join(sized, "grp").withColumn("c", F.pmod(F.xxhash64("rep"), chunks))
-            .withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1))).select("grp", "c", "b", "rep", "elements"))
-    right = (probes.join(sized, "grp").withColumn("b", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int"))
-             .withColumn("c", F.explode(F.sequence(F.lit(0), chunks - 1)).cast("long")).select("grp", "c", "b", "rep", "elements"))
-    return left.groupBy("grp", "c", "b").cogroup(right.groupBy("grp", "c", "b")).applyInPandas(chunk_join(percent), "rep long, other long")
+            .withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("grp", "c", "b", "rep", "elements"))
+    right = (probes.join(sized, "grp").withColumn("b", F.pmod(F.xxhash64("rep", F.lit(1)), blocks))
+             .withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))).select("grp", "c", "b", "rep", "elements")
+             .toDF("p_grp", "p_c", "p_b", "probe", "probe_elements"))  # both sides come from one table: the names keep them apart
+    return left.groupBy("grp", "c", "b").cogroup(right.groupBy("p_grp", "p_c", "p_b")).applyInPandas(chunk_join(percent), "rep long, other long")
 
 
 def spread_links(large: DataFrame, percent: int, pivots: int, chunk: int) -> DataFrame:
