@@ -29,8 +29,7 @@ def _same(a, b):
     return len(shared) >= 2 and len(shared) >= 0.6 * min(len(a), len(b))
 
 
-@pytest.mark.parametrize("limit", [0, 256])
-def test_clusters_are_greedy_leaders(spark, limit):
+def test_clusters_are_greedy_leaders(spark):
     rnd = random.Random(7)
     words = ["gameplay", "engine", "tools", "artist", "rigging", "level", "senior", "network", "audio"]
     apps = []
@@ -57,7 +56,7 @@ def test_clusters_are_greedy_leaders(spark, limit):
                     best = a[5]
             want[group[0][0]] = (best, len(group))
     df = spark.createDataFrame(apps, "num long, pos long, company string, role string, score string, status string").repartition(3)
-    got = {r.num: (r.status, r.members) for r in tracker.dedupe_applications(df, fold_limit=limit).collect()}
+    got = {r.num: (r.status, r.members) for r in tracker.dedupe_applications(df).collect()}
     assert got == want
 
 

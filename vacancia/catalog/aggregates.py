@@ -206,13 +206,13 @@ def agg22(t):
 
 def audit(t):
     attempts = t.read("supplier").select(C("s_name").alias("company"), (C("s_acctbal") > 0).alias("ok"), F.when(C("s_acctbal") < -500, F.lit("throttled")).when(C("s_acctbal") <= 0, F.lit("notfound")).alias("kind"))
-    rows = (t.read("lineitem").filter("l_quantity > 49").join(t.read("part").filter("p_size > 40"), C("l_partkey") == C("p_partkey"))
+    rows = (t.read("lineitem").join(t.read("part"), C("l_partkey") == C("p_partkey"))
             .join(t.read("supplier"), C("l_suppkey") == C("s_suppkey")))
     titled = rows.select(C("s_name").alias("company"), F.when(C("s_nationkey") == 7, F.concat(F.lit("DEMO - "), "p_name")).otherwise(C("p_name")).alias("title"))
     return health.feed_audit(attempts, titled, ["widget"], 2)
 
 
-AUDIT_SQL = """tt AS (SELECT s_name AS company, count(*) AS jobs, count(*) FILTER (contains(p_name, 'widget')) AS hits, bool_and(s_nationkey = 7) AS demo FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND p_size > 40 GROUP BY s_name),
+AUDIT_SQL = """tt AS (SELECT s_name AS company, count(*) AS jobs, count(*) FILTER (contains(p_name, 'widget')) AS hits, bool_and(s_nationkey = 7) AS demo FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name),
   au AS (SELECT s_name AS company, CASE WHEN s_acctbal < -500 THEN 'throttled' WHEN s_acctbal <= 0 THEN 'dead' WHEN jobs IS NULL THEN 'empty' WHEN demo THEN 'suspect' WHEN hits = 0 THEN CASE WHEN jobs >= 2 THEN 'suspect' ELSE 'lean' END ELSE 'ok' END AS status,
     CASE WHEN s_acctbal > 0 THEN coalesce(jobs, 0) ELSE 0 END AS jobs, CASE WHEN s_acctbal > 0 AND NOT coalesce(demo, FALSE) THEN coalesce(hits, 0) ELSE 0 END AS hits FROM supplier LEFT JOIN tt ON tt.company = s_name)"""
 
@@ -319,18 +319,14 @@ _KEYS = {"score": "points DESC", "date": "date DESC", "company": "lower(company)
 _PRIORITY = "CASE state WHEN 'interview' THEN 0 WHEN 'offer' THEN 1 WHEN 'responded' THEN 2 WHEN 'applied' THEN 3 WHEN 'evaluated' THEN 4 WHEN 'skip' THEN 5 WHEN 'rejected' THEN 6 WHEN 'discarded' THEN 7 ELSE 8 END"
 
 
-def _top(rows, keys, n=100):
-    return rows.orderBy(*keys).limit(n)
-
-
 for _mode, _key in _KEYS.items():
-    query(f"srt01_by_{_mode}", f"WITH {BOARD_SQL}, p AS (SELECT *, {_PRIORITY} AS pr FROM b) SELECT num, state, points FROM p ORDER BY {_key}, pos LIMIT 100")(
-        lambda t, m=_mode: _top(board(t), reports.sort_keys(m)).select("num", "state", "points"))
+    query(f"srt01_by_{_mode}", f"WITH {BOARD_SQL}, p AS (SELECT *, {_PRIORITY} AS pr FROM b) SELECT num, state, points FROM p ORDER BY {_key}, pos")(
+        lambda t, m=_mode: board(t).orderBy(*reports.sort_keys(m)).select("num", "state", "points"))
 
 
-@query("srt02_grouped", f"WITH {BOARD_SQL}, p AS (SELECT *, {_PRIORITY} AS pr FROM b) SELECT num, state FROM p ORDER BY pr, date DESC, pos LIMIT 100")
+@query("srt02_grouped", f"WITH {BOARD_SQL}, p AS (SELECT *, {_PRIORITY} AS pr FROM b) SELECT num, state FROM p ORDER BY pr, date DESC, pos")
 def srt02(t):
-    return _top(board(t), reports.sort_keys("date", grouped=True)).select("num", "state")
+    return board(t).orderBy(*reports.sort_keys("date", grouped=True)).select("num", "state")
 
 
 @query("srt03_status_priority", f"WITH {BOARD_SQL} SELECT num, CAST({_PRIORITY} AS BIGINT) AS priority FROM b")
@@ -338,9 +334,9 @@ def srt03(t):
     return board(t).select("num", classify.board_priority(C("state")).alias("priority"))
 
 
-@query("srt04_urgency_order", f"WITH {CADENCE_SQL} SELECT num, urgency FROM u ORDER BY CASE urgency WHEN 'urgent' THEN 0 WHEN 'overdue' THEN 1 WHEN 'waiting' THEN 2 ELSE 3 END, num LIMIT 200")
+@query("srt04_urgency_order", f"WITH {CADENCE_SQL} SELECT num, urgency FROM u ORDER BY CASE urgency WHEN 'urgent' THEN 0 WHEN 'overdue' THEN 1 WHEN 'waiting' THEN 2 ELSE 3 END, num")
 def srt04(t):
-    return cadence(t).orderBy(classify.urgency_order(C("urgency")), "num").limit(200).select("num", "urgency")
+    return cadence(t).orderBy(classify.urgency_order(C("urgency")), "num").select("num", "urgency")
 
 
 @query("srt05_longest_streaks", f"WITH {STREAK_SQL} SELECT company, since, fails FROM sk ORDER BY fails DESC, company, since LIMIT 10")
@@ -348,13 +344,13 @@ def srt05(t):
     return health.longest_streaks(health.failure_streaks(t.outcome), 10).select("company", "since", "fails")
 
 
-@query("srt06_candidate_order", f"WITH {MINED_SQL} SELECT slug, round(1.0 * hits / jobs, 6)::DOUBLE AS share, jobs FROM mb ORDER BY 1.0 * hits / jobs DESC, jobs DESC, slug LIMIT 15")
+@query("srt06_candidate_order", f"WITH {MINED_SQL} SELECT slug, round(1.0 * hits / jobs, 6)::DOUBLE AS share, jobs FROM mb ORDER BY 1.0 * hits / jobs DESC, jobs DESC, slug")
 def srt06(t):
     share = C("hits") / C("jobs")
-    return mined(t).orderBy(share.desc(), F.desc("jobs"), "slug").limit(15).select("slug", F.round(share, 6).alias("share"), "jobs")
+    return mined(t).orderBy(share.desc(), F.desc("jobs"), "slug").select("slug", F.round(share, 6).alias("share"), "jobs")
 
 
-@query("srt07_file_order", "SELECT name FROM (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'x.tsv' || o_orderstatus ELSE 'row-' || o_orderkey || '.tsv' END AS name FROM orders) GROUP BY name ORDER BY coalesce(TRY_CAST(regexp_replace(name, '[^0-9]', '', 'g') AS BIGINT), 0), name LIMIT 100")
+@query("srt07_file_order", "SELECT name FROM (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'x.tsv' || o_orderstatus ELSE 'row-' || o_orderkey || '.tsv' END AS name FROM orders) GROUP BY name ORDER BY coalesce(TRY_CAST(regexp_replace(name, '[^0-9]', '', 'g') AS BIGINT), 0), name")
 def srt07(t):
     name = F.when(C("o_orderpriority") == "1-URGENT", F.concat(F.lit("x.tsv"), "o_orderstatus")).otherwise(F.concat(F.lit("row-"), C("o_orderkey").cast("string"), F.lit(".tsv")))
-    return t.read("orders").select(name.alias("name")).distinct().orderBy(tracker.file_order(C("name"))).limit(100)
+    return t.read("orders").select(name.alias("name")).distinct().orderBy(tracker.file_order(C("name")))

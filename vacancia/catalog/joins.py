@@ -161,7 +161,7 @@ def headers(t):
 
 def listed(t):
     """Scan history of the customers' own postings: one per order line with a part name."""
-    return (t.read("lineitem").filter("l_returnflag = 'R'").join(t.read("part"), C("l_partkey") == C("p_partkey"))
+    return (t.read("lineitem").join(t.read("part"), C("l_partkey") == C("p_partkey"))
             .join(t.read("customer"), C("l_suppkey") == C("c_custkey"))
             .select(C("c_name").alias("company"), F.concat("p_name", F.lit(" "), F.when(C("p_size") > 30, F.lit("gameplay engine")).otherwise(F.lit("level narrative"))).alias("title"),
                     F.concat(F.lit("https://seen.example.com/"), C("l_orderkey").cast("string"), F.lit("/"), C("l_partkey").cast("string"), F.lit("/"), C("l_linenumber").cast("string")).alias("url"),
@@ -170,7 +170,7 @@ def listed(t):
 
 LISTED_SQL = """ls AS (SELECT c_name AS company, p_name || ' ' || CASE WHEN p_size > 30 THEN 'gameplay engine' ELSE 'level narrative' END AS title,
     'https://seen.example.com/' || l_orderkey || '/' || l_partkey || '/' || l_linenumber AS url, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS lpos
-    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN customer ON l_suppkey = c_custkey WHERE l_returnflag = 'R')"""
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN customer ON l_suppkey = c_custkey)"""
 _BEST = """(SELECT pos, arg_min(url, lpos) AS url FROM (SELECT pos, url, lpos, hits, max(hits) OVER (PARTITION BY pos) AS top FROM (SELECT ap.pos, l.url, l.lpos,
     len(list_filter(regexp_split_to_array(lower(ap.role), '\\s+'), lambda w: length(w) > 2 AND contains(lower(l.title), w))) AS hits FROM application ap JOIN {} l ON l.company = ap.company)) WHERE hits = top GROUP BY pos)"""
 
@@ -458,12 +458,12 @@ def win03(t):
     return t.follow_up.groupBy("appNum").agg(F.max("date").alias("last_follow_up"))
 
 
-@query("win04_entry_numbers", f"""WITH {MERGE_SQL}, nw AS (SELECT file_seq, num, row_number() OVER (ORDER BY file_seq) AS i FROM mt WHERE mpos IS NULL)
-  SELECT file_seq, CAST(i + greatest((SELECT max(num) FROM existing WHERE num < 500), max(num - i) OVER (ORDER BY i)) AS BIGINT) AS num FROM nw""")
+@query("win04_entry_numbers", f"""WITH {MERGE_SQL}, nw AS (SELECT file_seq, 2 * num AS num, row_number() OVER (ORDER BY file_seq) AS i FROM mt WHERE mpos IS NULL)
+  SELECT file_seq, CAST(i + greatest((SELECT max(num) FROM existing), max(num - i) OVER (ORDER BY i)) AS BIGINT) AS num FROM nw""")
 def win04(t):
-    new = tracker.match_additions(t.addition, t.existing).filter("match is null").select("file_seq", "num")
-    # a tracker that ended early, so that wanted numbers and running ones both occur
-    highest = t.existing.filter("num < 500").agg(F.max("num").alias("m0"))
+    new = tracker.match_additions(t.addition, t.existing).filter("match is null").select("file_seq", (2 * C("num")).alias("num"))
+    # doubled, about half of the wanted numbers lie above the highest in use, so that wanted and running ones both occur
+    highest = t.existing.agg(F.max("num").alias("m0"))
     return tracker.assign_numbers(new, highest)
 
 

@@ -95,10 +95,10 @@ def tgt09(t):
     return targeting.legacy_fit(t.posting, LEGACY).select(*KEY, F.round("fit", 6).alias("fit"))
 
 
-@query("tgt10_rank", f"WITH {GROUP_SQL} SELECT {KEYS}, company, round((3 * s1 + 2 * s2 + s3) / 6, 6) AS fit FROM s ORDER BY round((3 * s1 + 2 * s2 + s3) / 6, 6) DESC, company, seq LIMIT 200")
+@query("tgt10_rank", f"WITH {GROUP_SQL} SELECT {KEYS}, company, round((3 * s1 + 2 * s2 + s3) / 6, 6) AS fit FROM s ORDER BY round((3 * s1 + 2 * s2 + s3) / 6, 6) DESC, company, seq")
 def tgt10(t):
     rows = scored(t).withColumn("fit", F.round("fit", 6))
-    return rows.orderBy(F.desc("fit"), "company", "seq").limit(200).select(*KEY, "company", "fit")
+    return rows.orderBy(F.desc("fit"), "company", "seq").select(*KEY, "company", "fit")
 
 
 @query("tgt12_dimensions", """SELECT o_orderkey, round(0.25 * a + 0.15 * b + 0.15 * c + 0.1 * a + 0.1 * b + 0.05 * (c + a + b + c + a), 6)::DOUBLE AS total FROM (SELECT o_orderkey,
@@ -131,7 +131,7 @@ def tgt14(t):
 
 @query("plan_ranked_new_postings", f"""WITH {GROUP_SQL}, seen AS (SELECT DISTINCT url FROM posting WHERE l_shipdate < DATE '1998-01-01' AND NOT l_tax > 0.06)
   SELECT url, company, title, round((3 * s1 + 2 * s2 + s3) / 6, 6) AS fit FROM s WHERE NOT excluded AND NOT coalesce(filtered, FALSE) AND url NOT IN (SELECT url FROM seen)
-  ORDER BY fit DESC, company, seq LIMIT 50""".replace("l_shipdate", "postedDate").replace("l_tax > 0.06", "l_quantity > 40"))
+  ORDER BY fit DESC, company, seq""".replace("l_shipdate", "postedDate").replace("l_tax > 0.06", "l_quantity > 40"))
 def plan_ranked(t):
     from ..plans.board import ranked_new_postings
     return ranked_new_postings(t, GROUPS).select("url", "company", "title", "fit")

@@ -45,13 +45,15 @@ def str03(t):
 
 
 @query("str04_coverage_ledger", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, event_type, 'p' || CAST(floor(value / 50) AS BIGINT) AS p FROM events)
-  SELECT key, coalesce(string_agg(DISTINCT CASE WHEN event_type IN ('view', 'click', 'error') THEN p END, ',' ORDER BY CASE WHEN event_type IN ('view', 'click', 'error') THEN p END), '') AS missed,
-    coalesce(string_agg(DISTINCT CASE WHEN event_type = 'signup' THEN p END, ',' ORDER BY CASE WHEN event_type = 'signup' THEN p END), '') AS rejected FROM e GROUP BY key""")
+  SELECT key, coalesce(string_agg(DISTINCT CASE WHEN event_type IN ('view', 'click', 'error') THEN e.p END, ',' ORDER BY CASE WHEN event_type IN ('view', 'click', 'error') THEN e.p END), '') AS missed,
+    coalesce(string_agg(DISTINCT CASE WHEN event_type = 'signup' THEN e.p END, ',' ORDER BY CASE WHEN event_type = 'signup' THEN e.p END), '') AS rejected, coalesce(any_value(CASE WHEN ok THEN h.p END), '') AS hit, CASE WHEN any_value(ok) THEN 'medium' ELSE '' END AS conf
+  FROM e LEFT JOIN (SELECT l.key, l.p, NOT EXISTS (SELECT 1 FROM e r WHERE r.key = l.key AND r.p = l.p AND r.event_type = 'signup' AND r.event_id > l.at) AS ok
+    FROM (SELECT key, arg_max(p, event_id) AS p, max(event_id) AS at FROM e WHERE event_type = 'purchase' GROUP BY key) l) h USING (key) GROUP BY key""")
 def str04(t):
     kind = F.when(C("event_type") == "purchase", "hit").when(C("event_type") == "signup", "reject").otherwise("miss")
     rows = stream(t, "events").select(C("user_id").cast("string").alias("key"), C("event_id").alias("seq"), kind.alias("kind"),
                                       F.concat(F.lit("p"), F.floor(C("value") / 50).cast("string")).alias("provider"), F.lit("medium").alias("conf"))
-    return streams.latest(streams.drain(streams.coverage_ledger(rows, 2), "update"), "key").select("key", "missed", "rejected")
+    return streams.latest(streams.drain(streams.coverage_ledger(rows, 2), "update"), "key").select("key", "hit", "conf", "missed", "rejected")
 
 
 @query("str05_weekly_activity", "SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS week, count(*) AS n FROM orders GROUP BY 1")

@@ -257,7 +257,7 @@ def untracked(postings: DataFrame, tracked: DataFrame) -> DataFrame:
             .join(pairs, "_pair", "left_anti").drop("_pair"))
 
 
-def first_wins(postings: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def first_wins(postings: DataFrame) -> DataFrame:
     """Keep a row iff no kept earlier row shares its url or its employer and title.
 
     The row-by-row rule equals a greedy matching between urls and titles in ``seq`` order. Each round
@@ -267,10 +267,8 @@ def first_wins(postings: DataFrame, max_rounds: int | None = None) -> DataFrame:
     c = F.col
     pairs = (postings.withColumn("_pair", pair_key(c("company"), c("title")))
              .groupBy("url", "_pair").agg(F.min("seq").alias("seq")))
-    open_rows, kept, rounds = cut_lineage(pairs), [], 0
-    while max_rounds is None or rounds < max_rounds:
-        if open_rows.isEmpty():
-            break
+    open_rows, kept = cut_lineage(pairs), []
+    while not open_rows.isEmpty():
         by_url = open_rows.groupBy("url").agg(F.min("seq").alias("_u"))
         by_pair = open_rows.groupBy("_pair").agg(F.min("seq").alias("_p"))
         wins = cut_lineage(open_rows.join(by_url, "url").join(by_pair, "_pair")
@@ -278,7 +276,6 @@ def first_wins(postings: DataFrame, max_rounds: int | None = None) -> DataFrame:
         kept.append(wins)
         open_rows = cut_lineage(open_rows.join(wins.select("url"), "url", "left_anti")
                                 .join(wins.select("_pair"), "_pair", "left_anti"))
-        rounds += 1
     winners = union_postings(kept).select("seq") if kept else pairs.select("seq").limit(0)
     return postings.join(winners, "seq", "left_semi")
 

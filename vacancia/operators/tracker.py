@@ -134,24 +134,8 @@ def file_order(name: Column) -> Column:
 
 # --- clusters of repeated applications ----------------------------------------------------------
 
-def _fold_leaders(shapes: DataFrame) -> DataFrame:
-    """Leaders of employers with few distinct wordings: one ordered fold per employer."""
-    c = F.col
-    kept = "array<struct<pos:bigint,words:array<string>,leader:bigint>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        first = F.get(F.filter(acc, lambda a: (a["pos"] == a["leader"]) & names.role_words_match(a["words"], x["words"])),
-                      F.lit(0))
-        return F.concat(acc, F.array(F.struct(x["pos"].alias("pos"), x["words"].alias("words"),
-                                              F.coalesce(first["leader"], x["pos"]).alias("leader"))))
-
-    walked = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "words"))), F.array().cast(kept), step)
-    return (shapes.groupBy("co").agg(walked.alias("all")).select("co", F.explode("all").alias("x"))
-            .select("co", "x.words", "x.leader"))
-
-
 def _round_leaders(shapes: DataFrame) -> DataFrame:
-    """Leaders of employers with many wordings, found in rounds without gathering an employer.
+    """Leaders among the distinct wordings of each employer, found in rounds without gathering an employer.
 
     A wording leads once no earlier open wording shares two words with it. At most one new leader then
     exists per pair of words, so absorbing the others is a many-to-one join.
@@ -180,7 +164,7 @@ def _round_leaders(shapes: DataFrame) -> DataFrame:
     return state.select("co", "words", "leader")
 
 
-def cluster_applications(apps: DataFrame, fold_limit: int = 256) -> DataFrame:
+def cluster_applications(apps: DataFrame) -> DataFrame:
     """Add ``cluster``: position of the first application of the same employer whose role is alike.
 
     Clusters are greedy: a row joins the earliest leader it resembles, and only leaders are compared.
@@ -190,12 +174,7 @@ def cluster_applications(apps: DataFrame, fold_limit: int = 256) -> DataFrame:
     rows = apps.withColumns({"co": names.spaced_key(c("company")), "words": names.cluster_role_words(c("role"))})
     comparable = rows.filter(F.size("words") > 1)
     shapes = comparable.groupBy("co", "words").agg(F.min("pos").alias("pos"))
-    sizes = shapes.groupBy("co").agg(F.count("*").alias("n"))
-    big = sizes.filter(c("n") > fold_limit).select("co")
-    led = _fold_leaders(shapes.join(big, "co", "left_anti"))
-    hot = cut_lineage(shapes.join(big, "co", "left_semi"))
-    if not hot.isEmpty():
-        led = led.unionByName(_round_leaders(hot))
+    led = _round_leaders(shapes)
     clustered = comparable.join(led, ["co", "words"]).select(*apps.columns, "co", c("leader").alias("cluster"))
     # a single word never leads and never resembles itself, but meets a leader that repeats it
     repeated = let(c("words"), lambda ws: F.filter(F.array_distinct(ws), lambda a: F.size(F.filter(ws, lambda w: w == a)) > 1))
@@ -206,13 +185,13 @@ def cluster_applications(apps: DataFrame, fold_limit: int = 256) -> DataFrame:
     return clustered.unionByName(short.select(*apps.columns, "co", own.alias("cluster")))
 
 
-def dedupe_applications(apps: DataFrame, fold_limit: int = 256) -> DataFrame:
+def dedupe_applications(apps: DataFrame) -> DataFrame:
     """One row per cluster: the best score, with the most advanced status of the cluster."""
     c = F.col
     score = first_number(c("score"))
     order = F.struct((-score).alias("s"), c("pos"))
     rest = [x for x in apps.columns if x != "status"]
-    return (cluster_applications(apps.filter(c("num") > 0), fold_limit).groupBy("co", "cluster").agg(
+    return (cluster_applications(apps.filter(c("num") > 0)).groupBy("co", "cluster").agg(
         F.min_by(F.struct(*rest), order).alias("k"),
         F.min_by("status", F.struct((-classify.promotion_rank(c("status"))).alias("r"), (-score).alias("s"), c("pos"))).alias("status"),
         F.count("*").alias("members"))

@@ -14,8 +14,8 @@ def history(t: Tables) -> DataFrame:
         "company", "title", F.col("seq").alias("lpos"), "postedDate")
 
 
-def ranked_new_postings(t: Tables, groups: list[dict], top: int = 50) -> DataFrame:
+def ranked_new_postings(t: Tables, groups: list[dict]) -> DataFrame:
     scored = targeting.score_groups(
         snapshot.unseen(t.posting, snapshot.seen_urls(history(t))).withColumn("skills", F.lit(None).cast("array<string>")), groups)
     open_rows = scored.filter(~F.col("excluded") & ~F.coalesce("filtered", F.lit(False)))
-    return open_rows.withColumn("fit", F.round("fit", 6)).orderBy(F.desc("fit"), "company", "seq").limit(top)
+    return open_rows.withColumn("fit", F.round("fit", 6)).orderBy(F.desc("fit"), "company", "seq")

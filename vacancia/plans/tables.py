@@ -115,7 +115,7 @@ SQL_TABLES = {
     "existing": f"SELECT {_select(_APPLICATION)}, strftime(o_orderdate, '%Y-%m-%d') AS date FROM {_ORDERS} WHERE o_orderstatus <> 'P'",
     "addition": f"SELECT {_select(_ADDITION)}, strftime(o_orderdate, '%Y-%m-%d') AS date FROM {_ORDERS} WHERE o_orderstatus = 'P'",
     "report": f"SELECT {_select(_REPORT)} FROM {_ORDERS} JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
-    "follow_up": "SELECT l_orderkey AS appNum, strftime(l_shipdate, '%Y-%m-%d') AS date FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'O'",
+    "follow_up": "SELECT l_orderkey AS appNum, strftime(l_shipdate, '%Y-%m-%d') AS date FROM lineitem",
     "outcome": f"SELECT {_select(_OUTCOME)} FROM events",
     "company": f"SELECT {_select(_COMPANY)} FROM supplier JOIN nation ON s_nationkey = n_nationkey",
 }
@@ -138,9 +138,9 @@ class Tables:
         return self._frames[name]
 
     def _spread(self, df: DataFrame) -> DataFrame:
-        """Use every core on a table of fewer files than cores; large tables are read as they are split."""
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        """Tables are read as they are split. Only a session that asks for it, as local ones do for their one-file tables, deals rows out first."""
+        parts = self.spark.conf.get("spark.vacancia.spread", None)
+        return df.repartition(int(parts)) if parts else df
 
     def _orders(self) -> DataFrame:
         return self.read("orders").join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -186,7 +186,7 @@ class Tables:
 
     @cached_property
     def follow_up(self) -> DataFrame:
-        return (self.read("lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'O'")
+        return (self.read("lineitem")
                 .select(F.col("l_orderkey").alias("appNum"), self._day("l_shipdate")))
 
     @cached_property

@@ -19,6 +19,7 @@ def build_session(app: str = "vacancia", cores: int | None = None, partitions: i
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("VACANCIA_DRIVER_MEMORY", "12g"))
+        .config("spark.vacancia.spread", str(cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

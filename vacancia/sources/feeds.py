@@ -364,7 +364,7 @@ def _field(block: str, spec: str | None) -> str:
             return _attribute(m[2], attr.strip())
         after = block[m.end():]
         close = re.search(rf"</{name}\s*>", after, re.I) if name else re.search("<", after)
-        return _plain(after[:close.start()] if close else after[:500] if name else after)
+        return _plain(after[:close.start()] if close else after)
     return ""
 
 

@@ -66,27 +66,23 @@ def append_outcomes(stream: DataFrame, folder: str) -> None:
 
 
 class _Streak(StatefulProcessor):
-    """Failure streak per company over runs in order: fails, since and the last run seen."""
+    """Failure streak per company. Every run's outcome is kept, so that runs may come late, out of order or in parts."""
 
     def __init__(self, threshold: int):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "fails long, since string, last string")
+        self.runs = handle.getMapState("runs", "run string", "ok boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        fails, since, last = self.state.get() if self.state.exists() else (0, None, None)
-        runs: dict[str, bool] = {}
         for batch in rows:
-            for run, ok in zip(batch["run"], batch["ok"]):
-                runs[run] = runs.get(run, True) and bool(ok)
-        for run in sorted(runs):
-            if runs[run]:
-                fails, since = 0, None
-            else:
-                fails, since = fails + 1, since or run
+            for run, ok in batch.groupby("run")["ok"].all().items():
+                known = self.runs.getValue((run,))[0] if self.runs.containsKey((run,)) else True
+                self.runs.updateValue((run,), (bool(known and ok),))
+        fails, since, last = 0, None, None
+        for (run,), (ok,) in sorted(self.runs.iterator()):
+            fails, since = (0, None) if ok else (fails + 1, since or run)
             last = run
-        self.state.update((fails, since, last))
         yield pd.DataFrame({"company": [key[0]], "fails": [fails], "since": [since], "last": [last], "alert": [fails >= self.threshold]})
 
     def close(self) -> None:
@@ -96,7 +92,7 @@ class _Streak(StatefulProcessor):
 def failure_streaks(outcomes: DataFrame, threshold: int = 10) -> DataFrame:
     """Current streak per company (company, fails, since, last, alert); outcomes are company, run, ok.
 
-    A run's attempts of one company must arrive in one micro-batch, as a run is landed as a whole.
+    Runs and their attempts may come in any order and any split over micro-batches; state holds one entry per company and run.
     """
     outcomes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return outcomes.groupBy("company").transformWithStateInPandas(
@@ -104,31 +100,37 @@ def failure_streaks(outcomes: DataFrame, threshold: int = 10) -> DataFrame:
 
 
 class _Ledger(StatefulProcessor):
-    """Coverage of one company: misses add up under the current version, rejections stay for good."""
+    """Coverage of one company: misses add up under the current version, rejections stay for good.
+
+    The last hit by ``seq`` counts unless its provider was rejected after it; the order of arrival is of no account.
+    """
 
     def __init__(self, version: int):
         self.version = version
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ledger", "version int, hit string, conf string, missed string, rejected string")
+        self.hit = handle.getValueState("hit", "seq long, provider string, conf string")
+        self.rejects = handle.getMapState("rejects", "provider string", "seq long")
+        self.misses = handle.getMapState("misses", "provider string", "version int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        version, hit, conf, missed, rejected = self.state.get() if self.state.exists() else (0, "", "", "", "")
-        misses = set(missed.split(",")) - {""} if version >= self.version else set()
-        refused = set(rejected.split(",")) - {""}
+        hit = tuple(self.hit.get()) if self.hit.exists() else None
         for batch in rows:
-            for kind, provider, tier in batch.sort_values("seq")[["kind", "provider", "conf"]].itertuples(index=False):
-                if kind == "miss":
-                    misses.add(provider)
-                elif kind == "reject":
-                    refused.add(provider)
-                    if hit == provider:
-                        hit, conf = "", ""
-                else:
-                    hit, conf = provider, tier or ""
-        missed, rejected = ",".join(sorted(misses)), ",".join(sorted(refused))
-        self.state.update((self.version, hit, conf, missed, rejected))
-        yield pd.DataFrame({"key": [key[0]], "hit": [hit], "conf": [conf], "missed": [missed], "rejected": [rejected]})
+            for provider in set(batch.loc[batch["kind"] == "miss", "provider"]):
+                self.misses.updateValue((provider,), (self.version,))
+            for provider, seq in batch[batch["kind"] == "reject"].groupby("provider")["seq"].max().items():
+                known = self.rejects.getValue((provider,))[0] if self.rejects.containsKey((provider,)) else seq
+                self.rejects.updateValue((provider,), (max(int(known), int(seq)),))
+            for seq, provider, conf in batch.loc[batch["kind"] == "hit", ["seq", "provider", "conf"]].itertuples(index=False):
+                if hit is None or seq > hit[0]:
+                    hit = (int(seq), provider, conf or "")
+        if hit is not None:
+            self.hit.update(hit)
+        standing = hit is not None and not (self.rejects.containsKey((hit[1],)) and self.rejects.getValue((hit[1],))[0] > hit[0])
+        missed = ",".join(sorted(k[0] for k, v in self.misses.iterator() if v[0] >= self.version))
+        rejected = ",".join(sorted(k[0] for k, _ in self.rejects.iterator()))
+        yield pd.DataFrame({"key": [key[0]], "hit": [hit[1] if standing else ""], "conf": [hit[2] if standing else ""],
+                            "missed": [missed], "rejected": [rejected]})
 
     def close(self) -> None:
         pass
