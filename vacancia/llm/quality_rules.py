@@ -134,4 +134,6 @@ def judged(docs: DataFrame, refs: DataFrame | None = None, min_words: int = 50,
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows that pass, with the columns of ``docs``."""
-    return judged(docs, **options).filter("_q.kept").select(*docs.columns)
+    # the row number keeps the filter above the projection: pushed below it, the histograms would be computed again for each condition
+    return (judged(docs, **options).withColumn("_place", F.monotonically_increasing_id())
+            .filter("_q.kept and _place >= 0").select(*docs.columns))
