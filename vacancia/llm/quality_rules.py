@@ -134,6 +134,7 @@ def judged(docs: DataFrame, refs: DataFrame | None = None, min_words: int = 50,
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The rows that pass, with the columns of ``docs``."""
-    # the row number keeps the filter above the projection: pushed below it, the histograms would be computed again for each condition
-    return (judged(docs, **options).withColumn("_place", F.monotonically_increasing_id())
-            .filter("_q.kept and _place >= 0").select(*docs.columns))
+    # exploding a list of the kept verdict, in place of a filter: a filter would be pushed below the projection and each of its
+    # conditions would compute the histograms again
+    kept = F.explode(F.filter(F.array("_q"), lambda q: q["kept"]))
+    return judged(docs, **options).withColumn("_one", kept).select(*docs.columns)
