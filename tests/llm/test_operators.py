@@ -137,15 +137,33 @@ def test_jaccard_edges(edges, empty):
 def test_cells_are_shared_by_linked_sets():
     import numpy as np
     rng = np.random.default_rng(2)
-    for threshold in (0.9, 0.8):
+    levels = rng.integers(0, 4, 1 << jaccard_join.SLOT_BITS).astype(np.uint8)
+    for percent in (90, 80):
         for _ in range(400):
             n = int(rng.integers(1, 400))
             a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
             drop, add = rng.integers(0, max(1, n // 6) + 1, 2)
             b = np.unique(np.r_[rng.permutation(a)[int(drop):], rng.integers(0, 2**63, int(add)).astype(np.uint64)])
             inter = len(np.intersect1d(a, b))
-            if len(b) and inter >= threshold * (len(a) + len(b) - inter):
-                assert len(np.intersect1d(jaccard_join.cells(a, threshold), jaccard_join.cells(b, threshold)))
+            if len(b) and 100 * inter >= percent * (len(a) + len(b) - inter):
+                assert len(np.intersect1d(jaccard_join.cells(a, percent, levels), jaccard_join.cells(b, percent, levels)))
+
+
+def test_tallies_round_trip():
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    fields = [np.zeros(1 << jaccard_join.SLOT_BITS, np.uint32) for _ in range(2)]
+    for field in fields:
+        np.add.at(field, rng.integers(0, len(field), 5000), rng.integers(1, 9000, 5000).astype(np.uint32))
+        field[[0, -1]] = 7
+    chunk, payload = zip(*[x for field in fields for x in jaccard_join.tally(field)])
+    batch = pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(payload, pa.binary())], names=["chunk", "payload"])
+    got = np.zeros(len(fields[0]), np.uint8)
+    for out in jaccard_join.merged([batch]):
+        at = out.column("chunk")[0].as_py() << jaccard_join.CHUNK_BITS
+        got[at: at + (1 << jaccard_join.CHUNK_BITS)] = np.frombuffer(jaccard_join.zlib.decompress(out.column("payload")[0].as_py()), np.uint8)
+    assert (got == np.floor(4 * np.log2(np.maximum(fields[0].astype(np.int64) + fields[1], 1)))).all()
 
 
 def test_quality(frame, edges, empty):

@@ -3,11 +3,11 @@
 Jaccard distance is a metric, but almost all documents lie at distance 1 from any pivot document, so regions around a
 bounded number of pivots would hold everything. The space is therefore cut twice.
 
-1. Cells. Two linked sets differ in at most ``t`` elements, a bound that follows from their sizes and the threshold. The shingle
-   universe is hashed into more than ``t`` parts, so linked sets agree on at least one whole part. Each set is placed
-   in one cell per part value; of the spare parts the smallest are left out, in the same order for both partners, so that
-   a common part always remains. Parts belong to size classes; a set that may have a partner in the class below is placed
-   there too. Documents that share cells, directly or through others, form a group; linked documents are always in one group.
+1. Cells. Shingles have one total order for the whole table: by how many documents hold a shingle, as far as a table of counts
+   of fixed size tells (``SLOT_BITS``), then by hash. Two linked sets share an element among the first ``n - ceil(percent * n / 100) + 1``
+   of each, whatever the order; a set is placed in the cell of each of these. Counting puts passages that many documents
+   share last, so that they tie few documents; wrong counts cost time, never links. Documents that share cells, directly or
+   through others, form a group; linked documents are always in one group.
 2. Pivots. Within a group distances spread, and the join is one of Voronoi regions: documents go to their nearest pivot
    and, if they lie within twice the radius of a farther one, into that region as well (triangle inequality).
    Members within the radius of a pivot are linked to it and need no comparison with each other. Regions join recursively until
@@ -20,17 +20,19 @@ Rows without doc_id take no part. Rows that share a doc_id share a class. Equal
 from __future__ import annotations
 
 import math
+import uuid
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 from .common import BASES, Rolling, batches, mix, signed, windows, word_hashes
 
-CLASS_RATIO = 1.5   # largest to smallest set of a size class
-SPARE = 0.12        # spare parts, as a share
+SLOT_BITS = 24          # slots of the table of counts; 16 MB as levels, whatever the input
+CHUNK_BITS = 16         # slots that are merged together
 FILTER_BITS = 1 << 24   # bits of the filter that spares documents outside all groups a shuffle; 2 MB, whatever the input
 
 
@@ -43,54 +45,76 @@ def shingles(text: bytes, size: int, rolling: Rolling) -> np.ndarray:
     return np.unique(windows(rolling, hashes, min(size, len(words))))
 
 
-def most_different(a: float, threshold: float) -> int:
-    """Largest symmetric difference between a set of ``a`` elements and any linked one."""
-    return math.floor((a + a / threshold) * (1 - threshold) / (1 + threshold) + 1e-9)
+def slots(found: np.ndarray) -> np.ndarray:
+    return (mix(found) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def cells(found: np.ndarray, threshold: float) -> np.ndarray:
-    """Cell hashes of a set."""
+def cells(found: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
+    """The elements of a set (ascending) by which it can meet linked sets: the first in order of level and hash."""
     n = len(found)
-    own = math.floor(math.log(n) / math.log(CLASS_RATIO) + 1e-9)
-    made = []
-    for cls in (own, own - 1):
-        if cls < 0 or cls < own and n * threshold > CLASS_RATIO ** own:
-            continue
-        # of two linked sets placed in the class, the smaller has at most ratio ** (cls + 1) elements
-        parts = most_different(CLASS_RATIO ** (cls + 1), threshold) + 1
-        parts += math.ceil(SPARE * parts) if parts > 4 else 0
-        mixed = mix(found + np.uint64(cls))
-        part = (mixed >> np.uint64(32)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        sums = np.r_[np.uint64(0), np.cumsum(mix(mixed[order]), dtype=np.uint64)]
-        count = np.bincount(part.astype(np.int64), minlength=parts)
-        end = np.cumsum(count)
-        value = sums[end] - sums[end - count]
-        keep = np.argsort(-count, kind="stable")[: min(parts, most_different(n, threshold) + 1)]
-        made.append(mix(value[keep] + np.uint64(BASES[0]) * (keep.astype(np.uint64) + np.uint64(1)) + np.uint64(BASES[1] * (cls + 1) % 2**64)))
-    return np.concatenate(made)
+    order = np.argsort(levels[slots(found)], kind="stable")
+    return found[order[: n + percent * n // -100 + 1]]
+
+
+def tally(field: np.ndarray):
+    """Non-zero slots as (chunk, payload): steps between slots and their counts."""
+    full = np.flatnonzero(field)
+    bounds = np.searchsorted(full, np.arange(0, len(field) + 1, 1 << CHUNK_BITS))
+    for chunk, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        if lo < hi:
+            steps = np.diff(full[lo:hi] - (chunk << CHUNK_BITS), prepend=0).astype(np.uint16)
+            yield chunk, zlib.compress(steps.tobytes() + field[full[lo:hi]].tobytes(), 1)
 
 
 def outlines(size: int):
+    """One row per document, and for each task its tally of shingles by slot."""
+    names = ["doc_id", "n_shingles", "s1", "s2", "chunk", "payload"]
+
     def run(iterator):
-        rolling = Rolling(BASES[0])
+        rolling, field = Rolling(BASES[0]), np.zeros(1 << SLOT_BITS, np.uint32)
         for batch in batches(iterator):
             rows = []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), size, rolling)
+                np.add.at(field, slots(found), np.uint32(1))
                 rows.append((len(found), *((np.sum(mix(found), dtype=np.uint64), np.sum(mix(found ^ np.uint64(BASES[1])), dtype=np.uint64)) if len(found) else (0, 0))))
             n, a, b = (np.array(x, np.uint64) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b))],
-                                             names=["doc_id", "n_shingles", "s1", "s2"])
+            none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), *none], names=names)
+        for chunk, payload in tally(field):
+            none = [pa.nulls(1, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array([chunk], pa.int32()), pa.array([payload], pa.binary())], names=names)
     return run
 
 
-def placed(size: int, threshold: float):
+def merged(iterator):
+    """Tallies of the chunks of a partition, added up; counts become levels, four to a doubling."""
+    total: dict[int, np.ndarray] = {}
+    for batch in iterator:
+        for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist()):
+            raw = zlib.decompress(payload)
+            n = len(raw) // 6
+            at = np.cumsum(np.frombuffer(raw, np.uint16, n).astype(np.int64))
+            total.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.uint64))[at] += np.frombuffer(raw, np.uint32, n, 2 * n)
+    for chunk, counts in total.items():
+        level = np.floor(4 * np.log2(np.maximum(counts, 1).astype(np.float64))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["chunk", "payload"])
+
+
+def slot_levels(tallies: DataFrame) -> np.ndarray:
+    """The level of each slot; at most ``1 << SLOT_BITS`` bytes reach the driver."""
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    for row in tallies.repartition("chunk").mapInArrow(merged, "chunk int, payload binary").collect():
+        levels[row["chunk"] << CHUNK_BITS: (row["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(row["payload"]), np.uint8)
+    return levels
+
+
+def placed(size: int, percent: int, levels):
     def run(iterator):
-        rolling = Rolling(BASES[0])
+        rolling, table = Rolling(BASES[0]), levels.value
         for batch in batches(iterator):
             found = [shingles(text.as_py(), size, rolling) for text in batch.column("text")]
-            made = [cells(x, threshold) if len(x) else x for x in found]
+            made = [cells(x, percent, table) if len(x) else x for x in found]
             rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in made])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(signed(np.concatenate(made)))], names=["doc_id", "cell"])
     return run
@@ -247,16 +271,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = 3, percent: int = 90, at_once: int = 4000, pivots: int = 32, chunk: int = 2000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
-    spark, threshold = docs.sparkSession, percent / 100
+    spark = docs.sparkSession
     given = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
     texts = given.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    outline = cut_lineage(given.withColumn("doc_id", F.col("doc_id").cast("long"))
-                          .mapInArrow(outlines(size), "doc_id long, n_shingles long, s1 long, s2 long"))
+    noted = cut_lineage(given.withColumn("doc_id", F.col("doc_id").cast("long"))
+                        .mapInArrow(outlines(size), "doc_id long, n_shingles long, s1 long, s2 long, chunk int, payload binary"))
+    outline = noted.filter("chunk is null").drop("chunk", "payload")
+    levels = spark.sparkContext.broadcast(slot_levels(noted.filter("chunk is not null").select("chunk", "payload")))
     own = outline.filter("doc_id is not null and n_shingles > 0")
     # equal sets are one node, named by its least doc_id
     reps = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     named = own.join(reps, ["s1", "s2"]).select("doc_id", "rep").distinct()
-    cell = texts.mapInArrow(placed(size, threshold), "doc_id long, cell long")
+    # read twice below: a table in the shared folder spares reading the texts again
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
+    texts.mapInArrow(placed(size, percent, levels), "doc_id long, cell long").write.parquet(folder)
+    cell = spark.read.parquet(folder)
     shared = cell.groupBy("cell").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").select("cell", "lead")
     met = cell.join(shared, "cell").filter("doc_id <> lead").select("lead", "doc_id").distinct()
     edges = (met.join(named.select(F.col("doc_id").alias("lead"), F.col("rep").alias("a")), "lead")
