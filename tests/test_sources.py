@@ -49,3 +49,16 @@ def test_snapshot_sink(spark, tmp_path):
     df = spark.range(5).select(F.col("id").cast("string").alias("url"))
     header = sinks.write_snapshot(df, str(tmp_path), F.lit("now")).first()
     assert header["count"] == 5 and spark.read.json(f"{tmp_path}/jobs").count() == 5
+
+
+def test_recipe_html(spark):
+    filler = "x " * 400
+    page = ("<ul><li class='job open' data-id=7><h3>Artist &amp; <b>Lead</b></h3><a href=\"/j/7\">more</a><span class=\"place\">Oslo</span></li>"
+            "<li class=\"ad\"><h3>No</h3><a href='/no'>x</a></li>"
+            f"<li class=\"job\" data-id='8'><h3>Coder {filler}<a href=https://o.example/8>go</a><em>Studio</em></li></ul>")
+    pages = spark.createDataFrame([("Acme", page), ("Nil", None), (None, "")], "company string, body string")
+    recipe = {"list_selector": "li.job", "fields": {"title": "h3", "url": "a@href", "location": ".place", "company": "em"}, "url_base": "https://b.example"}
+    got = sorted(tuple(r) for r in feeds.recipe_html(pages, recipe).collect())
+    assert got == [("Artist & Lead", "https://b.example/j/7", "Acme", "Oslo"), ("Coder " + filler + "go Studio", "https://o.example/8", "Studio", "")]
+    own = feeds.recipe_html(pages, {"list_selector": "li[data-id=8]", "fields": {"title": "em", "url": "@data-id"}, "url_base": "u/"}).collect()
+    assert [tuple(r) for r in own] == [("Studio", "u/8", "Acme", "")]

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates, text, urls
@@ -323,71 +323,89 @@ def apply_link(body: Column, own_host: str, redirect_host: str = "recruitics.com
 
 # --- recipe for pages ---------------------------------------------------------------------------
 
-def _selector(sel: str) -> tuple[str, list[str]]:
-    """Tag and attribute patterns of one compound selector."""
-    tests = [rf"\b{re.escape(n)}" + (rf"\s*=\s*[\"']?{re.escape(v)}[\"'\s>]" if v else r"\b")
-             for n, v in re.findall(r"\[([\w:-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]", sel)]
-    rest = re.sub(r"\[[^\]]*\]", "", sel)
-    name = re.match(r"[A-Za-z][\w-]*", rest)
-    tests += [rf"\bclass\s*=\s*[\"'][^\"']*\b{re.escape(k)}\b" for k in re.findall(r"\.([\w-]+)", rest)]
-    tests += [rf"\bid\s*=\s*[\"']?[^\"'>]*\b{re.escape(k)}\b" for k in re.findall(r"#([\w-]+)", rest)]
-    return (name[0] if name else ""), tests
+_PART = re.compile(r"""\[\s*(?P<attr>[\w:-]+)\s*(?:=\s*["']?(?P<value>[^"'\]]*)["']?\s*)?\]|(?P<mark>[.\#])(?P<name>[\w-]+)|(?P<tag>[A-Za-z][\w-]*)""")
+# Entities that recipe pages are decoded for, in this order.
+_PAGE_ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">"}
 
 
-def _openings(html: str, sel: str):
-    name, tests = _selector(sel)
-    for m in re.finditer(rf"<({name or '[A-Za-z][\\w-]*'})\b([^>]*)>", html, re.I):
-        if all(re.search(p, m[2] + " ", re.I) for p in tests):
-            yield m, name
+def page_tokens(html: Column) -> Column:
+    """Tags and the texts between them, in order; a sign < that opens no tag is text."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?s)(<[^>]*>|[^<]+|<)"), F.lit(1))
 
 
-def _plain(s: str) -> str:
-    s = re.sub(r"<[^>]*>", " ", s)
-    for mark, by in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        s = s.replace(mark, by)
-    return re.sub(r"\s+", " ", s).strip()
+def tag_name(token: Column) -> Column:
+    return F.lower(F.regexp_extract(token, r"^<([A-Za-z][\w-]*)[\s/>]", 1))
 
 
-def _attribute(tag_text: str, name: str) -> str:
-    m = re.search(rf"\b{re.escape(name)}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", tag_text, re.I)
-    return next((g.strip() for g in m.groups() if g is not None), "") if m else ""
+def tag_attribute(token: Column, name: str) -> Column:
+    """Value of an attribute without its quotes; '' when it is not there."""
+    quoted = F.regexp_extract(token, rf"(?is)[\s\"']{re.escape(name)}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    return F.trim(F.regexp_replace(quoted, r"^[\"']|[\"']$", ""))
 
 
-def _field(block: str, spec: str | None) -> str:
-    if not spec:
-        return _plain(block)
-    sel, _, attr = spec.partition("@")
-    if not sel.strip() and attr:
-        return _attribute(re.match(r"<[^>]*>", block)[0], attr) if block.startswith("<") else ""
-    for m, name in _openings(block, sel.strip()):
-        if attr:
-            return _attribute(m[2], attr.strip())
-        after = block[m.end():]
-        close = re.search(rf"</{name}\s*>", after, re.I) if name else re.search("<", after)
-        return _plain(after[:close.start()] if close else after)
-    return ""
+def compound(selector: str):
+    """Element name ('' for any) and test of an opening tag. Classes and ids match a whole word of the attribute."""
+    name, tests = "", []
+    for m in _PART.finditer(selector):
+        if m["tag"]:
+            name = m["tag"].lower()
+            tests.append(lambda t, n=name: tag_name(t) == n)
+        elif m["mark"]:
+            kind = "class" if m["mark"] == "." else "id"
+            tests.append(lambda t, kind=kind, n=m["name"]: F.rlike(tag_attribute(t, kind), F.lit(rf"(?i)\b{re.escape(n)}\b")))
+        elif m["value"]:
+            tests.append(lambda t, n=m["attr"], v=m["value"].lower(): F.lower(tag_attribute(t, n)) == v)
+        else:
+            tests.append(lambda t, n=m["attr"]: F.rlike(t, F.lit(rf"(?i)[\s\"']{re.escape(n)}(?=[\s=/>])")))
+
+    def test(token: Column) -> Column:
+        return reduce(lambda a, b: a & b, [f(token) for f in tests], tag_name(token) != "")
+    return name, test
+
+
+def page_text(tokens: Column) -> Column:
+    """The texts of tokens; every tag parts words."""
+    joined = F.array_join(F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit(r"(?s)^<.*>$")), " ").otherwise(t)), "")
+    decoded = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _PAGE_ENTITIES.items(), joined)
+    return text.squeeze(decoded)
+
+
+def element_blocks(tokens: Column, selector: str) -> Column:
+    """array<array<string>>: from each element that the selector finds up to the next one."""
+    _, test = compound(selector)
+    numbers = F.filter(F.transform(tokens, lambda t, i: F.when(test(t), i + 1)), lambda i: i.isNotNull())
+    return let(numbers, lambda at: F.transform(at, lambda s, k: F.slice(tokens, s, F.coalesce(F.get(at, k + 1), F.size(tokens) + 1) - s)))
+
+
+def block_field(block: Column, spec: str) -> Column:
+    """``selector`` (text of the element), ``selector@attribute``, ``@attribute`` (of the block's own tag), or '' (text of the block)."""
+    selector, _, attribute = (part.strip() for part in spec.partition("@"))
+    if not selector:
+        return tag_attribute(F.get(block, F.lit(0)), attribute) if attribute else page_text(block)
+    name, test = compound(selector)
+
+    def inside(rest: Column) -> Column:
+        # the element ends at the closing tag of its name; without a name, at the next tag
+        closing = F.lit(rf"(?i)^</{name}\s*>" if name else "^<")
+        return let(F.array_position(F.transform(rest, lambda t: F.rlike(t, closing)), F.lit(True)).cast("int"),
+                   lambda end: page_text(F.when(end > 0, F.slice(rest, 1, end - 1)).otherwise(rest)))
+
+    def found(at: Column) -> Column:
+        value = tag_attribute(F.get(block, at - 1), attribute) if attribute else let(F.slice(block, at + 1, F.size(block)), inside)
+        return F.when(at > 0, value).otherwise("")
+    return let(F.array_position(F.transform(block, test), F.lit(True)).cast("int"), found)
 
 
 def recipe_html(payload: DataFrame, recipe: dict) -> DataFrame:
-    """Postings of pages by configured selectors. Nested markup needs a scan per block, so pages go through
-    ``mapInPandas`` in Arrow batches, one page at a time."""
+    """Postings of pages by configured selectors, one row per block that has a title and a url."""
     fields, base = recipe.get("fields", {}), recipe.get("url_base", "")
-
-    def read(batches):
-        for batch in batches:
-            rows = []
-            for company, html in zip(batch["company"], batch["body"]):
-                starts = [m.start() for m, _ in _openings(html or "", recipe["list_selector"])]
-                for a, b in zip(starts, starts[1:] + [len(html or "")]):
-                    block = html[a:b]
-                    title, url = _field(block, fields.get("title")), _field(block, fields.get("url"))
-                    if title and url:
-                        named = _field(block, fields["company"]) if fields.get("company") else ""
-                        place = _field(block, fields["location"]) if fields.get("location") else ""
-                        rows.append((title, url if re.match("[a-z]+://", url) else base + url, named or company or "", place))
-            yield pd.DataFrame(rows, columns=POSTING)
-
-    return payload.select("company", "body").mapInPandas(read, ", ".join(f"{c} string" for c in POSTING))
+    block = payload.select("company", F.explode(element_blocks(page_tokens(F.col("body")), recipe["list_selector"])).alias("block"))
+    optional = lambda name: block_field(F.col("block"), fields[name]) if fields.get(name) else F.lit("")
+    read = block.select(
+        block_field(F.col("block"), fields.get("title") or "").alias("title"), block_field(F.col("block"), fields.get("url") or "").alias("url"),
+        F.coalesce(F.nullif(optional("company"), F.lit("")), "company", F.lit("")).alias("company"), optional("location").alias("location"))
+    full = F.when(F.rlike("url", F.lit("^[a-z]+://")), F.col("url")).otherwise(F.concat(F.lit(base), F.col("url")))
+    return read.filter("title <> '' and url <> ''").select(*[full.alias(c) if c == "url" else F.col(c) for c in POSTING])
 
 
 # --- directories --------------------------------------------------------------------------------
