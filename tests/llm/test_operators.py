@@ -174,6 +174,18 @@ def test_quality(frame, edges, empty):
     assert quality_rules.keep(edges).columns == edges.columns and quality_rules.judged(empty).count() == 0
 
 
+def test_quality_words_decide(frame):
+    """A long text without common words is rejected by its words alone; a short one is not judged by them."""
+    rng = random.Random(12)
+    made = lambda n, share: " ".join(rng.choice(quality_rules.COMMON["en"]) if rng.random() < share else "".join(rng.choice("aeioustrn") for _ in range(5)) for _ in range(n))
+    prose = [(i, made(400, 0.2)) for i in range(40)]
+    got = {r.doc_id: r for r in quality_rules.judged(frame([*prose, (100, made(300, 0)), (101, made(60, 0)), (102, "x"), (103, None)])).select("doc_id", "_q.*").collect()}
+    assert all(got[i].kept and got[i].word_distance < 0.2 for i, _ in prose)
+    assert not got[100].kept and not got[100].base_failed and got[100].class_distance < 0.3 and got[100].word_distance > 0.25
+    assert got[101].kept and got[101].word_distance > 0.25
+    assert got[102].word_distance > 0.25 and got[103].word_distance is None
+
+
 def test_toxicity(spark, frame, edges, empty):
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice(["plain", "quiet", "words", "here"]) for _ in range(30)) + (" you awful m0r0n" if i % 4 == 0 else " fair day" if i % 3 else " awful weather")) for i in range(400)]
