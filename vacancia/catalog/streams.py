@@ -69,3 +69,11 @@ def str05(t):
 def str06(t):
     out = streams.drain(streams.repost_windows(line_stream(t)), "complete")
     return out.select("company", "role_key", C("span.start").cast("date").alias("window_start"), "n")
+
+
+@query("str07_reposts", """WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS company, p_name AS role_key, 'https://lines.example.com/' || l_suppkey || '/' || l_partkey AS url, CAST(l_shipdate AS DATE) AS day FROM lineitem JOIN part ON l_partkey = p_partkey),
+  d AS (SELECT company, role_key, url, day, count(*) AS n FROM p GROUP BY ALL)
+  SELECT d.company, d.role_key, d.url, d.day, d.n, CAST(coalesce(sum(o.n), 0) AS BIGINT) AS reposts, count(DISTINCT o.url) AS urls
+  FROM d LEFT JOIN d o ON o.company = d.company AND o.role_key = d.role_key AND o.url <> d.url AND o.day < d.day AND o.day >= d.day - 90 GROUP BY ALL""")
+def str07(t):
+    return streams.latest(streams.drain(streams.reposts(line_stream(t)), "update"), "company", "role_key", "url", "day")

@@ -5,6 +5,7 @@ executors. Sinks write folders; nothing passes the driver.
 """
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -153,12 +154,86 @@ def weekly_activity(stream: DataFrame, at: str, watermark: str = "7 days") -> Da
 
 
 def repost_windows(stream: DataFrame, at: str = "postedDate", days: int = 90, slide: int = 30, watermark: str = "1 day") -> DataFrame:
-    """Postings per employer, folded title and sliding window of ``days``."""
+    """Postings per employer, folded title and sliding window of ``days``. All postings count, and windows start every ``slide`` days; for reposts see :func:`reposts`."""
     return (stream.withColumn("role_key", fold(F.col("title"))).withWatermark(at, watermark)
             .groupBy("company", "role_key", F.window(at, f"{days} days", f"{slide} days").alias("span")).agg(F.count("*").alias("n")))
 
 
-def latest(updates: DataFrame, key: str) -> DataFrame:
+class _Reposts(StatefulProcessor):
+    """Postings of one role per url and day. Every day is kept, so that rows may come late, out of order or in parts."""
+
+    def __init__(self, days: int):
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "day long, url string", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        # an empty url stands for none: keys of the state are never null
+        known, fresh = {(day, url): n for (day, url), (n,) in self.seen.iterator()}, set()
+        for batch in rows:
+            for at in zip(batch["number"], batch["mark"]):
+                at = (int(at[0]), at[1])
+                known[at] = known.get(at, 0) + 1
+                fresh.add(at)
+        for at in fresh:
+            self.seen.updateValue(at, (known[at],))
+        yield from self.counted(key, known, fresh)
+
+    def counted(self, key, known, fresh) -> Iterator[pd.DataFrame]:
+        """The entries that ``fresh`` ones change, themselves included; urls that stand for none meet no other."""
+        order, held, out = sorted(known), {}, []
+        changed = sorted({day for day, _ in fresh})
+        first = last = total = 0
+        for day, url in order:
+            while order[last][0] < day:  # enters
+                d, u = order[last]
+                if u:
+                    held.setdefault(u, {})[d] = known[d, u]
+                    total += known[d, u]
+                last += 1
+            while order[first][0] < day - self.days:  # leaves
+                d, u = order[first]
+                if u:
+                    total -= held[u].pop(d)
+                    if not held[u]:
+                        del held[u]
+                first += 1
+            near = bisect.bisect_left(changed, day - self.days)
+            if (day, url) in fresh or near < len(changed) and changed[near] < day:
+                whole = url and None not in key
+                out.append((*key, url[1:] if url else None, day, known[day, url], total - sum(held.get(url, {}).values()) if whole else 0,
+                            len(held) - (url in held) if whole else 0))
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=_REPOST)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=_REPOST)
+
+    def close(self) -> None:
+        pass
+
+
+_REPOST = ["company", "role_key", "url", "number", "n", "reposts", "urls"]
+_NO_DAY = -(1 << 40)  # before every window
+
+
+def reposts(stream: DataFrame, at: str = "postedDate", days: int = 90) -> DataFrame:
+    """Per employer, folded title, url and day: postings and distinct urls of the same role under another url in the ``days`` days before.
+
+    The twin is ``snapshot.repost_counts``. An update holds the rows that a micro-batch changes; read the last one per
+    company, role_key, url and day. State holds one entry per role, url and day and is not bounded by a watermark, which would lose late rows.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    marked = stream.select("company", fold(F.col("title")).alias("role_key"), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")).alias("mark"),
+                           F.coalesce(F.unix_date(F.col(at).cast("date")).cast("long"), F.lit(_NO_DAY)).alias("number"))
+    out = marked.groupBy("company", "role_key").transformWithStateInPandas(
+        _Reposts(days), "company string, role_key string, url string, number long, n long, reposts long, urls long", "Update", "None")
+    day = F.when(F.col("number") > _NO_DAY, F.date_from_unix_date(F.col("number").cast("int")))
+    return out.select("company", "role_key", "url", day.alias("day"), "n", "reposts", "urls")
+
+
+def latest(updates: DataFrame, *key: str) -> DataFrame:
     """Last state per key of an update stream read back."""
-    rest = [c for c in updates.columns if c not in (key, "batch")]
-    return updates.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
+    rest = [c for c in updates.columns if c not in (*key, "batch")]
+    return updates.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
