@@ -1,7 +1,7 @@
 """Documents to packed training sequences: quality rules, near duplicates, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again for the next one.
-Stages may thus number rows by place: they read files. Rows without doc_id are never near duplicates of others.
+Stages may thus number rows by place: they read files. Rows count as documents of their own, whether their doc_id is missing, repeated or neither.
 """
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacancia.llm import jaccard_join, mixing, packing, quality_rules, secret_scan
-from vacancia.session import checkpoint_dir
+from vacancia.session import checkpoint_dir, cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +19,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the least doc_id."""
-    found = jaccard_join.classes(docs, size=5, percent=80)
-    others = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    """Of each group of rows linked by five-word shingles at a similarity of 0.8 or more, the one with the least doc_id, then place."""
+    row = F.monotonically_increasing_id()
+    found = jaccard_join.classes(docs.select(row.alias("doc_id"), "text"), size=5, percent=80)
+    others = cut_lineage(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_row"), "component_id"))
+    grouped = others.unionByName(others.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    ids = docs.select(row.alias("_row"), "doc_id").join(grouped, "_row")
+    least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    gone = grouped.select("_row").join(least, "_row", "left_anti")
+    return docs.withColumn("_row", row).join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets),
           ("mixing sources", mixture), ("best-fit packing", packs)]
-#: SQL cannot express the group joins, the divergence verdict and the packing; tests compare with brute force.
+#: SQL cannot express the group joins, the divergence verdict and the packing; tests compare near duplicates with brute force, the other stages by cases.
 ORACLE_SQL = None
 
 

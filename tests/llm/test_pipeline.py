@@ -1,6 +1,7 @@
 """Stages hand on the columns of documents, and their decisions take effect."""
 import random
 
+import brute
 import corpus_pipeline
 from conftest import EDGES
 
@@ -27,3 +28,27 @@ def test_stages(spark, frame, tmp_path):
         if number == 2:
             assert "[SECRET]" in next(r.text for r in docs.collect() if r.doc_id == 52)
     assert docs.filter("bin is not null").count() > 0
+
+
+def test_near_duplicates_by_row(spark, frame):
+    """Rows with null and repeated ids are handled like others: one row per class stays, the one with the least doc_id."""
+    rng = random.Random(8)
+    made = lambda: " ".join("".join(rng.choice("aeioustrn") for _ in range(6)) for _ in range(120))
+    a, b, c, d = (made() for _ in range(4))
+    near = lambda t: t + " more"
+    docs = [(1, a), (1, a), (9, near(a)), (9, b), (None, c), (None, c), (20, near(c)), (None, d), (None, near(d)), (5, None), (5, ""), (None, None)]
+    docs += [(i, rng.choice([a, b, made()])) for i in range(30, 60)]
+    rng.shuffle(docs)
+    parent = {row: root for row, _, root in brute.classes([(i, t) for i, (_, t) in enumerate(docs)], 5, 80)}
+    groups = {}
+    for row, root in parent.items():
+        groups.setdefault(root, []).append(row)
+    key = lambda r: (docs[r][0] is None, docs[r][0] or 0)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, frame(docs), "unused").collect()]
+    for rows in groups.values():
+        # rows of one class with equal ids may differ in text: any of them may be the one that stays
+        texts = {docs[r] for r in rows}
+        stay = [x for x in got if x in texts]
+        if all(docs[r][1] for r in rows):
+            assert len(stay) == 1 and stay[0][0] == docs[min(rows, key=key)][0]
+    assert len(got) == len(groups)
