@@ -104,3 +104,133 @@ def licenses(text):
         at += here
         labels += [label] * bool(here)
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def suffixes(docs, size=100):
+    """(doc_id, text), one row per doc_id -> (doc_id, bytes, removed, spans, kept hash)."""
+    seen = {}
+    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        b = (text or "").encode()
+        for i in range(len(b) - size + 1):
+            seen.setdefault(b[i:i + size], (doc, i))
+    out = []
+    for doc, text in docs:
+        b = (text or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - size + 1):
+            if seen[b[i:i + size]] != (doc, i):
+                gone[i:i + size] = b"\1" * size
+        spans = sum(1 for i in range(len(b)) if gone[i] and not (i and gone[i - 1]))
+        out.append((doc, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return out
+
+
+def cheapest(turns):
+    """(cost, audit) of the cheapest repair, by trying every edit with up to three inserts in a row. turns: one letter each, see turn_repair."""
+    import functools
+
+    @functools.lru_cache(None)
+    def go(i, state, inserted):
+        ways = [(0, "")] if i == len(turns) and state in (0, 3) else []
+        want = "a" if state == 2 else "u"
+        after = 2 if want == "u" else 3
+
+        def add(cost, letter, rest):
+            ways.append((cost + rest[0], letter + rest[1]))
+        if inserted < 3:
+            add(2, "I", go(i, after, inserted + 1))
+        if i < len(turns):
+            add(3, "D", go(i + 1, state, 0))
+            if turns[i] != "d":
+                cut = turns[i].isupper()
+                if turns[i].lower() == want:
+                    add(cut, "K", go(i + 1, after, 0))
+                if turns[i].lower() == "s" and state == 0:
+                    add(cut, "K", go(i + 1, 1, 0))
+                add(2 + cut, "R", go(i + 1, after, 0))
+        return min(ways, default=(10 ** 9, ""))
+    return go(0, 0, 0)
+
+
+def conversations(rows):
+    """(conv_id, turn, role, text) after damage -> conv_id -> gaps, blank, duplicate, truncated, illegal, cost, audit, hash."""
+    found = {}
+    for conv, turn, role, text in rows:
+        found.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    out = []
+    for conv, turns in found.items():
+        turns.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], hashlib.md5(x[2].encode()).digest()))
+        numbers = [t[0] for t in turns if t[0] is not None]
+        gaps = max(numbers) - min(numbers) + 1 - len(set(numbers)) if numbers else 0
+        seen, code, counts = set(), "", [0, 0, 0]
+        for _, role, text in turns:
+            kind = role[:1] if role[:1] in ("s", "u", "a") else "x"
+            body = text.strip(SPACE)
+            fault = 0 if not body else 1 if (role, text) in seen else 2 if body[-1] not in ".!?" else None
+            if fault is not None:
+                counts[fault] += 1
+            code += "d" if fault in (0, 1) else kind.upper() if fault == 2 else kind
+            seen.add((role, text))
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        cost, audit = cheapest(code)
+        lines, state, at = [], 0, 0
+        for letter in audit:
+            want = "a" if state == 2 else "u"
+            role, text = {"u": "user", "a": "assistant"}[want], ""
+            if letter != "I":
+                _, had, text = turns[at]
+                at += 1
+                role = had if letter == "K" else role
+                if letter == "D":
+                    continue
+                if letter == "K" and state == 0 and had[0] == "s":
+                    state = 1
+                    lines.append(f"{role}:{text}")
+                    continue
+            lines.append(f"{role}:{text}")
+            state = 2 if want == "u" else 3
+        out.append((conv, gaps, *counts, illegal, cost, audit, digest("\n".join(lines))))
+    return out
+
+
+def field(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def manifest(rows, fanout):
+    """(doc_id, source, lang, n_chars, text) and the text that arrived -> doc_id, leaf, subroot, root, proof, folded root."""
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([digest(*out[-1][i:i + fanout]) for i in range(0, len(out[-1]), fanout)])
+        return out
+
+    def path(tree, i):
+        out = []
+        for nodes in tree[:-1]:
+            start = i // fanout * fanout
+            out.append((nodes[start:i], nodes[i + 1:start + fanout]))
+            i //= fanout
+        return out
+    trees = {}
+    for row, arrived in rows:
+        head = [field(x) for x in row[:4]]
+        trees.setdefault(row[1], []).append((row[0] is not None, row[0] or 0, digest(*head, field(row[4])), digest(*head, field(arrived)), row[0]))
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    for leaves in trees.values():
+        leaves.sort(key=lambda x: x[:3])
+    made = {s: levels([x[2] for x in trees[s]]) for s in names}
+    top = levels([made[s][-1][0] for s in names]) if names else []
+    out = []
+    for k, s in enumerate(names):
+        for i, x in enumerate(trees[s]):
+            way = path(made[s], i) + path(top, k)
+            root = x[3]
+            for before, after in way:
+                root = digest(*before, root, *after)
+            out.append((x[4], x[2], made[s][-1][0], top[-1][0], digest(*[h for b, a in way for h in b + a]), root))
+    return out
