@@ -175,3 +175,12 @@ def test_manifest_proofs_hold(frame):
     assert got.filter("verified").count() == 400 and got.select("root").distinct().count() == 1
     one = manifest.verified(frame([(1, "t", "s")]), 4, 1).first()
     assert one["leaf"] == one["subroot"] == one["root"] == one["folded_root"] and one["proof_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_suffixes_of_wide_buckets(frame, monkeypatch):
+    rng = random.Random(9)
+    line = "every document carries this very common line of text and all of them do so without end. "
+    docs = [(i, "".join(rng.choice("abcdef ") for _ in range(90)) + line + (line if i % 3 else "") + "".join(rng.choice("abcdef ") for _ in range(90))) for i in range(250)]
+    for wide in (1, 64):
+        monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+        assert kept(frame(docs).repartition(9)) == want(brute.suffixes(docs))

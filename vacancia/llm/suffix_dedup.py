@@ -7,11 +7,11 @@ of equals), so equal windows sample the same suffix at the same distance; a suff
 The identifier is its initial bucket. Identifiers of twice the depth come from the identifiers at a position and at a later offset, and are used
 again for the next depth until they name whole windows; those of a stretch's first and last window, which overlap, name all its bytes. A bucket is refined
 by sorting on these: suffixes that agree repeat each other as a whole, and of each finer bucket only the earliest suffix is left. Where a bucket has several
-finer ones, the windows of what is left are sorted by their identifiers (two of 64 bits), and all but the earliest of equal ones repeat.
+finer ones, the bytes of what is left meet again by bucket, and their windows are sorted by identifiers (two of 64 bits): all but the earliest of equal ones repeat.
 
-A slice of a few megabytes is sorted by itself before anything is shuffled. Of suffixes that agree, one leaves the slice; of a bucket with several finer ones, one
-marker leaves it, and the windows are asked for without a meeting. So a bucket that holds a third of all rows, or windows that they share, bring one row per slice. What
-a slice knows travels under a key of its own. Long texts are worked in pieces of ``PIECE`` windows; a stretch cut there only asks for its windows.
+A slice of some megabytes is sorted by itself before anything is shuffled. Of suffixes that agree, one leaves the slice. Buckets of more than ``WIDE`` finer ones in a slice, or rows
+among slices, are wide: not the bytes of their suffixes meet but single windows, spread by identifier, of equal ones one per slice. So a bucket or window that a third of all rows
+share brings few rows per slice to a task. What a slice knows travels under a key of its own. Long texts are worked in pieces of ``PIECE`` windows; a stretch cut there only asks for its windows.
 
 Nulls are empty. Null doc_ids come first. Rows with one doc_id and different texts go by a hash of the text; rows equal in both are one
 document and share its result. Texts under ``size`` bytes keep all. Matches never cross documents. Extra columns are ignored by :func:`removed`
@@ -31,7 +31,9 @@ from .common import batches, keyed, mix, same, signed
 KEY = ["doc_id", "text_key"]
 GRAM = 25
 PIECE = 1 << 20
-ASK, REPEATS, OPEN = 0, 1, 2
+WIDE = 64
+SLICE = 32 << 20
+ASK, REPEATS, OPEN, OPEN_WIDE = 0, 1, 2, 3
 #: Two odd multipliers for each family of identifiers.
 FAMILIES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -128,10 +130,15 @@ def repeated_before(*columns) -> np.ndarray:
     return out
 
 
+def span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A range in one number: its first place above 32 bits of length."""
+    return first << 32 | (last - first)
+
+
 def suffixes(size: int):
-    """Per slice: what must meet the suffixes of other slices (ASK; a marker has no finer bucket), what repeats (REPEATS) and what to open (OPEN)."""
+    """Per slice: what must meet the suffixes of other slices (ASK; a marker of a wide bucket has no finer one), what repeats and what to open window by window."""
     def run(iterator):
-        for batch in batches(iterator):
+        for batch in batches(iterator, SLICE):
             found = []
             for rows, starts, parts in pieces(batch, size):
                 bucket, finer, first, last, part = sampled(np.concatenate(parts), np.cumsum([len(p) for p in parts]), size)
@@ -150,96 +157,151 @@ def suffixes(size: int):
             sure = again & ~repeated_before(rank[row], first)
             new_bucket = ~repeated_before(bucket)
             number = np.cumsum(new_bucket) - 1
-            several = np.bincount(number[head])[number] > 1
+            wide = np.bincount(number[head])[number] > WIDE
             s_row, s_first, s_last = together(row[sure], first[sure], last[sure])
-            ask, open_, marker = head & ~several, head & several, new_bucket & several
+            ask, open_, marker = head & ~wide, head & wide, new_bucket & wide
+            n = int(ask.sum())
             take = np.concatenate([row[ask], row[marker], row[open_], s_row])
-            kinds = np.repeat([ASK, ASK, OPEN, REPEATS], [ask.sum(), marker.sum(), open_.sum(), len(s_row)])
+            kinds = np.repeat([ASK, ASK, OPEN_WIDE, REPEATS], [n, marker.sum(), open_.sum(), len(s_row)])
             buckets = np.concatenate([bucket[ask], bucket[marker], own_keys(row[open_], first[open_]), own_keys(s_row, s_first)])
-            finers = np.concatenate([finer[ask], np.zeros(len(take) - ask.sum(), np.uint64)])
-            known = np.zeros(len(take), bool)
-            known[:ask.sum()] = True
+            finers = np.concatenate([finer[ask], np.zeros(len(take) - n, np.uint64)])
+            spans = np.concatenate([span(first[x], last[x]) for x in (ask, marker, open_)] + [span(s_first, s_last)])
             out = batch.select(KEY).take(pa.array(take))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(signed(buckets)), pa.array(kinds.astype(np.int8)), pa.array(signed(finers), mask=~known),
-                 pa.array(np.concatenate([first[ask], first[marker], first[open_], s_first])), pa.array(np.concatenate([last[ask], last[marker], last[open_], s_last]))],
-                names=[*KEY, "bucket", "kind", "finer", "first", "last"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(signed(buckets)), pa.array(kinds.astype(np.int8)),
+                                              pa.array(signed(finers), mask=np.arange(len(take)) >= n), pa.array(spans)], names=[*KEY, "bucket", "kind", "finer", "span"])
     return run
 
 
-def windows_of(batch, size: int):
-    """(row, start, k1, k2) of the windows of the stretches asked for, about PIECE bytes at once."""
-    rows, firsts, counts, parts, held = [], [], [], [], 0
+MEETING = "key long, k2 long, bytes binary, span long, known boolean"
 
-    def done():
-        n = np.array(counts)
-        data, begin = np.concatenate(parts), np.cumsum([0, *[len(p) for p in parts]])[:-1]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(begin, n) + within
-        return np.repeat(rows, n), np.repeat(firsts, n) + within, named(data, size, 0)[at], named(data, size, 1)[at]
 
-    for row, (text, asked) in enumerate(zip(batch.column("text"), batch.column("asked"))):
-        raw = np.frombuffer(text.as_buffer(), np.uint8)
-        for r in asked.as_py():
-            part = raw[r["first"]:r["last"] + size]
-            rows.append(row)
-            firsts.append(r["first"])
-            counts.append(r["last"] - r["first"] + 1)
-            parts.append(part)
-            held += len(part)
-            if held >= PIECE:
-                yield done()
-                rows, firsts, counts, parts, held = [], [], [], [], 0
-    if parts:
-        yield done()
+def opened(size: int):
+    """Per slice: the bytes of each stretch to open, under its bucket. Of a wide bucket the windows, under their identifiers, the earliest of equal ones, and those known to repeat."""
+    def run(iterator):
+        for batch in batches(iterator, SLICE):
+            rows, keys, spans, parts, wide = [], [], [], [], []
+            for row, (text, asked) in enumerate(zip(batch.column("text"), batch.column("asked"))):
+                raw = text.as_py()
+                for r in asked.as_py():
+                    first, last = r["span"] >> 32, (r["span"] >> 32) + (r["span"] & 0xFFFFFFFF)
+                    if r["kind"] == OPEN_WIDE:
+                        wide.append((row, first, raw[first:last + size]))
+                    else:
+                        rows.append(row)
+                        keys.append(r["bucket"])
+                        spans.append(r["span"])
+                        parts.append(raw[first:last + size])
+            if rows:
+                yield meeting(batch, np.array(rows), np.array(keys, np.int64), np.zeros(len(rows), np.int64), parts, np.array(spans, np.int64), False)
+            if wide:
+                rank = order_of(batch)
+                row, start, k1, k2 = windows_of(*zip(*wide), size)
+                later, row, start, k1, k2 = sorted_windows(rank[row], row, start, k1, k2)
+                s_row, s_first, s_last = together(row[later], start[later], start[later])
+                ask = ~repeated_before(k1, k2)
+                yield meeting(batch, row[ask], signed(k1[ask]), signed(k2[ask]), None, span(start[ask], start[ask]), False)
+                if len(s_row):
+                    yield meeting(batch, s_row, signed(own_keys(s_row, s_first)), np.zeros(len(s_row), np.int64), None, span(s_first, s_last), True)
+    return run
 
 
-def opened(size: int):
-    """Per slice: the windows of the stretches to open, the earliest of equal ones (ASK), and those that repeat one of the slice (REPEATS)."""
+def meeting(batch, row, key, k2, parts, spans, known) -> pa.RecordBatch:
+    out = batch.select(KEY).take(pa.array(row))
+    n = len(row)
+    return pa.RecordBatch.from_arrays([*out.columns, pa.array(key), pa.array(k2), pa.array(parts, pa.binary()) if parts else pa.nulls(n, pa.binary()), pa.array(spans),
+                                       pa.array(np.full(n, known))], names=[*KEY, "key", "k2", "bytes", "span", "known"])
+
+
+def windows_of(rows, firsts, parts, size: int):
+    """(row, start, k1, k2) of all windows of parts of texts, about PIECE bytes at once."""
+    out, start = [], 0
+    while start < len(parts):
+        end, held = start, 0
+        while end < len(parts) and held < PIECE:
+            held += len(parts[end])
+            end += 1
+        length = np.array([len(p) for p in parts[start:end]])
+        n = length - size + 1
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(length) - length, n) + within
+        data = np.frombuffer(b"".join(parts[start:end]), np.uint8)
+        out.append((np.repeat(rows[start:end], n), np.repeat(firsts[start:end], n) + within, named(data, size, 0)[at], named(data, size, 1)[at]))
+        start = end
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def sorted_windows(rank, row, start, k1, k2):
+    """Windows in order of identifier, rank and start, and whether an earlier one has the same identifier; equal rows are one document."""
+    by = np.lexsort((start, rank, k2, k1))
+    rank, row, start, k1, k2 = rank[by], row[by], start[by], k1[by], k2[by]
+    new = ~repeated_before(k1, k2)
+    heads = np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    later = ~new & ((rank != rank[heads]) | (start != start[heads]))
+    return later, row, start, k1, k2
+
+
+def met(size: int):
+    """Rows in order of key, all of a key in one partition -> the ranges of windows that start earlier elsewhere. Holds the rows of one key, or an Arrow batch, at a time."""
+    names = [*KEY, "key", "k2", "bytes", "span", "known"]
+
+    def settle(rows: pa.Table):
+        batch = rows.combine_chunks().to_batches()[0]
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        spans = batch.column("span").to_numpy()
+        alone = np.array(batch.column("bytes").is_null()) & ~known
+        parts_at = np.flatnonzero(np.array(batch.column("bytes").is_valid()))
+        row, start = np.flatnonzero(alone), spans[alone] >> 32
+        k1, k2 = (batch.column(c).to_numpy().view(np.uint64)[alone] for c in ("key", "k2"))
+        if len(parts_at):
+            parts = batch.column("bytes").take(pa.array(parts_at)).to_pylist()
+            more = windows_of(parts_at, spans[parts_at] >> 32, parts, size)
+            row, start, k1, k2 = (np.concatenate(x) for x in zip((row, start, k1, k2), more))
+        later, row, start, _, _ = sorted_windows(order_of(batch)[row], row, start, k1, k2)
+        row, first, last = together(row[later], start[later], start[later])
+        row, spans = np.concatenate([row, np.flatnonzero(known)]), np.concatenate([span(first, last), spans[known]])
+        if len(row):
+            out = batch.select(KEY).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(spans)], names=[*KEY, "span"])
+
     def run(iterator):
-        for batch in batches(iterator):
-            found = list(windows_of(batch, size))
-            if not found:
+        held = None
+        for batch in iterator:
+            if not batch.num_rows:
                 continue
-            row, start, k1, k2 = (np.concatenate(x) for x in zip(*found))
-            rank = order_of(batch)
-            by = np.lexsort((start, rank[row], k2, k1))
-            row, start, k1, k2 = row[by], start[by], k1[by], k2[by]
-            again = repeated_before(k1, k2)
-            sure = again & ~repeated_before(rank[row], start)
-            s_row, s_first, s_last = together(row[sure], start[sure], start[sure])
-            ask = ~again
-            n = int(ask.sum())
-            out = batch.select(KEY).take(pa.array(np.concatenate([row[ask], s_row])))
-            yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(signed(np.concatenate([k1[ask], own_keys(s_row, s_first)]))),
-                 pa.array(signed(np.concatenate([k2[ask], np.zeros(len(s_row), np.uint64)]))), pa.array(np.repeat([ASK, REPEATS], [n, len(s_row)]).astype(np.int8)),
-                 pa.array(np.concatenate([start[ask], s_first])), pa.array(np.concatenate([start[ask], s_last]))],
-                names=[*KEY, "k1", "k2", "kind", "first", "last"])
+            now = pa.Table.from_batches([batch.select(names)])
+            now = pa.concat_tables([held, now]) if held is not None else now
+            keys = now.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if cut:
+                yield from settle(now.slice(0, cut))
+            held = now.slice(cut)
+        if held is not None:
+            yield from settle(held)
     return run
 
 
 def not_least(keys: list[str]) -> Column:
-    """Whether an earlier window or suffix has the same ``keys``; equal rows are one document, so a row's twin is no earlier one."""
-    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_key", "first")
+    """Whether an earlier suffix has the same ``keys``; equal rows are one document, so a row's twin is no earlier one."""
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text_key", F.shiftright("span", 32).alias("first"))
     return place != F.min(place).over(Window.partitionBy(*keys))
 
 
 def repeats(texts: DataFrame, size: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Two tables (doc_id, text_key, ranges): whole stretches that repeat, and windows that do. ``texts`` holds doc_id, text_key and binary text."""
-    where = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(suffixes(size), f"doc_id {where}, text_key long, bucket long, kind byte, finer long, first long, last long")
+    """Two tables (doc_id, text_key, spans of window starts): whole stretches that repeat, and windows that do. ``texts`` holds doc_id, text_key and binary text."""
+    where = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, text_key long"
+    found = texts.mapInArrow(suffixes(size), f"{where}, bucket long, kind byte, finer long, span long")
     bucket = Window.partitionBy("bucket", "kind")
-    several = (F.count("finer").over(bucket) < F.count("*").over(bucket)) | (F.min("finer").over(bucket) < F.max("finer").over(bucket))
-    met = found.select("*", several.alias("several"), not_least(["bucket", "kind", "finer"]).alias("later"))
-    kind = F.when(F.col("kind") != ASK, F.col("kind")).when(F.col("finer").isNull(), None).when(F.col("later"), REPEATS).when(F.col("several"), OPEN)
-    spans = lambda k: F.collect_set(F.when(F.col("kind") == k, F.struct("first", "last")))
-    known = cut_lineage(met.select(*KEY, "first", "last", kind.alias("kind")).filter("kind is not null")
-                        .groupBy(*KEY).agg(spans(REPEATS).alias("ranges"), spans(OPEN).alias("asked")))
-    windows = same(texts, known.filter(F.size("asked") > 0).select(*KEY, "asked"), KEY, "inner").select(*KEY, "text", "asked").mapInArrow(
-        opened(size), f"doc_id {where}, text_key long, k1 long, k2 long, kind byte, first long, last long")
-    later = windows.withColumn("later", not_least(["k1", "k2", "kind"])).filter((F.col("kind") == REPEATS) | F.col("later"))
-    return known.select(*KEY, "ranges"), later.groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("singles"))
+    several = F.min("finer").over(bucket) < F.max("finer").over(bucket)
+    wide = (F.count("finer").over(bucket) < F.count("*").over(bucket)) | (F.count("*").over(bucket) > WIDE * 16)
+    asked = found.select("*", several.alias("several"), wide.alias("wide"), not_least(["bucket", "kind", "finer"]).alias("later"))
+    kind = (F.when(F.col("kind") != ASK, F.col("kind")).when(F.col("finer").isNull(), None).when(F.col("later"), REPEATS)
+            .when(F.col("wide"), OPEN_WIDE).when(F.col("several"), OPEN))
+    known = cut_lineage(asked.select(*KEY, "span", "bucket", kind.cast("int").alias("kind")).filter("kind is not null")
+                        .groupBy(*KEY).agg(F.collect_list(F.when(F.col("kind") == REPEATS, F.col("span"))).alias("whole"),
+                                           F.collect_list(F.when(F.col("kind") != REPEATS, F.struct("span", "bucket", "kind"))).alias("asked")))
+    rows = same(texts, known.filter(F.size("asked") > 0).select(*KEY, "asked"), KEY, "inner").select(*KEY, "text", "asked").mapInArrow(opened(size), f"{where}, {MEETING}")
+    later = rows.repartition("key").sortWithinPartitions("key").mapInArrow(met(size), f"{where}, span long")
+    return known.select(*KEY, "whole"), later.groupBy(*KEY).agg(F.collect_list("span").alias("single"))
 
 
 def maximal(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -258,9 +320,9 @@ def removal(size: int, output):
     def run(iterator):
         for batch in batches(iterator):
             made = []
-            for text, ranges, singles in zip(batch.column("text"), batch.column("ranges"), batch.column("singles")):
+            for text, whole, single in zip(batch.column("text"), batch.column("whole"), batch.column("single")):
                 raw = text.as_py()
-                spans = maximal([(x["first"], x["last"]) for x in [*(ranges.as_py() or []), *(singles.as_py() or [])]], size)
+                spans = maximal([(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in [*(whole.as_py() or []), *(single.as_py() or [])]], size)
                 edges = [0, *[x for s in spans for x in s], len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 made.append((len(raw), len(raw) - len(kept), output(kept), [{"start": a, "end": b} for a, b in spans]))
@@ -284,7 +346,7 @@ def removed(docs: DataFrame, size: int = 100, output=kept_text) -> DataFrame:
     """Per row: doc_id, text_key, n_bytes, n_removed, out (what ``output`` makes of the kept bytes), spans (maximal removed runs, in bytes)."""
     texts = keyed(docs).select(*KEY, F.encode("text", "utf-8").alias("text"))
     stretches, singles = repeats(texts, size)
-    joined = same(same(texts, stretches, KEY, "left"), singles, KEY, "left").select(*KEY, "text", "ranges", "singles")
+    joined = same(same(texts, stretches, KEY, "left"), singles, KEY, "left").select(*KEY, "text", "whole", "single")
     where = texts.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(removal(size, output), f"doc_id {where}, text_key long, n_bytes long, n_removed long, out string, "
                              "spans array<struct<start: long, end: long>>")
