@@ -166,9 +166,11 @@ def suffixes(size: int):
             buckets = np.concatenate([bucket[ask], bucket[marker], own_keys(row[open_], first[open_]), own_keys(s_row, s_first)])
             finers = np.concatenate([finer[ask], np.zeros(len(take) - n, np.uint64)])
             spans = np.concatenate([span(first[x], last[x]) for x in (ask, marker, open_)] + [span(s_first, s_last)])
-            out = batch.select(KEY).take(pa.array(take))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(signed(buckets)), pa.array(kinds.astype(np.int8)),
-                                              pa.array(signed(finers), mask=np.arange(len(take)) >= n), pa.array(spans)], names=[*KEY, "bucket", "kind", "finer", "span"])
+            # in order of documents: rows of one document that go the same way follow on each other, which compresses
+            o = np.lexsort((spans, take))
+            out = batch.select(KEY).take(pa.array(take[o]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(signed(buckets[o])), pa.array(kinds[o].astype(np.int8)), pa.array(signed(finers[o]), mask=o >= n),
+                                              pa.array(spans[o])], names=[*KEY, "bucket", "kind", "finer", "span"])
     return run
 
 
