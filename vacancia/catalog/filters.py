@@ -9,7 +9,7 @@ from ..plans.tables import SEQ
 from .registry import query
 
 C = F.col
-KEY = [C(f"seq.{s}").alias(s) for s in SEQ]
+KEY = [C(f"landing.{s}").alias(s) for s in SEQ]
 KEYS = ", ".join(SEQ).replace("l_linenumber", "CAST(l_linenumber AS BIGINT) AS l_linenumber")
 
 TITLE_POSITIVE, TITLE_NEGATIVE = ["Widget", "gear", "bolt"], ["OLD ", "promo"]
@@ -267,7 +267,7 @@ def flt24(t):
 def flt25(t):
     detail = t.read("part").select(C("p_partkey").alias("pk"), (C("p_size") > 45).alias("drop"), F.when(
         C("p_size") > 10, F.concat(F.lit("Detail "), "p_brand")).otherwise(F.lit("")).alias("department")).filter("drop or department != ''")
-    rows = t.posting.withColumn("pk", C("seq.l_partkey"))
+    rows = t.posting.withColumn("pk", C("landing.l_partkey"))
     return snapshot.overlay_detail(rows, detail, "pk", ["department"]).select(*KEY, "department")
 
 

@@ -52,7 +52,7 @@ def jon05(t):
     detail = t.read("part").select(C("p_partkey").alias("pk"), F.lit(None).cast("boolean").alias("drop"),
                                    F.when(C("p_size") > 25, C("p_brand")).otherwise(F.lit("")).alias("experienceLevel"),
                                    F.when(C("p_size") > 40, F.concat(F.lit("Detail: "), "p_name")).alias("title"))
-    return snapshot.overlay_detail(t.posting.withColumn("pk", C("seq.l_partkey")), detail, "pk", ["experienceLevel", "title"]).select(
+    return snapshot.overlay_detail(t.posting.withColumn("pk", C("landing.l_partkey")), detail, "pk", ["experienceLevel", "title"]).select(
         *KEY, "experienceLevel", "title")
 
 
@@ -342,7 +342,7 @@ REGION_CODES = {"africa": "AF", "america": "US", "asia": "AS", "europe": "EU"}
   l AS (SELECT u, string_agg(CASE code WHEN 'AF' THEN 'Africa' WHEN 'US' THEN 'United States' WHEN 'AS' THEN 'Asia' ELSE 'Europe' END, ' / ' ORDER BY first_at) AS names FROM x GROUP BY u)
   SELECT s.u AS url, s.location || coalesce(' / ' || l.names, '') AS location FROM s LEFT JOIN l USING (u)""")
 def dup03(t):
-    rows = t.posting.withColumns({"url": F.concat(F.lit("https://one.example.com/jobs/"), C("seq.l_partkey").cast("string")), "applyUrl": F.lit(None).cast("string")})
+    rows = t.posting.withColumns({"url": F.concat(F.lit("https://one.example.com/jobs/"), C("landing.l_partkey").cast("string")), "applyUrl": F.lit(None).cast("string")})
     return snapshot.collapse_links(rows, codes=REGION_CODES).select("url", "location")
 
 
@@ -382,8 +382,8 @@ def dup06b(t):
   SELECT co AS company_key, h.title, h.postedDate AS "postedDate", CASE WHEN n = 1 THEN loc1 ELSE coalesce(locs, '') END AS location FROM h LEFT JOIN l USING (co, tk)""")
 def dup07(t):
     part = F.coalesce(F.get(F.split("location", ","), F.lit(1)), F.lit(""))
-    loc = F.concat(part, F.when(C("seq.l_quantity") > 25, F.lit("")).otherwise(F.lit(" East")))
-    rows = t.posting.withColumn("location", F.when(C("seq.l_suppkey") > 0, loc))
+    loc = F.concat(part, F.when(C("landing.l_quantity") > 25, F.lit("")).otherwise(F.lit(" East")))
+    rows = t.posting.withColumn("location", F.when(C("landing.l_suppkey") > 0, loc))
     return snapshot.merge_offices(rows).select(F.lower("company").alias("company_key"), "title", "postedDate", "location")
 
 

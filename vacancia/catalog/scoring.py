@@ -53,7 +53,7 @@ def tgt03(t):
 @query("tgt04_field_text", f"""SELECT {KEYS}, location || ' ' || coalesce(workMode, '') AS combined, title || ' ' || company || ' ' || location || ' ' || department || ' ' || experienceLevel AS everything,
     coalesce(CASE WHEN l_quantity > 30 THEN '' WHEN l_quantity > 10 THEN 'skill ' || department END, '') AS skills_text, l_quantity > 10 AS known FROM posting""")
 def tgt04(t):
-    q = C("seq.l_quantity")
+    q = C("landing.l_quantity")
     rows = t.posting.withColumn("skills", F.when(q > 30, F.array().cast("array<string>")).when(q > 10, F.array(F.lit("skill"), "department")))
     return rows.select(*KEY, targeting.field_text(["location", "workmode"]).alias("combined"), targeting.field_text("any").alias("everything"),
                        targeting.field_text("skills").alias("skills_text"), targeting.field_known("skills").alias("known"))

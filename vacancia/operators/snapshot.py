@@ -1,14 +1,14 @@
 """From collected postings to one de-duplicated snapshot and the list of new postings.
 
-``seq`` is the order in which postings were found; every "first wins" rule is a minimum over it. Groups
+``seq`` is the order in which postings were found, a value of its own for each; every "first wins" rule is a minimum over it. Groups
 can be hot (one link, title or employer may hold a third of all rows), so winners come from partial
-aggregates, and no group is ever gathered into one task.
+aggregates, and no group is ever gathered into one task. The rules run on narrow rows of ids and keys; whole rows are joined to the survivors once.
 """
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import names, urls
 from ..functions.text import first_segment_fold, fold
@@ -29,10 +29,36 @@ def on_last_resort(url: Column, last_resort=LAST_RESORT) -> Column:
     return urls.on_hosts(urls.host(url), list(last_resort))
 
 
+def numbered(df: DataFrame, order: Column, **columns: Column) -> DataFrame:
+    """The narrow side of a first-wins rule: ``columns``, ``_at`` (the order) and ``id``, a number that ascends with it.
+
+    Minima over a number are hash aggregates. An order that is a number already is its own id; any other is sorted over ranges once, before anything is derived.
+    """
+    rows = df.withColumn("_at", order)
+    derived = [v.alias(k) for k, v in columns.items()]
+    if isinstance(rows.schema["_at"].dataType, (T.IntegralType, T.DecimalType)):
+        return rows.select("_at", F.col("_at").alias("id"), *derived)
+    ranged = rows.repartitionByRange("_at").sortWithinPartitions("_at")
+    return cut_lineage(ranged.select("_at", F.monotonically_increasing_id().alias("id"), *derived))
+
+
+def _located(narrow: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with ``seq``, the order, in place of ``id``."""
+    if isinstance(narrow.schema["_at"].dataType, (T.IntegralType, T.DecimalType)):
+        return found.withColumnRenamed("id", "seq")
+    return found.join(narrow.select("id", F.col("_at").alias("seq")), "id").drop("id")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """First row of each key by ``order``; combines before the shuffle, so hot keys stay cheap."""
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), order).alias("_first"))
-    return best.select(*keys, "_first.*").select(*df.columns)
+    """First row of each key by ``order``. Keys and ids are aggregated, and the rows follow by one semi join."""
+    narrow = numbered(df, order, **{k: F.col(k) for k in keys})
+    first = _located(narrow, narrow.groupBy(*keys).agg(F.min("id").alias("id")).select("id"))
+    return df.withColumn("_at", order).join(first.withColumnRenamed("seq", "_at"), "_at", "left_semi").select(*df.columns)
+
+
+def digest(*parts: Column) -> Column:
+    """128 bits that stand for a tuple of strings as a join or group key."""
+    return F.unhex(F.md5(F.concat_ws("\u0000", *[F.coalesce(p.cast("string"), F.lit("\u0001")) for p in parts])))
 
 
 # --- collection and overlay ---------------------------------------------------------------------
@@ -53,36 +79,33 @@ def overlay_detail(postings: DataFrame, detail: DataFrame, key: str, fields: lis
 
 def merge_same_url(postings: DataFrame) -> DataFrame:
     """One row per url: the first, flagged only when every copy was flagged."""
-    rest = [c for c in postings.columns if c not in ("url", "filtered")]
-    flag = F.coalesce("filtered", F.lit(False))
-    return (postings.filter(F.coalesce("url", F.lit("")) != "").groupBy("url")
-            .agg(F.min_by(F.struct(*rest), "seq").alias("_first"), F.bool_and(flag).alias("filtered"))
-            .select("_first.*", "url", "filtered").select(*postings.columns))
+    given = postings.filter(F.coalesce("url", F.lit("")) != "")
+    narrow = numbered(given, F.col("seq"), url=F.col("url"), filtered=F.coalesce("filtered", F.lit(False)))
+    merged = narrow.groupBy("url").agg(F.min("id").alias("id"), F.bool_and("filtered").alias("_all"))
+    return given.join(_located(narrow, merged.select("id", "_all")), "seq").withColumn("filtered", F.col("_all")).select(*postings.columns)
 
 
 def merge_offices(postings: DataFrame) -> DataFrame:
     """Same employer and title: offices joined by ' / ' in order found, freshest date, first row's rest.
 
-    Offices are reduced to one row per spelling before they are listed, so only the distinct offices of a
-    role meet in one row.
+    Only the distinct offices of a role meet in one row.
     """
     c = F.col
-    keyed = postings.withColumns({"_co": F.lower(F.trim(F.coalesce("company", F.lit("")))), "_ti": fold(c("title"))})
-    named = keyed.filter(c("_co") != "")
-    rest = [x for x in postings.columns if x not in ("location", "postedDate")]
-    heads = named.groupBy("_co", "_ti").agg(
-        F.min_by(F.struct(*rest), "seq").alias("_head"), F.max("postedDate").alias("postedDate"),
-        F.min_by("location", "seq").alias("_first_loc"), F.min("seq").alias("_first_seq"), F.count("*").alias("_n"))
-    offices = (named.select("_co", "_ti", "seq", F.posexplode(F.split(F.coalesce("location", F.lit("")), " / ")).alias("_p", "_o"))
-               .withColumn("_o", F.trim("_o")).filter(c("_o") != "")
-               .groupBy("_co", "_ti", F.lower("_o").alias("_low"))
-               .agg(F.min(F.struct("seq", "_p", c("_o").alias("office"))).alias("_at"))
-               .groupBy("_co", "_ti")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_at")), lambda x: x["office"]), " / ").alias("_locs")))
-    merged = (heads.join(offices, ["_co", "_ti"], "left")
-              .withColumn("location", F.when(c("_n") == 1, c("_first_loc")).otherwise(F.coalesce("_locs", F.lit(""))))
-              .select("_head.*", "location", "postedDate").select(*postings.columns))
-    return merged.unionByName(keyed.filter(c("_co") == "").select(*postings.columns))
+    company = F.lower(F.trim(F.coalesce("company", F.lit(""))))
+    named = postings.filter(company != "")
+    narrow = numbered(named, c("seq"), role=digest(company, fold(c("title"))), location=c("location"), postedDate=c("postedDate"))
+    heads = narrow.groupBy("role").agg(F.min("id").alias("id"), F.max("postedDate").alias("_date"), F.count("*").alias("_n"))
+    offices = F.filter(F.transform(F.split(F.coalesce("location", F.lit("")), " / "), lambda x: F.trim(x)), lambda x: x != "")
+    # in a row only the first spelling of an office counts
+    once = narrow.withColumn("_o", offices).select("role", "id", F.posexplode(F.filter("_o", lambda x, i: F.array_position(F.transform("_o", lambda y: F.lower(y)), F.lower(x)) == i + 1)).alias("p", "o"))
+    first = once.groupBy("role", F.lower("o").alias("low")).agg(F.min("id").alias("id"), F.min_by("p", "id").alias("p"))
+    listed = (first.join(once.select("id", "p", "o"), ["id", "p"]).groupBy("role")
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "p", "o"))), lambda x: x["o"]), " / ").alias("_locs")))
+    kept = _located(narrow, heads.join(listed, "role", "left").select("id", "_date", "_n", "_locs"))
+    merged = (named.join(kept, "seq")
+              .withColumn("location", F.when(c("_n") == 1, c("location")).otherwise(F.coalesce("_locs", F.lit(""))))
+              .withColumn("postedDate", c("_date")).select(*postings.columns))
+    return merged.unionByName(postings.filter(company == ""))
 
 
 # --- de-duplication passes ----------------------------------------------------------------------
@@ -92,143 +115,181 @@ def _apply_link(df: DataFrame) -> Column:
     return urls.link_key(F.when(apply_url != "", apply_url).otherwise(F.col("url")))
 
 
-def _own_key(key: Column) -> Column:
-    """Group key with rows that have none kept apart by their place in the order."""
-    return F.coalesce(key, F.concat(F.lit("\u0000"), F.to_json(F.struct("seq"))))
+def posting_facts(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None,
+                  codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
+    """What the passes compare, one narrow row per posting: id, link, number, employer, title, city, countries and kind of host.
+
+    Later passes only move ids and 128-bit keys; postings are read again when the survivors are known.
+    """
+    c = F.col
+    host = urls.host(c("url"))
+    agg, last = urls.on_hosts(c("host"), [*aggregators, *last_resort]), urls.on_hosts(c("host"), list(last_resort))
+    raw = numbered(postings, c("seq"), host=host, url=c("url"), company=c("company"), title=c("title"), location=c("location"), link=_apply_link(postings))
+    return cut_lineage(raw.withColumns({"agg": agg, "last": last, "alias": names.alias_fold(c("company"), aliases), "company_key": fold(c("company")),
+                                        "title_key": digest(fold(c("title"))), "codes": classify.countries_named(c("location"), codes)}).select(
+        "id", "_at", "agg", "last", "alias", "company_key", "title_key", "location", "codes", F.when(c("link").isNotNull(), digest(c("link"))).alias("link"),
+        F.when(~c("agg"), urls.posting_id(c("url"))).alias("number")))
+
+
+def _link_winners(facts: DataFrame) -> DataFrame:
+    """(id, named): one row per application link, a direct one before others, then the first; ``named`` lists the link's countries as they were found."""
+    c = F.col
+    linked = facts.filter(c("link").isNotNull())
+    wins = linked.groupBy("link").agg(F.min(F.when(~c("agg"), c("id"))).alias("direct"), F.min("id").alias("first"))
+    mentions = (linked.select("link", "id", F.posexplode("codes").alias("pos", "code")).groupBy("link", "code")
+                .agg(F.min("id").alias("first"), F.min_by("pos", "id").alias("pos")).groupBy("link")
+                .agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "pos", "code"))), lambda x: x["code"]).alias("named")).filter(F.size("named") > 1))
+    own = wins.join(mentions, "link", "left").select(F.coalesce("direct", "first").alias("id"), "named")
+    return own.unionByName(facts.filter(c("link").isNull()).select("id", F.lit(None).cast("array<string>").alias("named")))
+
+
+def _widened(location: Column, own: Column, named: Column, codes: dict[str, str]) -> Column:
+    """A place with the countries of the dropped rows, only where its own country is known."""
+    shown = F.create_map(*[F.lit(x) for pair in classify.display_names(codes).items() for x in pair])
+    extra = F.array_except(F.coalesce(named, F.array().cast("array<string>")), own)
+    return F.when((F.size(own) > 0) & (F.size(extra) > 0), F.concat(
+        location, F.lit(" / "), F.array_join(F.transform(extra, lambda x: F.try_element_at(shown, x)), " / "))).otherwise(location)
 
 
 def collapse_links(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT,
                    codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
     """Rows that lead to one application link become one; countries of the dropped ones are kept.
 
-    A direct row is preferred as survivor, then the first found. Countries are appended only when the
-    survivor's own country is known. Rows combine per link and country first, so a link lists each of
-    its countries once.
+    A direct row is preferred as survivor, then the first found. Countries are appended only when the survivor's own country is known.
     """
     c = F.col
-    row = F.struct(*postings.columns)
-    keyed = postings.withColumns({
-        "_link": _own_key(_apply_link(postings)), "_row": row,
-        "_rank": F.struct(on_aggregator(c("url"), aggregators, last_resort).alias("agg"), c("seq")),
-        "_codes": classify.countries_named(c("location"), codes)})
-    survivor = F.struct("_row", "_codes")
-    merged = (keyed.select("_link", "_row", "_rank", "_codes", F.posexplode_outer("_codes").alias("_pos", "_code"))
-              .groupBy("_link", "_code").agg(
-                  F.min_by(survivor, "_rank").alias("_best"), F.min("_rank").alias("_rank"),
-                  F.min(F.struct(c("_row.seq").alias("seq"), "_pos")).alias("_at"))
-              .groupBy("_link").agg(
-                  F.min_by("_best", "_rank").alias("_best"),
-                  F.array_sort(F.collect_list(F.when(c("_code").isNotNull(), F.struct("_at", "_code")))).alias("_all")))
-    shown = F.create_map(*[F.lit(x) for pair in classify.display_names(codes).items() for x in pair])
-    named = merged.select("_best._row.*", c("_best._codes").alias("_own"), F.transform("_all", lambda x: x["_code"]).alias("_all"))
-    extra = F.array_except("_all", "_own")
-    location = F.when((F.size("_own") > 0) & (F.size(extra) > 0), F.concat(
-        c("location"), F.lit(" / "), F.array_join(F.transform(extra, lambda x: F.try_element_at(shown, x)), " / ")
-    )).otherwise(c("location"))
-    return named.withColumn("location", location).select(*postings.columns)
+    narrow = numbered(postings, c("seq"), agg=on_aggregator(c("url"), aggregators, last_resort), codes=classify.countries_named(c("location"), codes), link=_apply_link(postings))
+    kept = _located(narrow, _link_winners(narrow))
+    place = _widened(c("location"), classify.countries_named(c("location"), codes), c("_named"), codes)
+    return (postings.join(kept.withColumnRenamed("named", "_named"), "seq")
+            .withColumn("location", F.when(c("_named").isNull(), c("location")).otherwise(place)).select(*postings.columns))
+
+
+def _number_losers(facts: DataFrame) -> DataFrame:
+    """Ids of direct rows whose employer has an earlier one with the same requisition number."""
+    wanted = facts.filter("number is not null").select("id", digest(F.col("alias"), F.col("number")).alias("key"))
+    first = wanted.groupBy("key").agg(F.min("id").alias("id"))
+    return wanted.select("id").join(first.select("id"), "id", "left_anti")
 
 
 def collapse_ids(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None) -> DataFrame:
     """Direct rows of one employer with one requisition number: the first stays."""
     c = F.col
     number = F.when(~on_aggregator(c("url"), aggregators, last_resort), urls.posting_id(c("url")))
-    keyed = postings.withColumns({"_id": _own_key(number), "_co": names.alias_fold(c("company"), aliases)})
-    return first_per_key(keyed, ["_co", "_id"], c("seq")).select(*postings.columns)
+    facts = numbered(postings, c("seq"), number=number, alias=names.alias_fold(c("company"), aliases))
+    return postings.join(_located(facts, _number_losers(facts)), "seq", "left_anti")
 
 
-SHAPE = ["title_key", "company_key", "city"]
+# --- mirrors ------------------------------------------------------------------------------------
 
+EMPLOYER = ["company_key", "alias"]
 
-def _tagged(postings: DataFrame, aggregators, last_resort, aliases) -> DataFrame:
+
+def _employer_keys(employers: DataFrame, inner: str, outer: str, word: str, letters: str) -> DataFrame:
+    """(company_key, alias, kind, key, core): the ways in which an employer may be found under another spelling."""
     c = F.col
-    host = urls.host(c("url"))
-    return postings.withColumn("_host", host).withColumns({
-        "_last": urls.on_hosts(c("_host"), list(last_resort)), "_agg": urls.on_hosts(c("_host"), [*aggregators, *last_resort]),
-        "title_key": fold(c("title")), "company_key": fold(c("company")), "city": first_segment_fold(c("location")),
-        "alias": names.alias_fold(c("company"), aliases)})
+
+    def key(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    longest = F.array_max(F.transform(c("core"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    by_core = F.when(F.size("core") > 0, F.concat(
+        F.array(key(inner, longest)), F.transform(F.array_distinct(c("core")), lambda t: key(outer, t)),
+        F.array(key(letters, names.initials(c("core"))), F.when(F.size("core") == 1, key(word, F.get(c("core"), F.lit(0)))))))
+    found = employers.select(*EMPLOYER, "core", F.explode(F.concat(F.array(key("fold", c("alias"))), F.coalesce(by_core, F.array().cast("array<struct<kind:string,key:string>>")))).alias("k"))
+    # only where one word set must lie inside the other are the words needed once more
+    needed = F.when(c("k.kind").isin("inside", "around"), c("core"))
+    return found.filter("k is not null").select(*EMPLOYER, "k.kind", "k.key", needed.alias("core")).distinct()
+
+
+def _words_fit(one: str, two: str) -> Column:
+    """Whether the words of an employer lie inside another's, where the way asks for it."""
+    c = F.col
+    return (F.when(c(f"{one}.kind") == "inside", F.size(F.array_except(f"{one}.core", f"{two}.core")) == 0)
+            .when(c(f"{one}.kind") == "around", F.size(F.array_except(f"{two}.core", f"{one}.core")) == 0).otherwise(F.lit(True)))
 
 
-def covered_shapes(mirrors: DataFrame, sources: DataFrame) -> DataFrame:
-    """Shapes of ``mirrors`` that some shape of ``sources`` covers: same title, fitting employer and city.
+def _covered(mirrors: DataFrame, sources: DataFrame, probes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Ids of the shapes among ``mirrors`` that a shape of ``sources`` covers: same title, fitting employer and city.
 
-    Each way to fit is an equi key (same fold, one word set inside the other by its longest word,
-    initials), and a blank city meets any city through a wild key, so that no title group is ever
-    compared pair by pair.
+    Each way to fit is an equi key (same fold, one word set inside the other by its longest word, initials), and a blank city meets any city through a
+    wild key, so that no title group is compared pair by pair. Title, way and city are one key of 128 bits.
     """
     c = F.col
-    none = F.array().cast("array<struct<kind:string,key:string>>")
+    key = digest(F.hex("title_key"), c("kind"), c("key"), c("at"))
+    asked = (mirrors.join(probes, EMPLOYER).withColumn("at", F.explode(F.when(c("city") == "", F.array(F.lit("*"))).otherwise(F.array(c("city"), F.lit("")))))
+             .select("shape", key.alias("k"), "kind", "core"))
+    there = (sources.join(targets, EMPLOYER).withColumn("at", F.explode(F.array(c("city"), F.lit("*")))).select(key.alias("k"), "kind", "core").distinct())
+    return asked.alias("m").join(there.alias("s"), (c("m.k") == c("s.k")) & _words_fit("m", "s"), "left_semi").select("shape").distinct()
 
-    def key(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("key"))
 
-    longest = F.array_max(F.transform(c("core"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    single = F.when(F.size("core") == 1, F.get(c("core"), F.lit(0)))
-    words = F.array_distinct(c("core"))
-
-    def keys(inner: str, outer: str, word: str, letters: str) -> Column:
-        by_core = F.when(F.size("core") > 0, F.concat(
-            F.array(key(inner, longest)), F.transform(words, lambda t: key(outer, t)),
-            F.array(key(letters, names.initials(c("core")))),
-            F.when(single.isNotNull(), F.array(key(word, single))).otherwise(none))).otherwise(none)
-        return F.concat(F.array(key("fold", c("alias"))), by_core)
-
-    probes = (mirrors.withColumn("k", F.explode(keys("inside", "around", "word", "letters")))
-              .withColumn("at", F.explode(F.when(c("city") == "", F.array(F.lit("*"))).otherwise(F.array(c("city"), F.lit(""))))))
-    targets = (sources.withColumn("k", F.explode(keys("around", "inside", "letters", "word")))
-               .withColumn("at", F.explode(F.array(c("city"), F.lit("*"))))
-               .select("title_key", "k", "at", "core").distinct())
-    m, s = probes.alias("m"), targets.alias("s")
-    fits = (F.when(c("m.k.kind") == "inside", F.size(F.array_except("m.core", "s.core")) == 0)
-            .when(c("m.k.kind") == "around", F.size(F.array_except("s.core", "m.core")) == 0).otherwise(F.lit(True)))
-    same = ((c("m.title_key") == c("s.title_key")) & (c("m.k.kind") == c("s.k.kind"))
-            & (c("m.k.key") == c("s.k.key")) & (c("m.at") == c("s.at")))
-    return m.join(s, same & fits, "left_semi").select(*SHAPE).distinct()
+def _shaped(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``city`` and ``shape``, a key for title, employer and city."""
+    city = first_segment_fold(F.col("location"))
+    return rows.withColumn("city", city).withColumn("shape", digest(F.hex("title_key"), F.col("company_key"), F.col("alias"), F.col("city")))
 
 
-def mark_mirrors(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None) -> DataFrame:
-    """Add ``mirror_tier``: 1 when a direct row covers an aggregator row, 2 when a better aggregator
-    covers a last-resort row, NULL when the row stays.
+def _mirror_tiers(shaped: DataFrame) -> DataFrame:
+    """(shape, t1, t2): whether a direct shape, or one of a better board, covers the shape. ``shaped`` has agg, last, alias, company_key, title_key, city, shape."""
+    c = F.col
+    shapes = cut_lineage(shaped.filter(c("company_key") != "").groupBy("shape", "title_key", "company_key", "alias", "city").agg(
+        F.bool_or(~c("agg")).alias("direct"), F.bool_or(c("agg") & ~c("last")).alias("normal"), F.bool_or("agg").alias("board"), F.bool_or("last").alias("lowest")))
+    employers = shapes.select(*EMPLOYER).distinct().withColumn("core", names.core_tokens(c("company_key")))
+    probes = cut_lineage(_employer_keys(employers, "inside", "around", "word", "letters"))
+    targets = cut_lineage(_employer_keys(employers, "around", "inside", "letters", "word"))
+    # ways that lead to no employer at all are left out before they are multiplied by titles
+    p, t = probes.alias("p"), targets.alias("t")
+    meet = (c("p.kind") == c("t.kind")) & (c("p.key") == c("t.key")) & _words_fit("p", "t")
+    used, useful = p.join(t, meet, "left_semi"), t.join(p, meet, "left_semi")
+    tier1 = _covered(shapes.filter("board"), shapes.filter("direct"), used, useful).withColumn("t1", F.lit(True))
+    tier2 = _covered(shapes.filter("lowest"), shapes.filter("normal"), used, useful).withColumn("t2", F.lit(True))
+    return cut_lineage(tier1.join(tier2, "shape", "full_outer"))
 
-    Rows are reduced to distinct (title, employer, city) shapes, which are written once and compared;
-    postings are read twice, for the shapes and for the marks.
-    """
+
+def _tier() -> Column:
+    return F.when(F.col("agg") & F.col("t1"), 1).when(F.col("last") & F.col("t2"), 2)
+
+
+def mark_mirrors(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None) -> DataFrame:
+    """Add ``mirror_tier``: 1 when a direct row covers an aggregator row, 2 when a better aggregator covers a last-resort row, NULL when the row stays."""
     c = F.col
-    tagged = _tagged(postings, aggregators, last_resort, aliases)
-    shapes = cut_lineage(tagged.filter(c("company_key") != "").groupBy(*SHAPE, "alias").agg(
-        F.bool_or(~c("_agg")).alias("direct"), F.bool_or(c("_agg") & ~c("_last")).alias("normal"),
-        F.bool_or("_agg").alias("board"), F.bool_or("_last").alias("last"))
-        .withColumn("core", names.core_tokens(c("company_key"))))
-    tier1 = covered_shapes(shapes.filter("board"), shapes.filter("direct")).withColumn("_t1", F.lit(True))
-    tier2 = covered_shapes(shapes.filter("last"), shapes.filter("normal")).withColumn("_t2", F.lit(True))
-    found = cut_lineage(tier1.join(tier2, SHAPE, "full_outer"))
-    marked = tagged.join(found, SHAPE, "left")
-    tier = F.when(c("_agg") & c("_t1"), 1).when(c("_last") & c("_t2"), 2)
-    return marked.select(*postings.columns, tier.alias("mirror_tier"))
+    agg, last = on_aggregator(c("url"), aggregators, last_resort), on_last_resort(c("url"), last_resort)
+    shaped = _shaped(postings.select(F.struct(*postings.columns).alias("row"), agg.alias("agg"), last.alias("last"), names.alias_fold(c("company"), aliases).alias("alias"),
+                                     fold(c("company")).alias("company_key"), digest(fold(c("title"))).alias("title_key"), "location"))
+    return shaped.join(_mirror_tiers(shaped), "shape", "left").select("row.*", _tier().alias("mirror_tier"))
 
 
 def drop_mirrors(postings: DataFrame, **config) -> DataFrame:
     return mark_mirrors(postings, **config).filter(F.col("mirror_tier").isNull()).drop("mirror_tier")
 
 
-def dedupe_snapshot(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None,
-                    codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
-    """Links, then requisition numbers, then mirrors. The rows left by the first two passes are written
-    once, since the mirror pass reads them twice."""
-    hosts = {"aggregators": aggregators, "last_resort": last_resort}
-    linked = collapse_links(postings, codes=codes, **hosts)
-    return drop_mirrors(cut_lineage(collapse_ids(linked, aliases=aliases, **hosts)), aliases=aliases, **hosts)
+def snapshot_marks(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None,
+                   codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
+    """(seq, place, gone): the pass that removes each posting (link, id, title) or NULL, and the location of those that stay.
 
+    Links, then requisition numbers, then mirrors, all on one narrow table.
+    """
+    c = F.col
+    facts = posting_facts(postings, aggregators, last_resort, aliases, codes)
+    place = _widened(c("location"), c("codes"), c("named"), codes)
+    linked = cut_lineage(facts.join(_link_winners(facts), "id").withColumn("location", place).drop("named", "codes"))
+    doubles = cut_lineage(_number_losers(linked))
+    shaped = cut_lineage(_shaped(linked.join(doubles, "id", "left_anti")))
+    mirrors = shaped.filter("agg").join(_mirror_tiers(shaped), "shape").filter(_tier().isNotNull())
+    late = doubles.select("id", F.lit("id").alias("gone")).unionByName(mirrors.select("id", F.lit("title").alias("gone")))
+    kept = linked.select("id", c("location").alias("place"), F.lit(True).alias("won")).join(late, "id", "left")
+    return facts.select("id", c("_at").alias("seq")).join(kept, "id", "left").select("seq", "place", F.when(c("won").isNull(), "link").otherwise(c("gone")).alias("gone"))
+
+
+def dedupe_snapshot(postings: DataFrame, **config) -> DataFrame:
+    """The postings that no pass removes; survivors of a link name the countries of the others."""
+    kept = snapshot_marks(postings, **config).filter("gone is null").select("seq", F.col("place").alias("_place"))
+    return postings.join(kept, "seq").withColumn("location", F.col("_place")).select(*postings.columns)
 
-def dedupe_counts(postings: DataFrame, **hosts) -> DataFrame:
+
+def dedupe_counts(postings: DataFrame, **config) -> DataFrame:
     """One row with the rows each pass removed."""
-    stage0 = cut_lineage(collapse_links(postings, **hosts))
-    stage1 = cut_lineage(collapse_ids(stage0, **hosts))
-    counted = [postings.agg(F.count("*").alias("n0")), stage0.agg(F.count("*").alias("n1")),
-               mark_mirrors(stage1, **hosts).agg(F.count("*").alias("n2"), F.count("mirror_tier").alias("by_title"))]
-    one = reduce(lambda a, b: a.join(F.broadcast(b)), counted)  # one row each
-    c = F.col
-    return one.select((c("n0") - c("n1")).alias("by_link"), (c("n1") - c("n2")).alias("by_id"), "by_title",
-                      (c("n2") - c("by_title")).alias("kept"))
+    gone = F.col("gone")
+    return snapshot_marks(postings, **config).agg(*[F.count_if(gone == p).alias(f"by_{p}") for p in ("link", "id", "title")], F.count_if(gone.isNull()).alias("kept"))
 
 
 # --- history ------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from .tables import Tables
 def history(t: Tables) -> DataFrame:
     """Scan history: what was posted before 1998, large quantities standing for expired rows."""
     return t.posting.filter("postedDate < DATE '1998-01-01'").select(
-        "url", F.when(F.col("seq.l_quantity") > 40, snapshot.TOMBSTONE).otherwise("added").alias("status"),
+        "url", F.when(F.col("landing.l_quantity") > 40, snapshot.TOMBSTONE).otherwise("added").alias("status"),
         "company", "title", F.col("seq").alias("lpos"), "postedDate")
 
 
