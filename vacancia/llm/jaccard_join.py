@@ -7,13 +7,13 @@ bounded number of pivots would hold everything. The space is therefore cut twice
    of fixed size tells (``SLOT_BITS``), then by hash. Two linked sets share an element among the first ``n - ceil(percent * n / 100) + 1``
    of each, whatever the order; a set is placed in the cell of each of these. Counting puts passages that many documents
    share last, so that they tie few documents; wrong counts cost time, never links. Documents that share cells, directly or
-   through others, form a group; linked documents are always in one group.
+   through others, form a group, which is cut where the sizes of its sets leave a gap that no link bridges; linked documents are always in one group.
 2. Pivots. Within a group distances spread, and the join is one of Voronoi regions: documents go to their nearest pivot
    and, if they lie within twice the radius of a farther one, into that region as well (triangle inequality).
    Members within the radius of a pivot are linked to it and need no comparison with each other. Regions join recursively until
    they are small enough to be compared at once; regions that pivots no longer divide are compared block by block.
 
-Groups above ``at_once`` documents are spread over tasks by salted chunks. Classes, not pairs, are returned; no pair is lost
+Groups above ``at_once`` documents, or a thousand times as many elements, are spread over tasks by salted chunks. Classes, not pairs, are returned; no pair is lost
 and none is approximated (64-bit shingle hashes). Nulls and texts without words have an empty set and link with nothing.
 Rows without doc_id take no part. Rows that share a doc_id share a class. Equal sets are collapsed before any comparison.
 """
@@ -26,7 +26,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import checkpoint_dir, cut_lineage
 from .common import BASES, Rolling, batches, mix, signed, windows, word_hashes
@@ -290,25 +290,38 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, at_once: int = 40
     met = cell.join(shared, "cell").filter("doc_id <> lead").select("lead", "doc_id").distinct()
     edges = (met.join(named.select(F.col("doc_id").alias("lead"), F.col("rep").alias("a")), "lead")
              .join(named.select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b").filter("a <> b").distinct())
-    groups = components(edges).select(F.col("node").alias("rep"), F.col("root").alias("grp"))
-    bits = spark.sparkContext.broadcast(member_bits(groups))
-    sets = texts.mapInArrow(filtered_sets(size, bits), "doc_id long, s1 long, elements binary")
     # rows that share a doc_id but not the text are told apart by s1
-    groups = groups.join(reps, "rep").select("rep", "s1", "grp")
-    members = (sets.withColumnRenamed("doc_id", "rep").join(groups, ["rep", "s1"])
-               .groupBy("grp", "rep", "s1").agg(F.first("elements").alias("elements")))
-    sized = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    members = cut_lineage(members.join(sized, "grp"))
-    links = (members.filter(F.col("n") <= at_once).groupBy("grp").applyInPandas(at_once_join(percent), "rep long, other long"))
-    large = members.filter(F.col("n") > at_once)
-    if not large.isEmpty():
-        links = links.unionByName(spread_links(large, percent, pivots, chunk))
+    named_sets = own.join(reps, ["s1", "s2"]).filter("doc_id = rep").select("rep", "s1", F.col("n_shingles").alias("size")).distinct()
+    groups = cut_lineage(by_size(components(edges).select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(named_sets, "rep"), percent))
+    bits = spark.sparkContext.broadcast(member_bits(groups))
+    # the sets move twice, to their row of groups and to their group; a repeated row's sets are one
+    sets = texts.mapInArrow(filtered_sets(size, bits), "doc_id long, s1 long, elements binary").withColumnRenamed("doc_id", "rep")
+    members = sets.groupBy("rep", "s1").agg(F.first("elements").alias("elements")).join(groups.select("rep", "s1", "grp", "n"), ["rep", "s1"])
+    links = members.filter(F.col("n") <= at_once).groupBy("grp").applyInPandas(at_once_join(percent), "rep long, other long")
+    if not groups.filter(F.col("n") > at_once).isEmpty():
+        links = links.unionByName(spread_links(cut_lineage(members.filter(F.col("n") > at_once)), percent, pivots, chunk))
     same_doc = own.join(reps, ["s1", "s2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     settled = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(same_doc).distinct())
     least = settled.select(F.col("node").alias("doc_id"), F.col("root").alias("least"))
     return outline.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def by_size(groups: DataFrame, percent: int) -> DataFrame:
+    """Groups (rep, s1, size, grp) cut where sizes leave a gap that no link can bridge; those with one member left go.
+
+    Linked sets differ in size by at most 100 / ``percent``. ``n`` is the members of a group, or a thousandth of their elements if that is more.
+    """
+    sizes = groups.select("grp", "size").distinct()
+    ordered = Window.partitionBy("grp").orderBy("size")
+    gap = (100 * F.lag("size").over(ordered) < percent * F.col("size")).cast("int")
+    steps = sizes.withColumn("gap", F.coalesce(gap, F.lit(0)))
+    parts = steps.select("grp", "size", F.sum("gap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
+    placed_sets = groups.join(parts, ["grp", "size"])
+    counted = placed_sets.groupBy("grp", "part").agg(F.min("rep").alias("least"), F.count("*").alias("members"), F.sum("size").alias("elements")).filter("members > 1")
+    n = F.greatest(F.col("members"), F.col("elements") / 1000).cast("long")
+    return placed_sets.join(counted, ["grp", "part"]).select("rep", "s1", F.col("least").alias("grp"), n.alias("n"))
+
+
 def member_bits(groups: DataFrame) -> np.ndarray:
     """A filter of FILTER_BITS bits over the members' ids, of the same size for any input."""
     def slots(iterator):
