@@ -119,9 +119,9 @@ def agg14(t):
     return reports.weekly_activity(board(t))
 
 
-@query("win09_last_weeks", f"SELECT week, n FROM ({_WEEK_SQL.replace('LIMIT 8', 'LIMIT 3')})")
+@query("win09_last_weeks", f"SELECT week, n FROM ({_WEEK_SQL})")
 def win09(t):
-    return reports.weekly_activity(board(t), 3)
+    return reports.weekly_activity(board(t), 8)
 
 
 _COUNTER_SQL = f"""WITH {GROUP_SQL}, {HISTORY_SQL} SELECT CASE WHEN filtered THEN 'hidden' WHEN old THEN 'filtered_title' WHEN m_asia THEN 'filtered_location' WHEN m_blocked THEN 'filtered_company'
@@ -291,14 +291,14 @@ def agg30(t):
 
 
 _RUN_SQL = """SELECT CAST(ts AS DATE) AS run, count(*) FILTER (event_type = 'purchase') AS hits, count(*) FILTER (event_type = 'signup') AS review, count(*) FILTER (event_type = 'error') AS uncertain, count(*) FILTER (event_type IN ('view', 'click')) AS clean_misses,
-    date_diff('millisecond', min(date_trunc('millisecond', ts)), max(date_trunc('millisecond', ts))) AS duration_ms FROM events GROUP BY 1 ORDER BY run DESC LIMIT 20"""
+    date_diff('millisecond', min(date_trunc('millisecond', ts)), max(date_trunc('millisecond', ts))) AS duration_ms FROM events GROUP BY 1 ORDER BY run DESC LIMIT 50"""
 
 
 @query("agg31_run_history", _RUN_SQL)
 def agg31(t):
     name = classify.lookup(C("event_type"), {"purchase": "trusted", "signup": "review", "error": "uncertain"}, F.lit("miss"))
     rows = health.run_row(t.read("events").select(C("ts").cast("date").alias("run"), name.alias("outcome"), C("ts").cast("timestamp").alias("ts")))
-    return health.append_run(rows.filter("run < DATE '2024-01-10'"), rows.filter("run >= DATE '2024-01-10'"), 20)
+    return health.append_run(rows.filter("run < DATE '2024-01-10'"), rows.filter("run >= DATE '2024-01-10'"), 50)
 
 
 @query("agg32_tracker_statistics", "SELECT count(*) AS total, round(avg(p) FILTER (p > 0), 6) AS avg_score, round(100.0 * count(*) FILTER (pdf = '✅') / count(*), 6)::DOUBLE AS pct_pdf, 100.0::DOUBLE AS pct_report FROM (SELECT *, CAST(replace(score, '/5', '') AS DOUBLE) AS p FROM application)")

@@ -310,11 +310,11 @@ def enr29(t):
     return t.read("part").select("p_partkey", tier.alias("tier"), classify.tier_trusted(tier).alias("trusted"))
 
 
-@query("enr30_entry_kind", """SELECT seq, CASE WHEN recipe IN ('html', 'blocked') THEN 'custom' WHEN parser IS NOT NULL THEN 'local-parser' WHEN provider IS NOT NULL THEN provider WHEN careers_url IS NOT NULL THEN 'auto-detect' END AS provider,
-    CASE WHEN recipe IS NOT NULL THEN recipe WHEN parser IS NOT NULL THEN 'parser' WHEN provider IS NOT NULL OR careers_url IS NOT NULL THEN 'ats' ELSE coalesce(status, 'unresolved') END AS kind,
-    CASE WHEN recipe IS NOT NULL THEN recipe = 'html' ELSE parser IS NOT NULL OR provider IS NOT NULL OR careers_url IS NOT NULL END AS scannable FROM company""")
+@query("enr30_entry_kind", """SELECT seq, CASE WHEN recipe IN ('html', 'blocked') THEN 'custom' WHEN parser IS NOT NULL THEN 'local-parser' WHEN provider IS NOT NULL THEN provider WHEN coalesce(careers_url, api) IS NOT NULL THEN 'auto-detect' END AS provider,
+    CASE WHEN recipe IS NOT NULL THEN recipe WHEN parser IS NOT NULL THEN 'parser' WHEN provider IS NOT NULL OR coalesce(careers_url, api) IS NOT NULL THEN 'ats' ELSE coalesce(status, 'unresolved') END AS kind,
+    CASE WHEN recipe IS NOT NULL THEN recipe = 'html' ELSE parser IS NOT NULL OR provider IS NOT NULL OR coalesce(careers_url, api) IS NOT NULL END AS scannable FROM company""")
 def enr30(t):
-    return t.company.select("seq", classify.entry_kind(C("recipe"), C("parser"), C("provider"), C("careers_url"), C("status")).alias("k")).select("seq", "k.*")
+    return t.company.select("seq", classify.entry_kind(C("recipe"), C("parser"), C("provider"), C("careers_url"), C("status"), C("api")).alias("k")).select("seq", "k.*")
 
 
 # links of every kind of host, one per customer

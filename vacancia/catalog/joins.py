@@ -162,7 +162,7 @@ def headers(t):
 def listed(t):
     """Scan history of the customers' own postings: one per order line with a part name."""
     return (t.read("lineitem").join(t.read("part"), C("l_partkey") == C("p_partkey"))
-            .join(t.read("customer"), C("l_suppkey") == C("c_custkey"))
+            .join(t.read("orders"), C("l_orderkey") == C("o_orderkey")).join(t.read("customer"), C("o_custkey") == C("c_custkey"))
             .select(C("c_name").alias("company"), F.concat("p_name", F.lit(" "), F.when(C("p_size") > 30, F.lit("gameplay engine")).otherwise(F.lit("level narrative"))).alias("title"),
                     F.concat(F.lit("https://seen.example.com/"), C("l_orderkey").cast("string"), F.lit("/"), C("l_partkey").cast("string"), F.lit("/"), C("l_linenumber").cast("string")).alias("url"),
                     F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("lpos")))
@@ -170,7 +170,7 @@ def listed(t):
 
 LISTED_SQL = """ls AS (SELECT c_name AS company, p_name || ' ' || CASE WHEN p_size > 30 THEN 'gameplay engine' ELSE 'level narrative' END AS title,
     'https://seen.example.com/' || l_orderkey || '/' || l_partkey || '/' || l_linenumber AS url, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS lpos
-    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN customer ON l_suppkey = c_custkey)"""
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 _BEST = """(SELECT pos, arg_min(url, lpos) AS url FROM (SELECT pos, url, lpos, hits, max(hits) OVER (PARTITION BY pos) AS top FROM (SELECT ap.pos, l.url, l.lpos,
     len(list_filter(regexp_split_to_array(lower(ap.role), '\\s+'), lambda w: length(w) > 2 AND contains(lower(l.title), w))) AS hits FROM application ap JOIN {} l ON l.company = ap.company)) WHERE hits = top GROUP BY pos)"""
 
@@ -216,15 +216,19 @@ def jon17(t):
     return companies.not_tracked(cand, tracked, keys).select("c_custkey")
 
 
-@query("jon18_tracked_lookup", """WITH k AS (SELECT lower(replace(name, '#', ' ')) AS nm, split_part(split_part(careers_url, '//', 2), '/', 1) AS host, CASE WHEN recipe IS NOT NULL THEN recipe = 'html' ELSE parser IS NOT NULL OR provider IS NOT NULL OR careers_url IS NOT NULL END AS ok FROM company),
-  q AS (SELECT c_custkey, lower(replace(replace(c_name, 'Customer', 'Supplier'), '#', ' ')) AS qn, CASE WHEN c_acctbal < 0 THEN 'gamejobs.co' END AS qd, 'co ' || c_custkey AS qq FROM customer),
-  dm AS (SELECT bool_or(ok) AS ok, count(*) AS n FROM k WHERE host = 'gamejobs.co'),
-  h AS (SELECT c_custkey, bool_or(ok) AS ok, count(*) AS n FROM (SELECT c_custkey, nm, ok FROM q JOIN k ON nm = qn UNION SELECT c_custkey, nm, ok FROM q JOIN k ON host = qd) GROUP BY c_custkey)
+_DOMAIN = "regexp_extract(split_part(split_part(split_part({}, '//', 2), '/', 1), ':', 1), '([^.]+\\.[^.]+)$', 1)"
+ASKED_URL = ("CASE WHEN c_acctbal < 0 THEN 'https://www.gamejobs.co/x' WHEN c_acctbal < 2000 THEN 'http://www.example.net:8080/?q=1' "
+             "WHEN c_acctbal < 4000 THEN 'https://example.io' WHEN c_acctbal < 6000 THEN 'https://careers.example.com/' END")
+
+
+@query("jon18_tracked_lookup", f"""WITH k AS (SELECT seq, lower(replace(name, '#', ' ')) AS nm, [{', '.join(_DOMAIN.format(u) for u in ('careers_url', 'api', 'endpoint', 'feed_url'))}] AS hosts,
+    CASE WHEN recipe IS NOT NULL THEN recipe = 'html' ELSE parser IS NOT NULL OR provider IS NOT NULL OR careers_url IS NOT NULL OR api IS NOT NULL END AS ok FROM company),
+  b AS (SELECT c_custkey, lower(replace(replace(c_name, 'Customer', 'Supplier'), '#', ' ')) AS qn, {ASKED_URL} AS u FROM customer), q AS (SELECT *, {_DOMAIN.format('u')} AS qd FROM b),
+  h AS (SELECT c_custkey, bool_or(ok) AS ok, count(*) AS n FROM (SELECT c_custkey, seq, ok FROM q JOIN k ON nm = qn UNION SELECT c_custkey, seq, ok FROM q JOIN (SELECT seq, ok, unnest(hosts) AS host FROM k) ON host = qd) GROUP BY c_custkey)
   SELECT q.c_custkey, CASE WHEN h.ok THEN 'tracked' WHEN h.n > 0 THEN 'backlog' WHEN q.qn IN (SELECT lower(replace(replace(c_name, 'Customer', 'Supplier'), '#', ' ')) FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'backlog' ELSE 'unknown' END AS status,
     CASE WHEN h.n > 0 THEN h.n WHEN q.qn IN (SELECT lower(replace(replace(c_name, 'Customer', 'Supplier'), '#', ' ')) FROM customer WHERE c_mktsegment = 'BUILDING') THEN 1 ELSE 0 END AS matches FROM q LEFT JOIN h USING (c_custkey)""")
 def jon18(t):
-    asked = t.read("customer").select(F.replace("c_name", F.lit("Customer"), F.lit("The Supplier")).alias("query"), "c_custkey",
-                                      F.when(C("c_acctbal") < 0, F.lit("https://www.gamejobs.co/x")).alias("url"))
+    asked = t.read("customer").select(F.replace("c_name", F.lit("Customer"), F.lit("The Supplier")).alias("query"), "c_custkey", F.expr(ASKED_URL).alias("url"))
     research = t.read("customer").filter("c_mktsegment = 'BUILDING'").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("name"))
     found = companies.tracked_lookup(asked.select("query", "url"), t.company, research)
     return found.join(asked.select("query", "c_custkey"), "query").select("c_custkey", "status", "matches")

@@ -191,27 +191,36 @@ def not_tracked(candidates: DataFrame, tracked: DataFrame, keys: dict[str, tuple
     return out
 
 
+ADDRESSES = ("careers_url", "api", "endpoint", "feed_url")
+
+
 def tracked_lookup(queries: DataFrame, companies: DataFrame, backlog_names: DataFrame) -> DataFrame:
     """(query, status, matches) with status tracked, backlog or unknown.
 
-    Names and domains are matched by separate equi joins; the research backlog answers only names that
-    no company entry matched.
+    An entry matches by name or by the domain of any of its addresses (``ADDRESSES``, as far as the table has them). Matches are counted without pairs: entries of
+    the name, plus entries of the domain, less those that are both. The research backlog answers only names that no entry matched.
     """
     c = F.col
     asked = queries.select("query", names.track_key(c("query")).alias("qn"), urls.last_two_labels(c("url")).alias("qd"))
-    entry = classify.entry_kind(c("recipe"), c("parser"), c("provider"), c("careers_url"), c("status"))
-    known = companies.select(names.track_key(c("name")).alias("qn"), urls.last_two_labels(c("careers_url")).alias("qd"),
-                             c("name").alias("entry"), entry["scannable"].alias("scannable"))
-    by_name = asked.filter("qn != ''").join(known.drop("qd"), "qn").select("query", "entry", "scannable")
-    by_domain = asked.filter("qd != ''").join(known.drop("qn"), "qd").select("query", "entry", "scannable")
-    hits = (by_name.unionByName(by_domain).groupBy("query", "entry").agg(F.bool_or("scannable").alias("scannable"))
-            .groupBy("query").agg(F.bool_or("scannable").alias("scannable"), F.count("*").alias("matches")))
+    there = [a for a in ADDRESSES if a in companies.columns]
+    api = c("api") if "api" in there else F.lit(None).cast("string")
+    entry = classify.entry_kind(c("recipe"), c("parser"), c("provider"), c("careers_url"), c("status"), api)
+    domains = F.array_distinct(F.filter(F.array(*[F.coalesce(urls.last_two_labels(c(a)), F.lit("")) for a in there]), lambda d: d != ""))
+    known = companies.select(names.track_key(c("name")).alias("qn"), domains.alias("domains"), entry["scannable"].alias("scannable"))
+    hosted = known.select("qn", "scannable", F.explode("domains").alias("qd"))
+
+    def counted(entries: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return entries.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), F.bool_or("scannable").alias(f"s_{name}"))
+    by_name = counted(known.filter("qn != ''"), ["qn"], "name")
+    by_domain = counted(hosted, ["qd"], "domain")
+    both = counted(hosted.filter("qn != ''"), ["qn", "qd"], "both").drop("s_both")
     research = backlog_names.select(names.track_key(c("name")).alias("qn"), F.lit(True).alias("listed")).distinct()
-    joined = asked.join(hits, "query", "left").join(research, "qn", "left")
-    listed = c("matches").isNull() & (c("qn") != "") & F.coalesce("listed", F.lit(False))
-    return joined.select("query", F.when(c("scannable"), "tracked").when(c("matches").isNotNull() | listed, "backlog")
-                         .otherwise("unknown").alias("status"),
-                         F.coalesce("matches", F.when(listed, F.lit(1)), F.lit(0)).cast("long").alias("matches"))
+    joined = asked.join(by_name, "qn", "left").join(by_domain, "qd", "left").join(both, ["qn", "qd"], "left").join(research, "qn", "left")
+    matches = F.coalesce("n_name", F.lit(0)) + F.coalesce("n_domain", F.lit(0)) - F.coalesce("n_both", F.lit(0))
+    scannable = F.coalesce("s_name", F.lit(False)) | F.coalesce("s_domain", F.lit(False))
+    listed = (matches == 0) & (c("qn") != "") & F.coalesce("listed", F.lit(False))
+    return joined.select("query", F.when(scannable, "tracked").when((matches > 0) | listed, "backlog").otherwise("unknown").alias("status"),
+                         F.when(listed, 1).otherwise(matches).cast("long").alias("matches"))
 
 
 def import_new(leads: DataFrame, tracked: DataFrame, key) -> DataFrame:

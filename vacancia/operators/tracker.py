@@ -269,23 +269,21 @@ def best_role_url(apps: DataFrame, listed: DataFrame) -> DataFrame:
     """(pos, url): the listed row of the same employer whose title holds most words of the role.
 
     ``listed`` has company, title, url and ``lpos``; the first listed row wins ties and when no word hits.
-    Only titles that share a word with a role meet it: each distinct title offers its substrings of the
-    word lengths in use as join keys, and hits are counted while they are joined.
+    Each distinct title is read once against the words that its employer's roles ask for. Titles that hold the same of them are one, and only these few sets of words
+    meet the roles, through the words themselves.
     """
     c = F.col
     rows = listed.select(names.board_key(c("company")).alias("co"), F.lower("title").alias("title"), "url", "lpos")
     first = rows.groupBy("co").agg(F.min_by("url", "lpos").alias("url"))
     titles = rows.groupBy("co", "title").agg(F.min(F.struct("lpos", "url")).alias("at"))
     wanted = apps.select("pos", names.board_key(c("company")).alias("co"), _role_words(c("role")).alias("words"))
-    shapes = wanted.select("co", "words").distinct().join(first.select("co"), "co", "left_semi")
+    shapes = wanted.select("co", "words").distinct()
     counted = (shapes.select("co", "words", F.explode("words").alias("w"))
                .groupBy("co", "words", "w").agg(F.count("*").alias("times")))
-    lengths = counted.groupBy("co").agg(F.collect_set(F.length("w")).alias("ns"))
-    pieces = F.flatten(F.transform(c("ns"), lambda n: F.transform(
-        F.when(F.length("title") >= n, F.sequence(F.lit(1), F.length("title") - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.substring(c("title"), i, n))))
-    grams = titles.join(lengths, "co").select("co", "at", F.explode(F.array_distinct(pieces)).alias("w"))
-    scored = (grams.join(counted, ["co", "w"])
+    asked = counted.groupBy("co").agg(F.array_sort(F.collect_set("w")).alias("asked"))
+    held = (titles.join(asked, "co").select("co", "at", F.filter("asked", lambda w: F.contains(c("title"), w)).alias("held"))
+            .filter(F.size("held") > 0).groupBy("co", "held").agg(F.min("at").alias("at")))
+    scored = (held.select("co", "at", F.explode("held").alias("w")).join(counted, ["co", "w"])
               .groupBy("co", "words", "at").agg(F.sum("times").alias("hits"))
               .groupBy("co", "words").agg(F.min_by("at.url", F.struct((-c("hits")).alias("h"), c("at.lpos"))).alias("best")))
     return (wanted.join(first, "co").join(scored, ["co", "words"], "left")

@@ -94,6 +94,9 @@ _COMPANY = {
     "name": "CASE WHEN s_acctbal < 2000 THEN s_name || ' (' || n_name || ')' ELSE s_name END",
     "careers_url": "CASE WHEN s_acctbal > 8000 THEN 'https://gamejobs.co/' || CAST(s_suppkey AS STRING) "
                    "WHEN s_acctbal > 6000 THEN NULL ELSE 'https://careers.example.com/' || CAST(s_suppkey AS STRING) || '/jobs' END",
+    "api": "CASE WHEN s_acctbal > 7000 AND s_acctbal <= 8500 THEN 'https://api.example.net:443/v1/' || CAST(s_suppkey AS STRING) END",
+    "endpoint": "CASE WHEN s_acctbal > 4000 AND s_acctbal < 6000 THEN 'https://jobs.example.io/list' END",
+    "feed_url": "CASE WHEN s_acctbal < 2500 THEN 'https://feeds.gamejobs.co/rss' END",
     "job_url_template": "CASE WHEN s_acctbal < 500 THEN 'https://own.example.com/careers/' || CAST(s_suppkey AS STRING) || '/{slug}/{id}/' END",
     "provider": "CASE WHEN s_acctbal > 9000 THEN 'greenhouse' WHEN s_acctbal > 8500 THEN 'nope' END",
     "recipe": "CASE WHEN s_acctbal > 5000 AND s_acctbal < 6000 THEN 'html' WHEN s_acctbal > 4000 AND s_acctbal <= 5000 THEN 'blocked' END",
