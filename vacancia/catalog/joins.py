@@ -282,7 +282,7 @@ _HEALTH_SQL = """prev AS (SELECT company, count(*) AS fails, CAST(min(run) AS VA
 
 
 @query("jon22_health_fold", f"""WITH {_HEALTH_SQL} SELECT coalesce(p.company, n.company) AS company, CASE WHEN n.company IS NOT NULL THEN coalesce(fails, 0) + 1 ELSE fails END AS fails, coalesce(since, '2024-01-15') AS since,
-    CASE WHEN n.company IS NOT NULL THEN error ELSE lastError END AS "lastError", CASE WHEN n.company IS NOT NULL THEN n.kind ELSE p.kind END AS kind, CASE WHEN n.company IS NOT NULL THEN coalesce(fails, 0) + 1 ELSE fails END >= 8 AS alert
+    left(CASE WHEN n.company IS NOT NULL THEN error ELSE lastError END, 300) AS "lastError", CASE WHEN n.company IS NOT NULL THEN error ELSE lastError END AS error, CASE WHEN n.company IS NOT NULL THEN n.kind ELSE p.kind END AS kind, CASE WHEN n.company IS NOT NULL THEN coalesce(fails, 0) + 1 ELSE fails END >= 8 AS alert
   FROM prev p FULL JOIN now n ON p.company = n.company WHERE NOT coalesce(n.ok, FALSE) AND (n.company IS NOT NULL OR p.company IN (SELECT company FROM tracked))""")
 def jon22(t):
     o = t.outcome

@@ -48,11 +48,13 @@ def fold_health(previous: DataFrame, outcomes: DataFrame, today: Column, thresho
     else:
         keep = F.lit(True)
     failed = c("_tried").isNotNull()
+    # the shown text is short; the whole one tells apart what differs later
+    whole = F.when(failed, F.nullif("_error", F.lit(""))).otherwise(c("error") if "error" in previous.columns else c("lastError"))
     return (both.filter(keep & ~F.coalesce(c("ok"), F.lit(False))).select(
         "company",
         F.when(failed, F.coalesce("fails", F.lit(0)) + 1).otherwise(c("fails")).cast("long").alias("fails"),
         F.coalesce("since", F.when(failed, today.cast("string"))).alias("since"),
-        F.when(failed, F.substring(F.nullif("_error", F.lit("")), 1, 300)).otherwise(c("lastError")).alias("lastError"),
+        F.substring(whole, 1, 300).alias("lastError"), whole.alias("error"),
         F.when(failed, F.nullif("_kind", F.lit(""))).otherwise(c("kind")).alias("kind"))
         .withColumn("alert", c("fails") >= threshold))
 
@@ -86,16 +88,10 @@ def longest_streaks(streaks: DataFrame, top: int = 10) -> DataFrame:
 # --- feed audit ---------------------------------------------------------------------------------
 
 def samples(df: DataFrame, keys: list[str], value: str, order: str, n: int) -> DataFrame:
-    """First ``n`` values per key as an array; an iterated minimum, so a hot key is never gathered."""
-    c = F.col
-    floor = None
-    taken = None
-    for i in range(n):
-        open_rows = df if floor is None else df.join(floor, keys).filter(c(order) > c("_floor")).drop("_floor")
-        step = open_rows.groupBy(*keys).agg(F.min(F.struct(c(order).alias("o"), c(value).alias("v"))).alias(f"_{i}"))
-        floor = step.select(*keys, c(f"_{i}.o").alias("_floor"))
-        taken = step if taken is None else taken.join(step, keys, "left")
-    return taken.select(*keys, F.array_compact(F.array(*[c(f"_{i}.v") for i in range(n)])).alias("samples"))
+    """First ``n`` values per key as an array. Ranks above ``n`` are dropped before the shuffle, so a hot key brings ``n`` rows per task."""
+    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("_rank") <= n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(value).alias("v")))), lambda x: x["v"])
+    return ranked.groupBy(*keys).agg(F.array_compact(listed).alias("samples"))
 
 
 def feed_audit(attempts: DataFrame, postings: DataFrame, terms: list[str] = classify.GENEROUS_TERMS,

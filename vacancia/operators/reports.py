@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import names
 from ..functions.dates import iso_week, strict_date
 from ..functions.numbers import first_number, leading_number, out_of_five, safe_pct, whole_pct
+from ..session import cut_lineage
 from . import classify, tracker
 
 
@@ -86,10 +87,33 @@ def technology_gaps(enriched: DataFrame, top: int = 15, pattern: str = classify.
             .orderBy(F.desc("frequency"), "skill").limit(top))
 
 
+def totals(enriched: DataFrame, rules=classify.BLOCKERS) -> DataFrame:
+    """Counts by archetype, by remote policy, by blocker and over all, from one pass: (by, subject, total, positive, gaps, lowest).
+
+    Rows are repeated for their gaps, and only the first repeat counts as a row.
+    """
+    c = F.col
+    positive = c("outcome") == "positive"
+    known = lambda name: F.coalesce(F.nullif(c(name), F.lit("")), F.lit("Unknown")).alias(name)
+    rows = enriched.select(known("archetype"), known("remote_policy"), positive.alias("good"),
+                           F.when(positive & (c("points") > 0), c("points")).alias("points"), F.posexplode_outer("gaps").alias("at", "gap"))
+    blocker = classify.blocker_type(c("gap.description"), c("gap.severity"), rules)
+    # the pattern tests come before the rows are repeated for the sets
+    marked = rows.select("archetype", "remote_policy", blocker.alias("blocker"), "points", (F.coalesce("at", F.lit(0)) == 0).alias("row"), "good")
+    by = [c("archetype"), c("remote_policy"), c("blocker")]
+    level = F.grouping_id()
+    sets = marked.groupingSets([[by[0]], [by[1]], [by[2]], []], *by).agg(
+        level.alias("level"), F.count_if("row").alias("total"), F.count_if(c("row") & c("good")).alias("positive"), F.count("*").alias("gaps"), F.min("points").alias("lowest"))
+    name = F.element_at(F.create_map(*[F.lit(x) for x in (3, "archetype", 5, "remote_policy", 6, "blocker", 7, "all")]), c("level").cast("int"))
+    return sets.select(name.alias("by"), F.coalesce(*by).alias("subject"), "total", "positive", "gaps", "lowest")
+
+
 def recommendations(enriched: DataFrame, rules=classify.BLOCKERS) -> DataFrame:
-    """Rule rows (rule, subject, value, impact) that the aggregates trigger."""
+    """Rule rows (rule, subject, value, impact) that the aggregates trigger; the rules see the small table of :func:`totals` only."""
     c = F.col
-    blocked = blockers(enriched, rules)
+    found = cut_lineage(totals(enriched, rules).filter("subject is not null or by = 'all'"))
+    whole = F.broadcast(found.filter("by = 'all'").select(c("total").alias("all")))     # one row
+    share = found.join(whole).withColumn("share", whole_pct(c("gaps"), c("all"))).withColumn("conversion", whole_pct(c("positive"), c("total")))
 
     def row(df: DataFrame, rule: str, subject: Column, value: Column, impact: str) -> DataFrame:
         return df.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"),
@@ -98,14 +122,14 @@ def recommendations(enriched: DataFrame, rules=classify.BLOCKERS) -> DataFrame:
     def first(df: DataFrame, *order) -> DataFrame:
         return df.orderBy(*order).limit(1)
 
-    kinds = breakdown(enriched, "archetype").filter("total >= 2")
-    remote = breakdown(enriched, "remote_policy").filter("total >= 2")
+    kinds, remote = share.filter("by = 'archetype' and total >= 2"), share.filter("by = 'remote_policy' and total >= 2")
+    floor = F.floor(c("lowest") * 10) / 10
     return _union([
-        row(blocked.filter("blocker = 'geo-restriction' and percentage >= 20"), "tighten-location", c("blocker"), c("percentage"), "high"),
-        row(blocked.filter("blocker = 'stack-mismatch' and percentage >= 15"), "filter-stack", c("blocker"), c("percentage"), "high"),
-        row(score_threshold(enriched).filter("lowest > 3.0"), "score-floor", F.lit("score"), c("recommended"), "medium"),
-        row(first(kinds, F.desc("conversion"), F.desc("total"), "archetype").filter("conversion > 0"), "double-down", c("archetype"), c("conversion"), "medium"),
-        row(first(remote.filter("conversion = 0"), F.desc("total"), "remote_policy"), "avoid-policy", c("remote_policy"), c("total"), "medium"),
+        row(share.filter("by = 'blocker' and subject = 'geo-restriction' and share >= 20"), "tighten-location", c("subject"), c("share"), "high"),
+        row(share.filter("by = 'blocker' and subject = 'stack-mismatch' and share >= 15"), "filter-stack", c("subject"), c("share"), "high"),
+        row(share.filter("by = 'all' and lowest > 3.0"), "score-floor", F.lit("score"), floor, "medium"),
+        row(first(kinds.filter("conversion > 0"), F.desc("conversion"), F.desc("total"), "subject"), "double-down", c("subject"), c("conversion"), "medium"),
+        row(first(remote.filter("conversion = 0"), F.desc("total"), "subject"), "avoid-policy", c("subject"), c("total"), "medium"),
     ])
 
 
@@ -225,7 +249,7 @@ _SCORE = r"^\d+\.?\d*/5$"
 
 
 def integrity(apps: DataFrame, files: DataFrame, raw_lines: DataFrame, pending: DataFrame, folder: str = "data/") -> DataFrame:
-    """One row per finding (check_name, level, item)."""
+    """One row per finding (check_name, level, item, shown); ``shown`` is the start of a long item."""
     c = F.col
     status = F.coalesce("status", F.lit(""))
     clean = F.trim(F.regexp_replace(F.lower(F.trim(F.replace(status, F.lit("**"), F.lit("")))), r"\s+\d{4}-\d{2}-\d{2}.*$", ""))
@@ -248,8 +272,8 @@ def integrity(apps: DataFrame, files: DataFrame, raw_lines: DataFrame, pending:
     return _union([
         per_row, found(tracker.exact_repeats(apps), "repeat", "warning", c("first_num")),
         found(tracker.broken_links(apps, files, folder), "broken_link", "error", c("num")),
-        found(rows, "row_format", "error", F.substring("line", 1, 80)),
-        found(pending, "pending", "warning", c("name"))])
+        found(rows, "row_format", "error", c("line")),
+        found(pending, "pending", "warning", c("name"))]).withColumn("shown", F.substring("item", 1, 80))
 
 
 def integrity_summary(findings: DataFrame) -> DataFrame:

@@ -158,14 +158,14 @@ def report_rows(reports: DataFrame, content: str = "content") -> DataFrame:
 def header_preview(content: Column) -> Column:
     """struct(archetype, tldr, remote, comp, url, batch_id) as the dashboard previews a report.
 
-    The url and batch id are read in the first 1000 bytes only, as the header ends there.
+    The url and batch id are read in the whole header, up to the first section.
     """
     def field(*patterns: str) -> Column:
         hits = [F.nullif(F.trim(F.regexp_replace(F.trim(F.regexp_extract(content, "(?i)" + p + r"(.+)", 1)), r"\|+$", "")), F.lit("")) for p in patterns]
         return F.coalesce(*hits, F.lit(""))
 
     tldr = field(r"\*\*TL;DR\*\*\s*\|\s*", r"\*\*TL;DR:\*\*\s*")
-    head = F.decode(F.substring(F.encode(content, "UTF-8"), 1, 1000), "UTF-8")
+    head = F.substring_index(content, "\n## ", 1)
     return F.struct(
         field(r"\*\*Arquetipo(?:\s+detectado)?\*\*\s*\|\s*", r"\*\*Arquetipo:\*\*\s*").alias("archetype"),
         F.when(F.length(tldr) > 120, F.concat(F.substring(tldr, 1, 117), F.lit("..."))).otherwise(tldr).alias("tldr"),
