@@ -1,6 +1,6 @@
 """From collected postings to one de-duplicated snapshot and the list of new postings.
 
-``seq`` is the order in which postings were found, a value of its own for each; every "first wins" rule is a minimum over it. Groups
+``seq`` is the order in which postings were found, a value of its own for each (of rows that share one and all a rule looks at, one stays); every "first wins" rule is a minimum over it. Groups
 can be hot (one link, title or employer may hold a third of all rows), so winners come from partial
 aggregates, and no group is ever gathered into one task. The rules run on narrow rows of ids and keys; whole rows are joined to the survivors once.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import names, urls
 from ..functions.text import first_segment_fold, fold
@@ -49,11 +49,18 @@ def _located(narrow: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(narrow.select("id", F.col("_at").alias("seq")), "id").drop("id")
 
 
+def _one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One of the rows that share ``keys``, where an order is not a value of its own. The join before it has dealt and sorted the rows by these keys already."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).filter("_n = 1").drop("_n")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """First row of each key by ``order``. Keys and ids are aggregated, and the rows follow by one semi join."""
     narrow = numbered(df, order, **{k: F.col(k) for k in keys})
-    first = _located(narrow, narrow.groupBy(*keys).agg(F.min("id").alias("id")).select("id"))
-    return df.withColumn("_at", order).join(first.withColumnRenamed("seq", "_at"), "_at", "left_semi").select(*df.columns)
+    first = _located(narrow, narrow.groupBy(*keys).agg(F.min("id").alias("id"))).select(F.col("seq").alias("_first"), *[F.col(k).alias(f"_key_{k}") for k in keys])
+    mine = df.withColumn("_at", order)
+    same = reduce(lambda a, b: a & b, [mine[k].eqNullSafe(first[f"_key_{k}"]) for k in keys], mine["_at"] == first["_first"])
+    return _one_each(mine.join(first, same, "left_semi"), ["_at", *keys]).select(*df.columns)
 
 
 def digest(*parts: Column) -> Column:
@@ -82,7 +89,7 @@ def merge_same_url(postings: DataFrame) -> DataFrame:
     given = postings.filter(F.coalesce("url", F.lit("")) != "")
     narrow = numbered(given, F.col("seq"), url=F.col("url"), filtered=F.coalesce("filtered", F.lit(False)))
     merged = narrow.groupBy("url").agg(F.min("id").alias("id"), F.bool_and("filtered").alias("_all"))
-    return given.join(_located(narrow, merged.select("id", "_all")), "seq").withColumn("filtered", F.col("_all")).select(*postings.columns)
+    return _one_each(given.join(_located(narrow, merged), ["seq", "url"]), ["seq", "url"]).withColumn("filtered", F.col("_all")).select(*postings.columns)
 
 
 def merge_offices(postings: DataFrame) -> DataFrame:
@@ -94,15 +101,16 @@ def merge_offices(postings: DataFrame) -> DataFrame:
     company = F.lower(F.trim(F.coalesce("company", F.lit(""))))
     named = postings.filter(company != "")
     narrow = numbered(named, c("seq"), role=digest(company, fold(c("title"))), location=c("location"), postedDate=c("postedDate"))
+    # orders may repeat between roles, so rows are found by both
     heads = narrow.groupBy("role").agg(F.min("id").alias("id"), F.max("postedDate").alias("_date"), F.count("*").alias("_n"))
     offices = F.filter(F.transform(F.split(F.coalesce("location", F.lit("")), " / "), lambda x: F.trim(x)), lambda x: x != "")
     # in a row only the first spelling of an office counts
     once = narrow.withColumn("_o", offices).select("role", "id", F.posexplode(F.filter("_o", lambda x, i: F.array_position(F.transform("_o", lambda y: F.lower(y)), F.lower(x)) == i + 1)).alias("p", "o"))
     first = once.groupBy("role", F.lower("o").alias("low")).agg(F.min("id").alias("id"), F.min_by("p", "id").alias("p"))
-    listed = (first.join(once.select("id", "p", "o"), ["id", "p"]).groupBy("role")
+    listed = (first.join(once.select("role", "id", "p", "o"), ["role", "id", "p"]).groupBy("role")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "p", "o"))), lambda x: x["o"]), " / ").alias("_locs")))
-    kept = _located(narrow, heads.join(listed, "role", "left").select("id", "_date", "_n", "_locs"))
-    merged = (named.join(kept, "seq")
+    kept = _located(narrow, heads.join(listed, "role", "left").select("id", c("role").alias("_role"), "_date", "_n", "_locs"))
+    merged = (_one_each(named.withColumn("_role", digest(company, fold(c("title")))).join(kept, ["seq", "_role"]), ["seq", "_role"])
               .withColumn("location", F.when(c("_n") == 1, c("location")).otherwise(F.coalesce("_locs", F.lit(""))))
               .withColumn("postedDate", c("_date")).select(*postings.columns))
     return merged.unionByName(postings.filter(company == ""))
@@ -381,7 +389,6 @@ def repost_counts(postings: DataFrame, days: int = 90) -> DataFrame:
     Rows are first counted per day, so a window never holds more rows than there are days, whatever the
     size of the employer.
     """
-    from pyspark.sql import Window
     c = F.col
     role = ["company", "role_key"]
     daily = (postings.withColumns({"role_key": fold(c("title")), "day": c("postedDate").cast("date")})
