@@ -51,7 +51,7 @@ def _located(narrow: DataFrame, found: DataFrame) -> DataFrame:
 
 def _one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One of the rows that share ``keys``, where an order is not a value of its own. The join before it has dealt and sorted the rows by these keys already."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).filter("_n = 1").drop("_n")
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))).filter("_rank = 1").drop("_rank")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
