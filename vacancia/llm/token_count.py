@@ -4,7 +4,9 @@ A text is cut at the special strings of the vocabulary and into pre-tokens, whos
 Pieces never cross pre-tokens, so the pieces of each distinct pre-token are counted once, and documents sum frequency times
 pieces; no ids are built. Frequent short pre-tokens (the head, at most ``head`` entries of ``HEAD_BYTES`` bytes) are joined
 on the map side from a broadcast table of proven size, which also takes the hot keys away from the shuffle; all others are
-brought together by hash partitions of the pre-token. The head only decides where a pre-token is joined, never the count.
+brought together by hash partitions of the pre-token. Longer ones (rules of dashes, runs of blanks) may be hot too and are
+salted over as many parts as the session shuffles into. The head only decides where a pre-token is joined, never the count.
+A task holds the pre-tokens of ``PIECE`` characters of a text and the codes of ``AT_ONCE`` pre-tokens at a time.
 
 Null texts are empty and have no tokens. Repeated rows are counted row by row. Rows without doc_id are counted too. Other columns are ignored.
 Rows are numbered by task, so ``docs`` must come from a repeatable source such as a file scan.
@@ -25,14 +27,46 @@ from .common import batches
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD_BYTES = 32
+PIECE, AT_ONCE = 1 << 18, 2_000
+_models: dict = {}
 
 
-def cut(text: str, special: list[str], find) -> tuple[list[str], int]:
-    """Pre-tokens, and the number of special strings."""
-    if not any(s in text for s in special):
-        return find(text), 0
-    parts = regex.split("|".join(map(regex.escape, sorted(special, key=len, reverse=True))), text)
-    return [w for p in parts for w in find(p)], len(parts) - 1
+def model_of(path: str):
+    """The vocabulary, read once per process, on one thread."""
+    if path not in _models:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        _models[path] = Tokenizer.from_file(path)
+    return _models[path]
+
+
+def lengths(model, words: list[str]) -> list[int]:
+    """Number of pieces of each pre-token."""
+    return [len(e.ids) for at in range(0, len(words), AT_ONCE) for e in model.encode_batch(words[at:at + AT_ONCE], add_special_tokens=False)]
+
+
+def stretches(text: str):
+    """The text in parts of ``PIECE`` characters or more; no pre-token holds a space behind another character, so it may be cut there."""
+    start = 0
+    while len(text) - start > PIECE:
+        end = text.find(" ", start + PIECE)
+        while end > 0 and text[end - 1].isspace():
+            end = text.find(" ", end + 1)
+        if end < 0:
+            break
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
+def cut(text: str, special: list[str], find) -> tuple[Counter, int]:
+    """Frequencies of the pre-tokens, and the number of special strings."""
+    parts = regex.split("|".join(map(regex.escape, sorted(special, key=len, reverse=True))), text) if any(s in text for s in special) else [text]
+    seen = Counter()
+    for part in parts:
+        for stretch in stretches(part):
+            seen.update(find(stretch))
+    return seen, len(parts) - 1
 
 
 def sampled(special):
@@ -42,7 +76,7 @@ def sampled(special):
             seen = Counter()
             for text in batch.column("text"):
                 seen.update(cut(text.as_py(), special, find)[0])
-            kept = [(w, n) for w, n in seen.items() if len(w) <= HEAD_BYTES]
+            kept = [(w, n) for w, n in seen.items() if len(w.encode()) <= HEAD_BYTES]
             if kept:
                 words, n = zip(*kept)
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n, pa.int64())], names=["piece", "n"])
@@ -62,7 +96,7 @@ def frequencies(special, head):
                 text = text.as_py()
                 pieces, n = cut(text, special, find)
                 other = 0
-                for word, count in Counter(pieces).items():
+                for word, count in pieces.items():
                     if (k := known.get(word)) is not None:
                         n += k * count
                     else:
@@ -91,12 +125,11 @@ def piece_counts(path: str):
     """Rows with ``n`` in place of piece and times. Partitions come in order of piece, so that each distinct piece is counted
     once, but for the ends of batches; the documents' own rows pass."""
     def run(iterator):
-        from tokenizers import Tokenizer
-        model = Tokenizer.from_file(path)
-        for batch in batches(iterator, 8 << 20):
+        model = model_of(path)
+        for batch in batches(iterator):
             coded = batch.column("piece").dictionary_encode()
             names = coded.dictionary.to_pylist()
-            counts = np.array([len(e.ids) for e in model.encode_batch(names, add_special_tokens=False)] + [1], np.int64)
+            counts = np.array(lengths(model, names) + [1], np.int64)
             which = coded.indices.fill_null(len(names)).to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "n_bytes")), pa.array(counts[which] * batch.column("times").to_numpy())],
                                              names=["doc_id", "row", "n_bytes", "n"])
@@ -105,10 +138,8 @@ def piece_counts(path: str):
 
 def counted(docs: DataFrame, path: str, head: int = 100_000, sample: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) per row; ``path`` names a vocabulary file that every executor has."""
-    from tokenizers import Tokenizer
     spark = docs.sparkSession
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    model = Tokenizer.from_file(path)
+    model = model_of(path)
     special = [t.content for t in model.get_added_tokens_decoder().values()]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # head: frequent pre-tokens of about ``sample`` rows
@@ -116,10 +147,12 @@ def counted(docs: DataFrame, path: str, head: int = 100_000, sample: int = 20_00
     frequent = (texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(sampled(special), "piece string, n long")
                 .groupBy("piece").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "piece").limit(head).select("piece").collect())
     names = [r["piece"] for r in frequent]
-    known = spark.sparkContext.broadcast({w: len(e.ids) for w, e in zip(names, model.encode_batch(names, add_special_tokens=False))})
+    known = spark.sparkContext.broadcast(dict(zip(names, lengths(model, names))))
     where = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(frequencies(special, known), f"doc_id {where}, row long, n_bytes long, piece string, times long")
-    # equal pre-tokens meet in one partition; the documents' own rows have no piece and are dealt out by number
-    dealt = rows.repartition(F.when(F.col("piece").isNull(), F.col("row")).otherwise(F.xxhash64("piece")))
+    # equal pre-tokens meet in one partition, long ones in one per salt; the documents' own rows have no piece and are dealt out by number
+    salt = F.pmod("row", F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.repartition(F.when(F.col("piece").isNull(), F.col("row")).when(F.octet_length("piece") > HEAD_BYTES, F.xxhash64("piece", salt))
+                             .otherwise(F.xxhash64("piece")))
     joined = dealt.sortWithinPartitions("piece").mapInArrow(piece_counts(path), f"doc_id {where}, row long, n_bytes long, n long")
     return joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("row")
