@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from vacancia.sources import feeds, files, sinks
+from vacancia.sources import feeds, files, shapes, sinks
 
 
 def body(spark, *texts):
@@ -62,3 +62,31 @@ def test_recipe_html(spark):
     assert got == [("Artist & Lead", "https://b.example/j/7", "Acme", "Oslo"), ("Coder " + filler + "go Studio", "https://o.example/8", "Studio", "")]
     own = feeds.recipe_html(pages, {"list_selector": "li[data-id=8]", "fields": {"title": "em", "url": "@data-id"}, "url_base": "u/"}).collect()
     assert [tuple(r) for r in own] == [("Studio", "u/8", "Acme", "")]
+
+
+def test_shapes_read_each_field_alone(spark):
+    good = ('{"offers": [{"title": "A", "careers_url": "https://x.recruitee.com/o/a", "city": "Gent", "country": null, "remote": true, "hybrid": true, "published_at": "soon"},'
+            ' {"title": {"no": 1}, "url": "http://x.recruitee.com/o/b", "department": 7}, null, {}]}')
+    rows = shapes.postings(body(spark, good, '{"offers": []}'), shapes.SHAPES["recruitee"]).collect()
+    assert (rows[0].title, rows[0].url, rows[0].location, rows[0].workMode, rows[0].postedDate) == ("A", "https://x.recruitee.com/o/a", "Gent", "remote", "")
+    assert [(r.url, r.workMode) for r in rows[1:]] == [("", ""), ("", "")]
+
+
+def test_shapes_keep_the_first_of_a_document(spark):
+    items = ",".join('{"slug": "%s", "position": "%s", "city": "Minsk"}' % x for x in [("b", ""), ("b", "first"), ("a", "other"), ("b", "second"), ("no/slug", "x")])
+    rows = shapes.postings(body(spark, '{"items": [%s]}' % items, '{"items": [%s]}' % items), shapes.SHAPES["huntflow"]).collect()
+    assert [(r.url, r.title) for r in rows] == [("/vacancy/b", "first"), ("/vacancy/a", "other")] * 2
+
+
+def test_shapes_reject_what_is_no_list(spark):
+    bad = [None, "", "{oops", '{"items": {}}', "[]", "null", '{"items": null}']
+    got = shapes.rejected(body(spark, *bad, '{"items": []}'), shapes.SHAPES["teamtailor"]).collect()
+    assert [(r.body, r.reason) for r in got] == list(zip(bad, ["no body", "no body", "not JSON", "no list", "no list", "no list", "no list"]))
+    assert shapes.postings(body(spark, *bad), shapes.SHAPES["teamtailor"]).count() == 0
+
+
+def test_mode_labels(spark):
+    labels = ["Hybrid (Southampton, GB)", "On-site(Rome)", "Remote", "Remote work", "Lyon (Remote)", ""]
+    text = "[%s]" % ",".join('{"name": "n", "url": "u", "workLocations": ["%s"]}' % x for x in labels)
+    got = shapes.postings(body(spark, text), shapes.SHAPES["rippling"]).collect()
+    assert [(r.location, r.workMode) for r in got] == [("Southampton, GB", "hybrid"), ("Rome", "onsite"), ("", "remote"), ("Remote work", ""), ("Lyon (Remote)", ""), ("", "")]
