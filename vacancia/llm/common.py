@@ -1,11 +1,14 @@
 """Row keys, null-safe joins, running sums over ranges, and hashing of words inside tasks."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import cut_lineage
 
 #: A word is a run of characters that are not one of these; no other Unicode space counts.
 SPACES = "\x20\t\n\x0b\f\r"
@@ -36,6 +39,42 @@ def same(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> Dat
     return left.join(renamed, on, how).drop(*[f"_r_{c}" for c in columns])
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, underscores put in front until no column of ``docs`` has the name in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def aside(docs: DataFrame, needed: set[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step(docs)`` with the columns of ``docs``, where all but ``needed`` wait under names that no operator uses."""
+    waiting = [c if c in needed else f"aside {i}" for i, c in enumerate(docs.columns)]
+    out = step(docs.select(*[F.col(f"`{c}`").alias(w) for c, w in zip(docs.columns, waiting)]))
+    return out.select(*[F.col(f"`{w}`").alias(c) for c, w in zip(docs.columns, waiting)])
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number per row that is the same in every scan, however the files are split: file, then row inside it.
+
+    The files are numbered by a broadcast table of one row per file, a list that the driver holds for the scan anyway. A frame
+    that is no file scan is written once with its numbers.
+    """
+    path, place, file = unused(docs, "file_path", "row_index", "file_number")
+    try:
+        at = docs.metadataColumn("_metadata")
+        placed = docs.select("*", at["file_path"].alias(path), at["row_index"].alias(place))
+        placed.schema
+    except AnalysisException:
+        return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id()))
+    files = placed.select(path).distinct().withColumn(file, F.row_number().over(Window.orderBy(path)).cast("long"))
+    return placed.join(F.broadcast(files), path).withColumn(name, F.shiftleft(F.col(file), 40) + F.col(place)).drop(path, place, file)
+
+
 # ---- inside tasks -------------------------------------------------------------------------------
 
 def mix(x: np.ndarray) -> np.ndarray:

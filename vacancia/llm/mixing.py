@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .common import WORD
+from .common import WORD, numbered, unused
 
 PRICES = (5, 2, 1)
 BUCKETS = 2048      # ranges per source and of the whole queue
@@ -60,9 +60,9 @@ def running(rows: DataFrame, keys: list[str], bucket: str, order: list, value: s
     return joined.withColumn(name, F.sum(value).over(inside) + F.col("_before")).drop("_before")
 
 
-def queued(docs: DataFrame, most: int = 3, seed: int = 0) -> tuple[DataFrame, float]:
-    """Rows (row, doc_id, source, size, source_size, target, key, upto) and the budget."""
-    sized = sizes(docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())).drop("text")
+def queued(docs: DataFrame, most: int = 3, seed: int = 0, row: str | None = None) -> tuple[DataFrame, float]:
+    """Rows (row, doc_id, source, size, source_size, target, key, upto) and the budget; ``row`` names a column of numbers."""
+    sized = sizes(docs.select("doc_id", "source", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("row"))).drop("text")
     sized = cut_lineage(sized)
     goal = targets(sized, most=most)
     # doc_id in text form: the same shuffle in any engine
@@ -123,15 +123,19 @@ def _narrowed(before, inside, place, cut):
     return (lambda f: before(f) | (inside(f) & (place(f) < cut))), (lambda f: inside(f) & (place(f) == cut))
 
 
-def mix(docs: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
-    """(row, doc_id, size, source_size, target, taken) of every row; ``row`` is its monotonically increasing id."""
-    queue, budget = queued(docs, most, seed)
+def mix(docs: DataFrame, most: int = 3, seed: int = 0, row: str | None = None) -> DataFrame:
+    """(row, doc_id, size, source_size, target, taken) of every row; ``row`` is its monotonically increasing id, or the named column."""
+    queue, budget = queued(docs, most, seed, row)
     copies = taken_copies(queue, budget, most)
     return queue.select("row", "doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken. ``docs`` must be repeatable, such as a file scan."""
-    plan = mix(docs, most, seed).filter("taken > 0").select(F.col("row").alias("_row"), (F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    return (docs.withColumn("_row", F.monotonically_increasing_id()).join(plan, "_row")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns))
+    """The mix itself: rows of ``docs``, each as often as it is taken, with the columns of ``docs``, whatever their names.
+
+    Rows are joined by numbers that do not depend on how the files are split. An empty table gives an empty mix; rows without words are not taken.
+    """
+    row, times, copy = unused(docs, "row", "times", "copy")
+    held = numbered(docs, row)
+    plan = mix(held, most, seed, row).filter("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return held.join(plan, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

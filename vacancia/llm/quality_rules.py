@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import let
-from .common import WORD
+from .common import WORD, aside
 
 # Frequent function words per language.
 COMMON = {
@@ -140,8 +140,8 @@ def judged(docs: DataFrame, refs: DataFrame | None = None, min_words: int = 50,
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows that pass, with the columns of ``docs``."""
+    """The rows that pass, with the columns of ``docs``, whatever their names."""
     # exploding a list of the kept verdict, in place of a filter: a filter would be pushed below the projection and each of its
     # conditions would compute the histograms again
     kept = F.explode(F.filter(F.array("_q"), lambda q: q["kept"]))
-    return judged(docs, **options).withColumn("_one", kept).select(*docs.columns)
+    return aside(docs, {"text", "lang"}, lambda d: judged(d, **options).withColumn("_one", kept))

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import let
+from .common import aside
 
 # The base patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -124,10 +125,13 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``, overlapping spans by one; null texts stay null."""
-    found = scanned(docs)
+    """``docs`` with every span replaced by ``mask``, overlapping spans by one; null texts stay null. Other columns stay, whatever their names."""
+    return aside(docs, {"text"}, lambda d: _masked(scanned(d), mask))
+
+
+def _masked(found: DataFrame, mask: str) -> DataFrame:
     cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mask)))).otherwise(a["out"]).alias("out")),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text"))).drop("_base", "_spans")
+    return found.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text")))
