@@ -124,7 +124,7 @@ def _apply_link(df: DataFrame) -> Column:
 
 
 def posting_facts(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None,
-                  codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
+                  codes: dict[str, str] | None = None) -> DataFrame:
     """What the passes compare, one narrow row per posting: id, link, number, employer, title, city, countries and kind of host.
 
     Later passes only move ids and 128-bit keys; postings are read again when the survivors are known.
@@ -160,7 +160,7 @@ def _widened(location: Column, own: Column, named: Column, codes: dict[str, str]
 
 
 def collapse_links(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT,
-                   codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
+                   codes: dict[str, str] | None = None) -> DataFrame:
     """Rows that lead to one application link become one; countries of the dropped ones are kept.
 
     A direct row is preferred as survivor, then the first found. Countries are appended only when the survivor's own country is known.
@@ -271,7 +271,7 @@ def drop_mirrors(postings: DataFrame, **config) -> DataFrame:
 
 
 def snapshot_marks(postings: DataFrame, aggregators=AGGREGATORS, last_resort=LAST_RESORT, aliases=None,
-                   codes: dict[str, str] = classify.COUNTRY_CODES) -> DataFrame:
+                   codes: dict[str, str] | None = None) -> DataFrame:
     """(seq, place, gone): the pass that removes each posting (link, id, title) or NULL, and the location of those that stay.
 
     Links, then requisition numbers, then mirrors, all on one narrow table.
