@@ -90,3 +90,11 @@ def test_mode_labels(spark):
     text = "[%s]" % ",".join('{"name": "n", "url": "u", "workLocations": ["%s"]}' % x for x in labels)
     got = shapes.postings(body(spark, text), shapes.SHAPES["rippling"]).collect()
     assert [(r.location, r.workMode) for r in got] == [("Southampton, GB", "hybrid"), ("Rome", "onsite"), ("", "remote"), ("Remote work", ""), ("Lyon (Remote)", ""), ("", "")]
+
+
+def test_islands(spark):
+    page = '<input type="hidden" value="[{&quot;id&quot;: 7, &quot;Posting_Title&quot;: &quot;A &amp;amp; B&quot;}, {&quot;id&quot;: &quot;a/b&quot;, &quot;Posting_Title&quot;: &quot;C&quot;}]" id="jobs">'
+    got = shapes.postings(body(spark, page, "<html>", None), shapes.SHAPES["zohorecruit"]).collect()
+    assert [(r.url, r.title) for r in got] == [("/jobs/Careers/7", "A &amp; B")]
+    text = '<script id="__NEXT_DATA__">{"props": {"pageProps": {"dehydratedState": {"queries": [{"queryKey": ["x"], "state": {"data": [{"openingId": 1, "title": "no"}]}}]}}}}</script>'
+    assert [r.reason for r in shapes.rejected(body(spark, text), shapes.SHAPES["greetinghr"]).collect()] == ["no list"]

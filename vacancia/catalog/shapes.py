@@ -131,6 +131,26 @@ def eightfold(t):
         business_unit=x["p_type"]), lambda rows: named(positions=F.concat(rows, rows)), "postedDate", "workMode", "department")
 
 
+@query("src06_zohorecruit", f"""{LN} SELECT DISTINCT p_name || ' "A&B"' AS title, '{ORIGIN}/jobs/Careers/' || l_partkey AS url, company, 'Pune, ' || p_type AS location, 'remote' AS "workMode" FROM ln WHERE l_partkey % 4 > 0""")
+def zohorecruit(t):
+    render = lambda x: named(id=key(x), Job_Opening_Name=F.concat(x["p_name"], lit(' "A&B"')), City=lit("Pune"), Country=x["p_type"], Remote_Job=lit(True), Publish=x["l_partkey"] % 4 > 0)
+    page = payload(t, render, lambda rows: F.concat(lit('<html><input type="hidden" id="jobs" value="'), F.replace(F.replace(
+        F.to_json(F.concat(rows, rows)), lit("&"), lit("&amp;")), lit('"'), lit("&#34;")), lit('"></html>')))
+    return shapes.postings(page.withColumn("origin", lit(ORIGIN)), shapes.SHAPES["zohorecruit"])
+
+
+@query("src06_greetinghr", f"""{LN} SELECT DISTINCT p_name AS title, '{ORIGIN}/o/' || l_partkey AS url, company, CASE WHEN l_partkey % 2 = 0 THEN 'Seongnam, South Korea' ELSE '' END AS location,
+    CASE WHEN l_partkey % 2 = 0 THEN 'onsite' ELSE 'remote' END AS "workMode", p_type AS department FROM ln WHERE l_partkey % 3 = 0""")
+def greetinghr(t):
+    opening = lambda x: named(openingId=x["l_partkey"], deploy=x["l_partkey"] % 3 != 1, title=F.when(x["l_partkey"] % 3 == 2, lit("Talent  Pool")).otherwise(x["p_name"]),
+                              openingJobPosition=named(openingJobPositions=F.array(named(workspaceOccupation=named(occupation=x["p_type"]), workspacePlace=named(
+                                  place=F.when(x["l_partkey"] % 2 == 0, lit(" Seongnam")).otherwise(lit("")), workFromHome=x["l_partkey"] % 2 == 1)))))
+    cached = lambda name, rows: named(queryKey=F.array(lit(name)), state=named(data=rows))
+    page = payload(t, opening, lambda rows: F.concat(lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(named(props=named(pageProps=named(dehydratedState=named(
+        queries=F.array(cached("career", F.slice(rows, 1, 0)), cached("openings", F.concat(rows, rows)))))))), lit("</script>")))
+    return shapes.postings(page.withColumn("origin", lit(ORIGIN)), shapes.SHAPES["greetinghr"]).select("title", "url", "company", "location", "workMode", "department")
+
+
 @query("src01_rejected", """SELECT 'Co' || o_orderkey AS company, CASE o_orderkey % 5 WHEN 0 THEN 'no body' WHEN 1 THEN 'not JSON' ELSE 'no list' END AS reason, CASE o_orderkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN '{"items": [' WHEN 2 THEN '{"items": {}}' ELSE 'null' END AS body
     FROM orders WHERE o_orderkey % 5 < 4""")
 def broken(t):

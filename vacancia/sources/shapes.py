@@ -20,13 +20,17 @@ from ..operators import classify
 @dataclass(frozen=True)
 class Shape:
     """``columns``: SQL per column, ``{a.b}`` for the trimmed text at that path of the item ('' when absent), company and origin
-    by name. ``need``: columns that must not be blank. ``unique``: column whose first row in a document stays. ``finish``:
+    by name. ``island`` cuts the JSON out of a page (first group), ``escaped`` opens its entities; ``pick`` is the key of the cached
+    query, among those at ``items``, whose data is the list. ``need``: columns that must not be blank. ``unique``: column whose first row in a document stays. ``finish``:
     columns worked out of these."""
     items: str
     columns: dict[str, str]
     need: tuple[str, ...] = ("title", "url")
     unique: str | None = None
     finish: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    island: str = ""
+    escaped: bool = False
+    pick: str = ""
 
 
 def _sql(template: str) -> str:
@@ -88,6 +92,17 @@ def _place_mode() -> Column:
     return F.when(mode != "", mode).otherwise(classify.work_mode(F.col("location")))
 
 
+# Titles that are no postings (talent pool, referral).
+NON_JOB = r"(?i)인재\\s*풀|talent\\s*pool|추천\\s*제도|사외\\s*추천|임직원\\s*추천|referral"
+_POSITION = "openingJobPosition.openingJobPositions[0]"
+
+
+def _korean() -> Column:
+    """Street addresses of Korean boards name no country."""
+    place = F.col("location")
+    return F.when((place != "") & ~F.rlike(place, F.lit("(?i)korea")), F.concat(place, F.lit(", South Korea"))).otherwise(place)
+
+
 _FROM_CODE = "if({shortcode} = '', '', concat('https://apply.workable.com/j/', {shortcode}))"
 _CITY = f"trim(split({_first_of('{location.city}', '{atsLocation.city}')}, ',')[0])"
 
@@ -147,13 +162,30 @@ SHAPES: dict[str, Shape] = {
         "postedDate": _first_of("{t_create}", "{t_update}"), "department": _first_of("{department}", "{business_unit}"),
         "workMode": _first_of("{work_location_option}", "{location_flexibility}")},
         unique="url", finish={"postedDate": _iso, "workMode": _mode}),
+    "zohorecruit": Shape("$", {
+        "title": _first_of("{Posting_Title}", "{Job_Opening_Name}"), "company": "company", "location": _listed("{City}", "{Country}"),
+        "url": "if({id} rlike '^[A-Za-z0-9]+$' and {Publish} <> 'false', concat(origin, '/jobs/Careers/', {id}), '')",
+        "workMode": "if({Remote_Job} = 'true', 'remote', '')"},
+        unique="url", island=r"""(?i)<input(?=[^>]*\bid="jobs")[^>]*\bvalue="([^"]*)\"""", escaped=True),
+    "greetinghr": Shape("$.props.pageProps.dehydratedState.queries", {
+        "title": f"if({{title}} rlike '{NON_JOB}', '', {{title}})", "company": "company", "postedDate": "{openDate}",
+        "url": "if({openingId} = '' or {deploy} = 'false', '', concat(origin, '/o/', replace(url_encode({openingId}), '+', '%20')))",
+        "location": _first_of(f"{{{_POSITION}.workspacePlace.place}}", f"{{{_POSITION}.workspacePlace.location}}"),
+        "department": f"{{{_POSITION}.workspaceOccupation.occupation}}", "workMode": f"if({{{_POSITION}.workspacePlace.workFromHome}} = 'true', 'remote', '')"},
+        unique="url", finish={"postedDate": _iso, "location": _korean, "workMode": lambda: F.when(F.col("workMode") != "", F.col("workMode")).when(F.col("location") != "", "onsite").otherwise("")},
+        island=r"""(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>""", pick='["openings"]'),
 }
 
 
 def landed(payload: DataFrame, shape: Shape) -> DataFrame:
     """``payload`` with its list as ``listed``, or why there is none as ``reason``: 'no body', 'not JSON' or 'no list'."""
-    doc = F.try_parse_json("body")
-    parsed = payload.withColumn("listed", F.try_variant_get(doc, shape.items, "array<variant>"))
+    body = F.regexp_extract("body", shape.island, 1) if shape.island else F.col("body")
+    doc = F.try_parse_json(text.decode_entities(body) if shape.escaped else body)
+    listed = F.try_variant_get(doc, shape.items, "array<variant>")
+    if shape.pick:
+        cached = F.filter(listed, lambda q: F.try_variant_get(q, "$.queryKey", "string") == shape.pick)
+        listed = F.try_variant_get(F.get(cached, F.lit(0)), "$.state.data", "array<variant>")
+    parsed = payload.withColumn("listed", listed)
     reason = F.when(F.col("listed").isNotNull(), None).when(F.trim(F.coalesce("body", F.lit(""))) == "", "no body").when(doc.isNull(), "not JSON").otherwise("no list")
     parsed = parsed.withColumn("reason", reason)
     return parsed if "origin" in payload.columns else parsed.withColumn("origin", F.lit(""))
