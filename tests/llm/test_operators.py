@@ -266,3 +266,34 @@ def test_substrings(frame, edges, empty):
         assert got == want(brute.substring(pairs))
     assert substring_dedup.dedup(edges).columns == edges.columns and substring_dedup.dedup(edges).count() == len(EDGES)
     assert substring_dedup.removed(empty).count() == 0
+
+
+def test_ties_lose_no_link_and_spare_what_one_set_or_a_size_sets_apart(spark):
+    import numpy as np
+    bounds, rng = jaccard_join.region_bounds(90), np.random.default_rng(5)
+    common = rng.integers(0, 2**63, 40).astype(np.uint64) * np.uint64(2)
+
+    def placing(sets):
+        return spark.createDataFrame([(int(np.int64(e.view(np.int64))), i, (len(x) << 32) + int(ends[np.searchsorted(ends, at, "right")])) for i, x in enumerate(sets)
+                                      for ends in [jaccard_join.region_ends(x, 90, bounds)] for at, e in enumerate(x[: ends[-1]])], "cell long, s1 long, extent long")
+
+    def drawn(n):
+        return rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    # a passage that all share ties none of them: each has enough elements of its own
+    apart = [np.unique(np.r_[drawn(400), common]) for _ in range(30)]
+    assert jaccard_join.ties(placing(apart), 90).count() == 0
+    # one element shared by all, no other in its place: sizes that cannot be linked are not tied
+    assert jaccard_join.ties(placing([np.unique(np.r_[common[:1], common[1:n]]) for n in (5, 10, 20, 40)]), 90).count() == 0
+    sets = list(apart)
+    for _ in range(120):
+        one = sets[int(rng.integers(len(sets)))]
+        sets.append(np.unique(np.r_[rng.permutation(one)[int(rng.integers(0, 25)):], drawn(int(rng.integers(0, 20))), common[: int(rng.integers(0, 20))]]))
+    roots = {r.node: r.root for r in jaccard_join.components(jaccard_join.ties(placing(sets), 90)).collect()}
+    pairs = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * inter >= 90 * (len(sets[i]) + len(sets[j]) - inter):
+                pairs += 1
+                assert roots.get(i, -1) == roots.get(j, -2)
+    assert pairs > 50

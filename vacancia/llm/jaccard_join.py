@@ -3,11 +3,13 @@
 Jaccard distance is a metric, but almost all documents lie at distance 1 from any pivot document, so regions around a
 bounded number of pivots would hold everything. The space is therefore cut twice.
 
-1. Cells. Shingles have one total order for the whole table: by how many documents hold a shingle, as far as a table of counts
-   of fixed size tells (``SLOT_BITS``), then by hash. Two linked sets share an element among the first ``n - ceil(percent * n / 100) + 1``
-   of each, whatever the order; a set is placed in the cell of each of these. Counting puts passages that many documents
-   share last, so that they tie few documents; wrong counts cost time, never links. Documents that share cells, directly or
-   through others, form a group, which is cut where the sizes of its sets leave a gap that no link bridges; linked documents are always in one group.
+1. Cells. Shingles have one total order for the whole table: by region of the hash, then by how many sets placed a shingle, counted
+   exactly, then by hash. Two linked sets share an element among the first ``n - ceil(percent * n / 100) + 1`` of each, whatever
+   the order. A set places only the elements of the first regions that hold so many (``region_ends``), so a part of all shingles is
+   counted, and of these, shingles that one set alone placed leave at once: a table of counts of fixed size (``SLOT_BITS``) spares many of
+   them the shuffle, the count by cell finds the rest. Sets of a cell tie to the least of them, cell by cell and
+   apart where sizes leave a gap that no link bridges. Sets that are tied, directly or through others, form a group, which is cut where the sizes of its sets leave a gap that no
+   link bridges; linked documents are always in one group.
 2. Pivots. Within a group distances spread, and the join is one of Voronoi regions: documents go to their nearest pivot
    and, if they lie within twice the radius of a farther one, into that region as well (triangle inequality).
    Members within the radius of a pivot are linked to it and need no comparison with each other. Regions join recursively until
@@ -20,7 +22,6 @@ Rows without doc_id take no part. Rows that share a doc_id share a class. Equal
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import cut_lineage
 from .common import BASES, Rolling, batches, mix, signed, windows, word_hashes
 
 SLOT_BITS = 24          # slots of the table of counts; 16 MB as levels, whatever the input
@@ -49,11 +50,27 @@ def slots(found: np.ndarray) -> np.ndarray:
     return (mix(found) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def prefix(n, percent: int):
+    """How many elements of a set of ``n``, the first in any one order, meet those of every linked set."""
+    return n + percent * n // -100 + 1
+
+
+def region_bounds(percent: int) -> np.ndarray:
+    """Upper bounds of the regions of the hash, each about twice as wide as the part of a set that is needed, three tenths at most."""
+    width = max(min(2 * (100 - percent), 30), 2)
+    return np.array([(at << 64) // 100 for at in range(width, 100, width)], np.uint64)
+
+
+def region_ends(found: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
+    """Where the first regions of a set (ascending) end, up to the one that completes its prefix."""
+    ends = np.r_[np.searchsorted(found, bounds), len(found)]
+    return ends[: np.searchsorted(ends, prefix(len(found), percent)) + 1]
+
+
 def cells(found: np.ndarray, percent: int, levels: np.ndarray) -> np.ndarray:
-    """The elements of a set (ascending) by which it can meet linked sets: the first in order of level and hash."""
-    n = len(found)
-    order = np.argsort(levels[slots(found)], kind="stable")
-    return found[order[: n + percent * n // -100 + 1]]
+    """The elements of a set (ascending) by which it can meet linked sets: those of its first regions, in order of level and hash."""
+    held = found[: region_ends(found, percent, region_bounds(percent))[-1]]
+    return held[np.argsort(levels[slots(held)], kind="stable")]
 
 
 def tally(field: np.ndarray):
@@ -66,17 +83,18 @@ def tally(field: np.ndarray):
             yield chunk, zlib.compress(steps.tobytes() + field[full[lo:hi]].tobytes(), 1)
 
 
-def outlines(size: int):
-    """One row per document, and for each task its tally of shingles by slot."""
+def outlines(size: int, percent: int):
+    """One row per document, and for each task its tally, by slot, of the shingles that documents place."""
     names = ["doc_id", "n_shingles", "s1", "s2", "chunk", "payload"]
 
     def run(iterator):
-        rolling, field = Rolling(BASES[0]), np.zeros(1 << SLOT_BITS, np.uint32)
+        rolling, field, bounds = Rolling(BASES[0]), np.zeros(1 << SLOT_BITS, np.uint32), region_bounds(percent)
         for batch in batches(iterator):
             rows = []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), size, rolling)
-                np.add.at(field, slots(found), np.uint32(1))
+                if len(found):
+                    np.add.at(field, slots(found[: region_ends(found, percent, bounds)[-1]]), np.uint32(1))
                 rows.append((len(found), *((np.sum(mix(found), dtype=np.uint64), np.sum(mix(found ^ np.uint64(BASES[1])), dtype=np.uint64)) if len(found) else (0, 0))))
             n, a, b = (np.array(x, np.uint64) for x in zip(*rows))
             none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.binary())]
@@ -110,16 +128,49 @@ def slot_levels(tallies: DataFrame) -> np.ndarray:
 
 
 def placed(size: int, percent: int, levels):
+    """(cell, s1, extent) of the elements that a set places, but those no other document holds; ``extent`` is the set's size and where the
+    element's region ends in it. A task places equal sets once as far as it remembers them."""
     def run(iterator):
-        rolling, table = Rolling(BASES[0]), levels.value
+        rolling, table, bounds, known = Rolling(BASES[0]), levels.value, region_bounds(percent), set()
         for batch in batches(iterator):
-            found = [shingles(text.as_py(), size, rolling) for text in batch.column("text")]
-            made = [cells(x, percent, table) if len(x) else x for x in found]
-            rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in made])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(signed(np.concatenate(made)))], names=["doc_id", "cell"])
+            made = []
+            for text in batch.column("text"):
+                found = shingles(text.as_py(), size, rolling)
+                s1 = np.sum(mix(found), dtype=np.uint64)
+                if not len(found) or int(s1) in known:
+                    continue
+                if len(known) >= 1 << 18:
+                    known.clear()
+                known.add(int(s1))
+                ends = region_ends(found, percent, bounds)
+                at = np.flatnonzero(table[slots(found[: ends[-1]])])
+                made.append((found[at], np.full(len(at), s1), (len(found) << 32) + ends[np.searchsorted(ends, at, "right")]))
+            if made:
+                cell, s1, extent = (np.concatenate(x) for x in zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cell)), pa.array(signed(s1)), pa.array(extent.astype(np.int64))], names=["cell", "s1", "extent"])
     return run
 
 
+def ties(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): ties between the sets, named by s1, that placed ``rows`` (cell, s1, extent). Linked sets are tied, directly or through others.
+
+    Elements alone in their cell come first in their region, and only their number is needed: what the region holds less what is shared of it.
+    """
+    c = F.col
+    mates = Window.partitionBy("cell")
+    shared = (rows.select("*", F.count("*").over(mates).alias("f"), F.min("s1").over(mates).alias("low"), F.max("s1").over(mates).alias("high"))
+              .filter("low < high").select("cell", "s1", "extent", "f"))
+    region = Window.partitionBy("s1", "extent")
+    ranked = shared.withColumn("k", F.dense_rank().over(region.orderBy("f", "cell"))).withColumn("m", F.max("k").over(region))
+    n, end = F.shiftright("extent", 32), c("extent").bitwiseAND(F.lit(0xFFFFFFFF))
+    first = n + F.floor(F.lit(-percent) * n / 100) + 1
+    kept = ranked.filter(end - c("m") + c("k") <= first).select("cell", "s1", n.alias("size"))
+    ordered = Window.partitionBy("cell").orderBy("size")
+    gap = (100 * F.lag("size").over(ordered) < percent * c("size")).cast("int")
+    runs = kept.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(ordered))
+    return runs.select(F.min("s1").over(Window.partitionBy("cell", "run")).alias("a"), c("s1").alias("b")).filter("a <> b").distinct()
+
+
 def filtered_sets(size: int, bits):
     """(doc_id, s1, set) of the documents whose bit is set; false positives go in the join that follows."""
     def run(iterator):
@@ -275,24 +326,16 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, at_once: int = 40
     given = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
     texts = given.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     noted = cut_lineage(given.withColumn("doc_id", F.col("doc_id").cast("long"))
-                        .mapInArrow(outlines(size), "doc_id long, n_shingles long, s1 long, s2 long, chunk int, payload binary"))
+                        .mapInArrow(outlines(size, percent), "doc_id long, n_shingles long, s1 long, s2 long, chunk int, payload binary"))
     outline = noted.filter("chunk is null").drop("chunk", "payload")
     levels = spark.sparkContext.broadcast(slot_levels(noted.filter("chunk is not null").select("chunk", "payload")))
     own = outline.filter("doc_id is not null and n_shingles > 0")
     # equal sets are one node, named by its least doc_id
     reps = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    named = own.join(reps, ["s1", "s2"]).select("doc_id", "rep").distinct()
-    # read twice below: a table in the shared folder spares reading the texts again
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/cells-{uuid.uuid4().hex}"
-    texts.mapInArrow(placed(size, percent, levels), "doc_id long, cell long").write.parquet(folder)
-    cell = spark.read.parquet(folder)
-    shared = cell.groupBy("cell").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").select("cell", "lead")
-    met = cell.join(shared, "cell").filter("doc_id <> lead").select("lead", "doc_id").distinct()
-    edges = (met.join(named.select(F.col("doc_id").alias("lead"), F.col("rep").alias("a")), "lead")
-             .join(named.select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b").filter("a <> b").distinct())
+    tied = components(ties(texts.mapInArrow(placed(size, percent, levels), "cell long, s1 long, extent long"), percent)).select(F.col("node").alias("s1"), F.col("root").alias("grp"))
     # rows that share a doc_id but not the text are told apart by s1
     named_sets = own.join(reps, ["s1", "s2"]).filter("doc_id = rep").select("rep", "s1", F.col("n_shingles").alias("size")).distinct()
-    groups = cut_lineage(by_size(components(edges).select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(named_sets, "rep"), percent))
+    groups = cut_lineage(by_size(tied.join(named_sets, "s1"), percent))
     bits = spark.sparkContext.broadcast(member_bits(groups))
     # the sets move twice, to their row of groups and to their group; a repeated row's sets are one
     sets = texts.mapInArrow(filtered_sets(size, bits), "doc_id long, s1 long, elements binary").withColumnRenamed("doc_id", "rep")
