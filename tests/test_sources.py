@@ -98,3 +98,12 @@ def test_islands(spark):
     assert [(r.url, r.title) for r in got] == [("/jobs/Careers/7", "A &amp; B")]
     text = '<script id="__NEXT_DATA__">{"props": {"pageProps": {"dehydratedState": {"queries": [{"queryKey": ["x"], "state": {"data": [{"openingId": 1, "title": "no"}]}}]}}}}</script>'
     assert [r.reason for r in shapes.rejected(body(spark, text), shapes.SHAPES["greetinghr"]).collect()] == ["no list"]
+
+
+def test_shapes_parse_a_body_once_and_read_a_path_once(spark):
+    page = '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"dehydratedState":{"queries":[{"queryKey":["openings"],"state":{"data":[{"openingId":7,"title":"Dev"},{"openingId":7,"title":"Again"},null]}}]}}}}</script>'
+    bodies = spark.createDataFrame([("Co", "https://x", page), ("No", "https://x", "<p>"), ("Null", "https://x", None)], "company string, origin string, body string").repartition(1)
+    out = shapes.postings(bodies, shapes.SHAPES["greetinghr"])
+    assert [(r.title, r.url, r.company, r.workMode) for r in out.collect()] == [("Dev", "https://x/o/7", "Co", "")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("NEXT_DATA") == plan.count("$.openingId") == plan.count("$.title") == 1

@@ -33,8 +33,12 @@ class Shape:
     pick: str = ""
 
 
-def _sql(template: str) -> str:
-    return re.sub(r"\{([^{}]+)\}", lambda m: f"trim(coalesce(try_variant_get(item, '$.{m[1]}', 'string'), ''))", template)
+_PATH = re.compile(r"\{([^{}]+)\}")
+
+
+def _texts(templates: list[str]) -> dict[str, str]:
+    """SQL of the text at each path that the templates name, by path; each is read once per item, however often it is named."""
+    return {path: f"trim(coalesce(try_variant_get(item, '$.{path}', 'string'), ''))" for path in dict.fromkeys(p for t in templates for p in _PATH.findall(t))}
 
 
 def _first_of(*options: str) -> str:
@@ -205,10 +209,14 @@ def _first_rows(rows: Column, unique: str) -> Column:
 
 def postings(payload: DataFrame, shape: Shape) -> DataFrame:
     """Postings of the bodies that could be read, one column per entry of the shape."""
-    made = ", ".join(f"'{name}', {_sql(sql)}" for name, sql in shape.columns.items())
+    texts = _texts(list(shape.columns.values()))
+    names = {path: f"item.f{i}" for i, path in enumerate(texts)}
+    read = ", ".join(f"'f{i}', {sql}" for i, sql in enumerate(texts.values()))
+    made = ", ".join(f"'{name}', {_PATH.sub(lambda m: names[m[1]], sql)}" for name, sql in shape.columns.items())
     need = " and ".join(f"r.{c} <> ''" for c in shape.need) or "true"
-    rows = F.expr(f"filter(transform(filter(listed, item -> not is_variant_null(item)), item -> named_struct({made})), r -> {need})")
+    rows = F.expr(f"filter(transform(transform(filter(listed, item -> not is_variant_null(item)), item -> named_struct({read})), item -> named_struct({made})), r -> {need})")
     if shape.unique:
         rows = let(rows, lambda r: _first_rows(r, shape.unique))
-    out = landed(payload, shape).filter("listed is not null").select(F.explode(rows).alias("r")).select("r.*")
+    # a list that is missing explodes to no row; a filter on it would parse every body twice
+    out = landed(payload, shape).select(F.explode(rows).alias("r")).select("r.*")
     return out.withColumns({n: f() for n, f in shape.finish.items()})
