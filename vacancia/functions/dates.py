@@ -1,18 +1,28 @@
 """Dates in the shapes feeds and trackers write them. "Now" is always a parameter."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from .patterns import let
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+# each format with the signs that a text must hold to fit it; a format that fails is dear, so only those that may fit are tried
 _TEXT_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss[.SSS][.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]", "yyyy-MM-dd HH:mm:ss 'UTC'",
-    "yyyy-MM-dd HH:mm:ss[.SSS]", "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd", "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd",
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSS][.SSSSSS]XXX", "-T:"), ("yyyy-MM-dd'T'HH:mm:ss[.SSS]", "-T:"), ("yyyy-MM-dd HH:mm:ss 'UTC'", "- :U"),
+    ("yyyy-MM-dd HH:mm:ss[.SSS]", "- :"), ("yyyy-MM-dd'T'HH:mmXXX", "-T:"), ("yyyy-MM-dd", "-"), ("d MMM yyyy HH:mm:ss Z", " :+"),
+    ("d MMM yyyy HH:mm:ss z", " :"), ("d MMM yyyy", " "), ("MMM d, yyyy", " ,"), ("MMMM d, yyyy", " ,"), ("yyyy/MM/dd", "/"),
 ]
 
 
+def _may_fit(s: Column, signs: str) -> Column:
+    """Whether the text holds all ``signs``; letters in either case, and a plus stands for the sign of an offset."""
+    other = {"+": "-", "T": "t", "U": "u"}
+    tests = [F.contains(s, F.lit(x)) | F.contains(s, F.lit(other[x])) if x in other else F.contains(s, F.lit(x)) for x in signs]
+    return reduce(lambda a, b: a & b, tests)
+
+
 def epoch_instant(n: Column) -> Column:
     """Seconds below 1e12, milliseconds from there on."""
     return F.timestamp_millis(F.when(n < 1e12, n * 1000).otherwise(n).cast("long"))
@@ -21,7 +31,7 @@ def epoch_instant(n: Column) -> Column:
 def any_instant(text: Column) -> Column:
     """Timestamp of a date text or digit run; NULL when it reads as neither."""
     def read(s: Column) -> Column:
-        tried = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in _TEXT_FORMATS])
+        tried = F.coalesce(*[F.when(_may_fit(s, signs), F.try_to_timestamp(s, F.lit(f))) for f, signs in _TEXT_FORMATS])
         return F.when(F.rlike(s, F.lit(r"^\d{10,13}$")), epoch_instant(s.try_cast("double"))).otherwise(tried)
 
     # the weekday of mail dates carries nothing

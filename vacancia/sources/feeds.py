@@ -182,8 +182,10 @@ REMOTE_JOB_TITLE = r"(?i)^(.*?) is hiring (?:an? )?(.*?)\s*\(Remote Job\)\.?$"
 
 def rss_feed(payload: DataFrame, title_pattern: str = HIRING_TITLE, always_remote: bool = False) -> DataFrame:
     """RSS items; company, role, place and remote hint come out of the title, which is kept when it does not fit."""
-    items = blocks(payload, r"(?s)<item>(.*?)</item>").select(
-        tag(F.col("block"), "link").alias("url"), tag(F.col("block"), "title").alias("raw"), tag(F.col("block"), "pubDate").alias("published"))
+    # read inside the list, so that the filter on url and title does not read them once more
+    read = lambda block: F.struct(tag(block, "link").alias("url"), tag(block, "title").alias("raw"), tag(block, "pubDate").alias("published"))
+    found = F.regexp_extract_all("body", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
+    items = payload.select(F.explode(F.transform(found, read)).alias("item")).select("item.*")
     raw, fits = F.col("raw"), F.rlike("raw", F.lit(title_pattern))
 
     def part(i: int) -> Column:
@@ -239,9 +241,12 @@ def slug_posting(url: Column) -> dict[str, Column]:
 
 def sitemap_postings(payload: DataFrame) -> DataFrame:
     """Postings named by the addresses of a sitemap, with the entry's last change."""
-    entries = payload.select(F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1))).alias("block"))
-    located = entries.select(tag(F.col("block"), "loc").alias("url"), dates.iso_instant(tag(F.col("block"), "lastmod")).alias("postedDate"))
-    return located.filter(F.rlike("url", F.lit("(?i)-at-"))).withColumns(slug_posting(F.col("url"))).dropDuplicates(["url"])
+    # read inside the list, so that the filter on the address does not read it once more
+    read = lambda block: F.struct(tag(block, "loc").alias("url"), dates.iso_instant(tag(block, "lastmod")).alias("postedDate"))
+    entries = F.transform(F.regexp_extract_all("body", F.lit(r"(?s)<url>(.*?)</url>"), F.lit(1)), read)
+    located = payload.select(F.explode(entries).alias("entry")).select("entry.*")
+    # the slug's parts follow from the address, so they are read once per address
+    return located.filter(F.rlike("url", F.lit("(?i)-at-"))).dropDuplicates(["url"]).withColumns(slug_posting(F.col("url")))
 
 
 def dated_slug_title(url: Column) -> Column:
