@@ -154,35 +154,53 @@ def weekly_activity(stream: DataFrame, at: str, watermark: str = "7 days") -> Da
 
 
 def repost_windows(stream: DataFrame, at: str = "postedDate", days: int = 90, slide: int = 30, watermark: str = "1 day") -> DataFrame:
-    """Postings per employer, folded title and sliding window of ``days``. All postings count, and windows start every ``slide`` days; for reposts see :func:`reposts`."""
+    """Postings per employer, folded title and sliding window of ``days``. All postings count, and windows start every ``slide`` days; for reposts see :func:`reposts`.
+
+    Counts lie in RocksDB, not in the executors' heap: three windows of every role are more than it holds."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return (stream.withColumn("role_key", fold(F.col("title"))).withWatermark(at, watermark)
             .groupBy("company", "role_key", F.window(at, f"{days} days", f"{slide} days").alias("span")).agg(F.count("*").alias("n")))
 
 
 class _Reposts(StatefulProcessor):
-    """Postings of one role per url and day. Every day is kept, so that rows may come late, out of order or in parts."""
+    """Postings of the roles of one bucket per url and day. Every day is kept, so that rows may come late, out of order or in parts.
+
+    State is one entry per role, read and written in one call each, and only for the roles that a micro-batch names; a bucket of
+    roles goes through one call of Python.
+    """
 
     def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "day long, url string", "n long")
+        self.seen = handle.getMapState("seen", "company string, role_key string", "days array<long>, marks array<string>, counts array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        # an empty url stands for none: keys of the state are never null
-        known, fresh = {(day, url): n for (day, url), (n,) in self.seen.iterator()}, set()
+        # an empty mark stands for no company or no url: keys of the state are never null
+        roles: dict = {}
         for batch in rows:
-            for at in zip(batch["number"], batch["mark"]):
-                at = (int(at[0]), at[1])
-                known[at] = known.get(at, 0) + 1
-                fresh.add(at)
-        for at in fresh:
-            self.seen.updateValue(at, (known[at],))
-        yield from self.counted(key, known, fresh)
-
-    def counted(self, key, known, fresh) -> Iterator[pd.DataFrame]:
+            for company, role, day, url in zip(batch["company"], batch["role_key"], batch["number"], batch["mark"]):
+                role, at = roles.setdefault((company, role), {}), (int(day), url)
+                role[at] = role.get(at, 0) + 1
+        out: list = []
+        while roles:
+            role, fresh = roles.popitem()
+            held = self.seen.getValue(role)
+            known = {(day, url): n for day, url, n in zip(*held)} if held else {}
+            for at, n in fresh.items():
+                known[at] = known.get(at, 0) + n
+            self.seen.updateValue(role, ([day for day, _ in known], [url for _, url in known], list(known.values())))
+            for row in self.counted((role[0][1:] if role[0] else None, role[1]), known, fresh):
+                out.append(row)
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=_REPOST)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=_REPOST)
+
+    def counted(self, key, known, fresh) -> Iterator[tuple]:
         """The entries that ``fresh`` ones change, themselves included; urls that stand for none meet no other."""
-        order, held, out = sorted(known), {}, []
+        order, held = sorted(known), {}
         changed = sorted({day for day, _ in fresh})
         first = last = total = 0
         for day, url in order:
@@ -202,13 +220,8 @@ class _Reposts(StatefulProcessor):
             near = bisect.bisect_left(changed, day - self.days)
             if (day, url) in fresh or near < len(changed) and changed[near] < day:
                 whole = url and None not in key
-                out.append((*key, url[1:] if url else None, day, known[day, url], total - sum(held.get(url, {}).values()) if whole else 0,
-                            len(held) - (url in held) if whole else 0))
-            if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=_REPOST)
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=_REPOST)
+                yield (*key, url[1:] if url else None, day, known[day, url], total - sum(held.get(url, {}).values()) if whole else 0,
+                       len(held) - (url in held) if whole else 0)
 
     def close(self) -> None:
         pass
@@ -216,18 +229,21 @@ class _Reposts(StatefulProcessor):
 
 _REPOST = ["company", "role_key", "url", "number", "n", "reposts", "urls"]
 _NO_DAY = -(1 << 40)  # before every window
+BUCKETS = 16_384       # of roles; a bucket's rows of one micro-batch are held by one task
 
 
 def reposts(stream: DataFrame, at: str = "postedDate", days: int = 90) -> DataFrame:
     """Per employer, folded title, url and day: postings and distinct urls of the same role under another url in the ``days`` days before.
 
     The twin is ``snapshot.repost_counts``. An update holds the rows that a micro-batch changes; read the last one per
-    company, role_key, url and day. State holds one entry per role, url and day and is not bounded by a watermark, which would lose late rows.
+    company, role_key, url and day. State holds every url and day of a role and is not bounded by a watermark, which would lose late rows.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    marked = stream.select("company", fold(F.col("title")).alias("role_key"), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")).alias("mark"),
+    role = fold(F.col("title"))
+    marked = stream.select(F.pmod(F.xxhash64("company", role), F.lit(BUCKETS)).alias("bucket"), F.coalesce(F.concat(F.lit("c"), "company"), F.lit("")).alias("company"),
+                           role.alias("role_key"), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")).alias("mark"),
                            F.coalesce(F.unix_date(F.col(at).cast("date")).cast("long"), F.lit(_NO_DAY)).alias("number"))
-    out = marked.groupBy("company", "role_key").transformWithStateInPandas(
+    out = marked.groupBy("bucket").transformWithStateInPandas(
         _Reposts(days), "company string, role_key string, url string, number long, n long, reposts long, urls long", "Update", "None")
     day = F.when(F.col("number") > _NO_DAY, F.date_from_unix_date(F.col("number").cast("int")))
     return out.select("company", "role_key", "url", day.alias("day"), "n", "reposts", "urls")
