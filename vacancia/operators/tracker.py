@@ -7,7 +7,7 @@ from ..functions import names
 from ..functions.dates import strict_date
 from ..functions.numbers import first_number
 from ..functions.patterns import let
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from . import classify
 
 REPORT_NUMBER = r"\[(\d+)\]"
@@ -274,15 +274,17 @@ def best_role_url(apps: DataFrame, listed: DataFrame) -> DataFrame:
     """
     c = F.col
     rows = listed.select(names.board_key(c("company")).alias("co"), F.lower("title").alias("title"), "url", "lpos")
-    first = rows.groupBy("co").agg(F.min_by("url", "lpos").alias("url"))
-    titles = rows.groupBy("co", "title").agg(F.min(F.struct("lpos", "url")).alias("at"))
+    at, counts = F.struct("lpos", "url"), F.when(c("lpos").isNotNull(), F.struct("lpos", "url"))
+    titles = rows.groupBy("co", "title").agg(F.min(at).alias("at"), F.min(counts).alias("first"))
     wanted = apps.select("pos", names.board_key(c("company")).alias("co"), _role_words(c("role")).alias("words"))
     shapes = wanted.select("co", "words").distinct()
     counted = (shapes.select("co", "words", F.explode("words").alias("w"))
                .groupBy("co", "words", "w").agg(F.count("*").alias("times")))
-    asked = counted.groupBy("co").agg(F.array_sort(F.collect_set("w")).alias("asked"))
-    held = (titles.join(asked, "co").select("co", "at", F.filter("asked", lambda w: F.contains(c("title"), w)).alias("held"))
-            .filter(F.size("held") > 0).groupBy("co", "held").agg(F.min("at").alias("at")))
+    asked = shapes.select("co", F.explode_outer("words").alias("w")).groupBy("co").agg(F.array_sort(F.collect_set("w")).alias("asked"))
+    # the listed rows are read once: titles that hold the same wanted words are one, those that hold none included, for the first listed row
+    held = stored(titles.join(asked, "co").select("co", "at", "first", F.filter("asked", lambda w: F.contains(c("title"), w)).alias("held"))
+                  .groupBy("co", "held").agg(F.min("at").alias("at"), F.min("first").alias("first")))
+    first = held.groupBy("co").agg(F.min("first")["url"].alias("url"))
     scored = (held.select("co", "at", F.explode("held").alias("w")).join(counted, ["co", "w"])
               .groupBy("co", "words", "at").agg(F.sum("times").alias("hits"))
               .groupBy("co", "words").agg(F.min_by("at.url", F.struct((-c("hits")).alias("h"), c("at.lpos"))).alias("best")))
