@@ -6,7 +6,7 @@ pieces; no ids are built. Frequent short pre-tokens (the head, at most ``head``
 on the map side from a broadcast table of proven size, which also takes the hot keys away from the shuffle; all others are
 brought together by hash partitions of the pre-token. Longer ones (rules of dashes, runs of blanks) may be hot too and are
 salted over as many parts as the session shuffles into. The head only decides where a pre-token is joined, never the count.
-A task holds the pre-tokens of ``PIECE`` characters of a text and the codes of ``AT_ONCE`` pre-tokens at a time.
+A task holds the pre-tokens of ``TEXTS`` bytes of texts (of ``PIECE`` characters of a text as they are found) and the codes of ``AT_ONCE`` pre-tokens at a time.
 
 Null texts are empty and have no tokens. Repeated rows are counted row by row. Rows without doc_id are counted too. Other columns are ignored.
 Rows are numbered by task, so ``docs`` must come from a repeatable source such as a file scan.
@@ -27,7 +27,7 @@ from .common import batches
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD_BYTES = 32
-PIECE, AT_ONCE = 1 << 18, 2_000
+PIECE, AT_ONCE, TEXTS = 1 << 18, 2_000, 1 << 20
 _models: dict = {}
 
 
@@ -72,7 +72,7 @@ def cut(text: str, special: list[str], find) -> tuple[Counter, int]:
 def sampled(special):
     def run(iterator):
         find = regex.compile(PATTERN).findall
-        for batch in batches(iterator):
+        for batch in batches(iterator, TEXTS):
             seen = Counter()
             for text in batch.column("text"):
                 seen.update(cut(text.as_py(), special, find)[0])
@@ -90,7 +90,7 @@ def frequencies(special, head):
         from pyspark import TaskContext
         find, known = regex.compile(PATTERN).findall, head.value
         row = TaskContext.get().partitionId() << 40
-        for batch in batches(iterator):
+        for batch in batches(iterator, TEXTS):
             rows, size, piece, times, of = [], [], [], [], []
             for at, text in enumerate(batch.column("text")):
                 text = text.as_py()
