@@ -6,8 +6,9 @@ bounded number of pivots would hold everything. The space is therefore cut twice
 1. Cells. Shingles have one total order for the whole table: by region of the hash, then by how many sets placed a shingle, counted
    exactly, then by hash. Two linked sets share an element among the first ``n - ceil(percent * n / 100) + 1`` of each, whatever
    the order. A set places only the elements of the first regions that hold so many (``region_ends``), so a part of all shingles is
-   counted, and of these, shingles that one set alone placed leave at once: a table of counts of fixed size (``SLOT_BITS``) spares many of
-   them the shuffle, the count by cell finds the rest. Sets of a cell tie to the least of them, cell by cell and
+   shuffled and counted, and of these, shingles that one set alone placed leave at once. What is shuffled is in proportion to the input. On request
+   (``sparing``) a table of counts of fixed size (``SLOT_BITS``) spares many of those that are alone the shuffle; it fills up from some ten million
+   of them on, so that a large input gains nothing. Sets of a cell tie to the least of them, cell by cell and
    apart where sizes leave a gap that no link bridges. Sets that are tied, directly or through others, form a group, which is cut where the sizes of its sets leave a gap that no
    link bridges; linked documents are always in one group.
 2. Pivots. Within a group distances spread, and the join is one of Voronoi regions: documents go to their nearest pivot
@@ -83,25 +84,31 @@ def tally(field: np.ndarray):
             yield chunk, zlib.compress(steps.tobytes() + field[full[lo:hi]].tobytes(), 1)
 
 
-def outlines(size: int, percent: int):
-    """One row per document, and for each task its tally, by slot, of the shingles that documents place."""
-    names = ["doc_id", "n_shingles", "s1", "s2", "chunk", "payload"]
+def outlines(size: int):
+    """One row per document: the size of its set and two hashes of it."""
+    def run(iterator):
+        rolling = Rolling(BASES[0])
+        for batch in batches(iterator):
+            rows = []
+            for text in batch.column("text"):
+                found = shingles(text.as_py(), size, rolling)
+                rows.append((len(found), *((np.sum(mix(found), dtype=np.uint64), np.sum(mix(found ^ np.uint64(BASES[1])), dtype=np.uint64)) if len(found) else (0, 0))))
+            n, a, b = (np.array(x, np.uint64) for x in zip(*rows))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b))], names=["doc_id", "n_shingles", "s1", "s2"])
+    return run
 
+
+def tallies(size: int, percent: int):
+    """For each task its tally, by slot, of the shingles that documents place."""
     def run(iterator):
         rolling, field, bounds = Rolling(BASES[0]), np.zeros(1 << SLOT_BITS, np.uint32), region_bounds(percent)
         for batch in batches(iterator):
-            rows = []
             for text in batch.column("text"):
                 found = shingles(text.as_py(), size, rolling)
                 if len(found):
                     np.add.at(field, slots(found[: region_ends(found, percent, bounds)[-1]]), np.uint32(1))
-                rows.append((len(found), *((np.sum(mix(found), dtype=np.uint64), np.sum(mix(found ^ np.uint64(BASES[1])), dtype=np.uint64)) if len(found) else (0, 0))))
-            n, a, b = (np.array(x, np.uint64) for x in zip(*rows))
-            none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), *none], names=names)
         for chunk, payload in tally(field):
-            none = [pa.nulls(1, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.array([chunk], pa.int32()), pa.array([payload], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([payload], pa.binary())], names=["chunk", "payload"])
     return run
 
 
@@ -119,19 +126,19 @@ def merged(iterator):
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["chunk", "payload"])
 
 
-def slot_levels(tallies: DataFrame) -> np.ndarray:
+def slot_levels(rows: DataFrame) -> np.ndarray:
     """The level of each slot; at most ``1 << SLOT_BITS`` bytes reach the driver."""
     levels = np.zeros(1 << SLOT_BITS, np.uint8)
-    for row in tallies.repartition("chunk").mapInArrow(merged, "chunk int, payload binary").collect():
+    for row in rows.repartition("chunk").mapInArrow(merged, "chunk int, payload binary").collect():
         levels[row["chunk"] << CHUNK_BITS: (row["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(row["payload"]), np.uint8)
     return levels
 
 
-def placed(size: int, percent: int, levels):
-    """(cell, s1, extent) of the elements that a set places, but those no other document holds; ``extent`` is the set's size and where the
-    element's region ends in it. A task places equal sets once as far as it remembers them."""
+def placed(size: int, percent: int, levels=None):
+    """(cell, s1, extent) of the elements that a set places, with ``levels`` but those it knows to be alone; ``extent`` is the set's size and where
+    the element's region ends in it. A task places equal sets once as far as it remembers them."""
     def run(iterator):
-        rolling, table, bounds, known = Rolling(BASES[0]), levels.value, region_bounds(percent), set()
+        rolling, table, bounds, known = Rolling(BASES[0]), levels and levels.value, region_bounds(percent), set()
         for batch in batches(iterator):
             made = []
             for text in batch.column("text"):
@@ -143,7 +150,7 @@ def placed(size: int, percent: int, levels):
                     known.clear()
                 known.add(int(s1))
                 ends = region_ends(found, percent, bounds)
-                at = np.flatnonzero(table[slots(found[: ends[-1]])])
+                at = np.arange(ends[-1]) if table is None else np.flatnonzero(table[slots(found[: ends[-1]])])
                 made.append((found[at], np.full(len(at), s1), (len(found) << 32) + ends[np.searchsorted(ends, at, "right")]))
             if made:
                 cell, s1, extent = (np.concatenate(x) for x in zip(*made))
@@ -152,7 +159,7 @@ def placed(size: int, percent: int, levels):
 
 
 def ties(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): ties between the sets, named by s1, that placed ``rows`` (cell, s1, extent). Linked sets are tied, directly or through others.
+    """(a, b): ties between the sets, named by s1, that placed ``rows`` (cell, s1, extent). Linked sets are tied, directly or through others. A tie may come repeatedly.
 
     Elements alone in their cell come first in their region, and only their number is needed: what the region holds less what is shared of it.
     """
@@ -168,7 +175,7 @@ def ties(rows: DataFrame, percent: int) -> DataFrame:
     ordered = Window.partitionBy("cell").orderBy("size")
     gap = (100 * F.lag("size").over(ordered) < percent * c("size")).cast("int")
     runs = kept.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(ordered))
-    return runs.select(F.min("s1").over(Window.partitionBy("cell", "run")).alias("a"), c("s1").alias("b")).filter("a <> b").distinct()
+    return runs.select(F.min("s1").over(Window.partitionBy("cell", "run")).alias("a"), c("s1").alias("b")).filter("a <> b")
 
 
 def filtered_sets(size: int, bits):
@@ -302,49 +309,55 @@ def chunk_join(percent: int):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): least node of each component of the edges (a, b), by alternating large and small stars.
 
-    Raises if ``rounds`` do not suffice; they are logarithmic in the longest path.
+    Raises if ``rounds`` do not suffice; they are logarithmic in the longest path. ``open`` marks what a round has changed; a round that changes
+    nothing is the last. A node may have any number of higher neighbours: they meet its least one in a join.
     """
-    pairs = cut_lineage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct())
+    c = F.col
+
+    def both(first, second):
+        return F.explode(F.array(F.struct(*first), F.struct(*second))).alias("e")
+
+    pairs = cut_lineage(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct().withColumn("open", F.lit(True)))
     for _ in range(rounds):
-        roles = pairs.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-            pairs.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty():
-            stars = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-            return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-        both = pairs.unionByName(pairs.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "near")
-        least = both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.filter("near > node").join(least, "node").select(F.col("near").alias("hi"), F.col("m").alias("lo")).distinct()
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(lowest, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).filter("hi > lo")
-        pairs = cut_lineage(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
+        if pairs.filter("open").isEmpty():
+            stars = pairs.select(c("hi").alias("node"), c("lo").alias("root"))
+            return stars.unionByName(stars.select(c("root").alias("node"), "root").distinct())
+        near = pairs.select(both((c("hi").alias("node"), c("lo").alias("near")), (c("lo").alias("node"), c("hi").alias("near")))).select("e.*")
+        least = near.groupBy("node").agg(F.min("near").alias("m"))
+        large = pairs.join(least, c("lo") == c("node")).select("hi", F.least("lo", "m").alias("to"), (c("m") < c("lo")).alias("moved"))
+        own = Window.partitionBy("hi")
+        small = large.select("hi", "to", F.min("to").over(own).alias("m"), F.max("to").over(own).alias("most"), F.max("moved").over(own).alias("moved"))
+        changed = (c("moved") | (c("m") < c("most"))).alias("open")
+        made = small.select(both((c("hi"), c("m").alias("lo"), changed), (c("to").alias("hi"), c("m").alias("lo"), changed))).select("e.*").filter("hi > lo")
+        pairs = cut_lineage(made.groupBy("hi", "lo").agg(F.max("open").alias("open")))
     raise RuntimeError("components are not settled")
 
 
-def classes(docs: DataFrame, size: int = 3, percent: int = 90, at_once: int = 4000, pivots: int = 32, chunk: int = 2000) -> DataFrame:
+def classes(docs: DataFrame, size: int = 3, percent: int = 90, at_once: int = 4000, pivots: int = 32, chunk: int = 2000, sparing: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
-    given = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
-    texts = given.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    noted = cut_lineage(given.withColumn("doc_id", F.col("doc_id").cast("long"))
-                        .mapInArrow(outlines(size, percent), "doc_id long, n_shingles long, s1 long, s2 long, chunk int, payload binary"))
-    outline = noted.filter("chunk is null").drop("chunk", "payload")
-    levels = spark.sparkContext.broadcast(slot_levels(noted.filter("chunk is not null").select("chunk", "payload")))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text"))
+    texts = given.filter("doc_id is not null")
+    outline = cut_lineage(given.mapInArrow(outlines(size), "doc_id long, n_shingles long, s1 long, s2 long"))
+    levels = spark.sparkContext.broadcast(slot_levels(texts.mapInArrow(tallies(size, percent), "chunk int, payload binary"))) if sparing else None
     own = outline.filter("doc_id is not null and n_shingles > 0")
-    # equal sets are one node, named by its least doc_id
-    reps = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # equal sets are one node, named by its least doc_id; rows that share a doc_id but not the text are told apart by s1
+    reps = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
     tied = components(ties(texts.mapInArrow(placed(size, percent, levels), "cell long, s1 long, extent long"), percent)).select(F.col("node").alias("s1"), F.col("root").alias("grp"))
-    # rows that share a doc_id but not the text are told apart by s1
-    named_sets = own.join(reps, ["s1", "s2"]).filter("doc_id = rep").select("rep", "s1", F.col("n_shingles").alias("size")).distinct()
-    groups = cut_lineage(by_size(tied.join(named_sets, "s1"), percent))
-    bits = spark.sparkContext.broadcast(member_bits(groups))
-    # the sets move twice, to their row of groups and to their group; a repeated row's sets are one
-    sets = texts.mapInArrow(filtered_sets(size, bits), "doc_id long, s1 long, elements binary").withColumnRenamed("doc_id", "rep")
-    members = sets.groupBy("rep", "s1").agg(F.first("elements").alias("elements")).join(groups.select("rep", "s1", "grp", "n"), ["rep", "s1"])
-    links = members.filter(F.col("n") <= at_once).groupBy("grp").applyInPandas(at_once_join(percent), "rep long, other long")
-    if not groups.filter(F.col("n") > at_once).isEmpty():
-        links = links.unionByName(spread_links(cut_lineage(members.filter(F.col("n") > at_once)), percent, pivots, chunk))
-    same_doc = own.join(reps, ["s1", "s2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    settled = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(same_doc).distinct())
+    groups = cut_lineage(by_size(cut_lineage(tied.join(reps, "s1").select("rep", "s1", "size", "grp")), percent))
+
+    def members(some: DataFrame) -> DataFrame:
+        """The sets of ``some`` rows of groups. They move twice, to their row and to their group; a repeated row's sets are one."""
+        bits = spark.sparkContext.broadcast(member_bits(some))
+        sets = texts.mapInArrow(filtered_sets(size, bits), "doc_id long, s1 long, elements binary").withColumnRenamed("doc_id", "rep")
+        return sets.groupBy("rep", "s1").agg(F.first("elements").alias("elements")).join(some.select("rep", "s1", "grp", "n"), ["rep", "s1"])
+
+    few, many = groups.filter(F.col("n") <= at_once), groups.filter(F.col("n") > at_once)
+    links = members(few).groupBy("grp").applyInPandas(at_once_join(percent), "rep long, other long")
+    if not many.isEmpty():
+        links = links.unionByName(spread_links(cut_lineage(members(many)), percent, pivots, chunk))
+    same_doc = own.join(reps.drop("size"), ["s1", "s2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    settled = components(links.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(same_doc))
     least = settled.select(F.col("node").alias("doc_id"), F.col("root").alias("least"))
     return outline.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -354,15 +367,13 @@ def by_size(groups: DataFrame, percent: int) -> DataFrame:
 
     Linked sets differ in size by at most 100 / ``percent``. ``n`` is the members of a group, or a thousandth of their elements if that is more.
     """
-    sizes = groups.select("grp", "size").distinct()
-    ordered = Window.partitionBy("grp").orderBy("size")
+    sizes = groups.groupBy("grp", "size").agg(F.count("*").alias("own"), F.min("rep").alias("rep"))
+    ordered, part = Window.partitionBy("grp").orderBy("size"), Window.partitionBy("grp", "part")
     gap = (100 * F.lag("size").over(ordered) < percent * F.col("size")).cast("int")
-    steps = sizes.withColumn("gap", F.coalesce(gap, F.lit(0)))
-    parts = steps.select("grp", "size", F.sum("gap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
-    placed_sets = groups.join(parts, ["grp", "size"])
-    counted = placed_sets.groupBy("grp", "part").agg(F.min("rep").alias("least"), F.count("*").alias("members"), F.sum("size").alias("elements")).filter("members > 1")
+    steps = sizes.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("part", F.sum("gap").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = steps.select("grp", "size", F.min("rep").over(part).alias("least"), F.sum("own").over(part).alias("members"), F.sum(F.col("own") * F.col("size")).over(part).alias("elements"))
     n = F.greatest(F.col("members"), F.col("elements") / 1000).cast("long")
-    return placed_sets.join(counted, ["grp", "part"]).select("rep", "s1", F.col("least").alias("grp"), n.alias("n"))
+    return groups.join(counted.filter("members > 1"), ["grp", "size"]).select("rep", "s1", F.col("least").alias("grp"), n.alias("n"))
 
 
 def member_bits(groups: DataFrame) -> np.ndarray:
