@@ -1,6 +1,7 @@
 """What the Jaccard join moves: in proportion to the input, in few stages."""
 import random
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from vacancia.llm import jaccard_join
@@ -38,5 +39,12 @@ def test_components_take_few_stages(spark):
     sc.setJobGroup("others", "others")
     assert got == {(i, 0) for i in range(41)} | {(100 + i, 100) for i in range(200)} | {(n, 300) for n in (300, 500, 501, 502)}
     stages = sum(len(tracker.getJobInfo(j).stageIds) for j in jobs)
-    print("stages", stages, "jobs", len(jobs))
     assert stages < 130
+
+
+def test_pipeline_step_sends_no_table_of_counts(spark, frame, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "slot_levels", None)
+    rows = texts(12)
+    rows += [(50, rows[3][1] + " more"), (None, rows[4][1]), (60, None)]
+    got = corpus_pipeline.near_duplicates(spark, frame(rows), "unused")
+    assert sorted(r.doc_id for r in got.collect()) == [*range(12), 60]
