@@ -28,16 +28,18 @@ from .common import batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEAD_BYTES = 32
 PIECE, AT_ONCE = 1 << 18, 2_000
-_models: dict = {}
 
 
 def model_of(path: str):
-    """The vocabulary, read once per process, on one thread."""
-    if path not in _models:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        _models[path] = Tokenizer.from_file(path)
-    return _models[path]
+    """The vocabulary, read once per process and state of its file, on one thread. Functions shipped by value get this module's
+    names anew in each task, so it is kept with the names of its library, which a worker imports once."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+    kept, at = vars(tokenizers).setdefault("_vacancia_models", {}), os.stat(path)
+    state = at.st_ino, at.st_mtime_ns, at.st_size
+    if path not in kept or kept[path][0] != state:
+        kept[path] = state, tokenizers.Tokenizer.from_file(path)
+    return kept[path][1]
 
 
 def lengths(model, words: list[str]) -> list[int]:
