@@ -3,7 +3,10 @@
 Jaccard distance is a metric, but almost all documents lie at distance 1 from any pivot document, so regions around a
 bounded number of pivots would hold everything. The space is therefore cut twice.
 
-1. Cells. Shingles have one total order for the whole table: by region of the hash, then by how many sets placed a shingle, counted
+1. Strips, from ``STRIPS_FROM`` percent on. The range of the hash is cut into more strips than two linked sets of a class of sizes can differ in elements, so some
+   strips hold the same elements of both, and a cell is all that a set has in a strip. Single shingles that many texts have in common tie nothing, so that the groups of
+   tied sets stay those of near copies, however many sets there are; by single shingles, groups of other sets grow together as the input grows.
+   Below that, and on request (``sparing``), cells are single shingles. Shingles have one total order for the whole table: by region of the hash, then by how many sets placed a shingle, counted
    exactly, then by hash. Two linked sets share an element among the first ``n - ceil(percent * n / 100) + 1`` of each, whatever
    the order. A set places only the elements of the first regions that hold so many (``region_ends``), so a part of all shingles is
    shuffled and counted, and of these, shingles that one set alone placed leave at once. What is shuffled is in proportion to the input. On request
@@ -22,6 +25,7 @@ Rows without doc_id take no part. Rows that share a doc_id share a class. Equal
 """
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 
@@ -35,6 +39,7 @@ from .common import BASES, Rolling, batches, mix, signed, windows, word_hashes
 
 SLOT_BITS = 24          # slots of the table of counts; 16 MB as levels, whatever the input
 CHUNK_BITS = 16         # slots that are merged together
+STRIPS_FROM = 90        # percent from which cells are strips; below, a strip holds too few elements
 FILTER_BITS = 1 << 24   # bits of the filter that spares documents outside all groups a shuffle; 2 MB, whatever the input
 
 
@@ -178,6 +183,75 @@ def ties(rows: DataFrame, percent: int) -> DataFrame:
     return runs.select(F.min("s1").over(Window.partitionBy("cell", "run")).alias("a"), c("s1").alias("b")).filter("a <> b")
 
 
+class Strips:
+    """How finely sets are cut: classes of sizes, each a third wider than the one before, and per class a number of strips.
+
+    Linked sets of ``a`` and ``b`` elements differ in ``(a + b) * (100 - percent) / (100 + percent)`` at most, ``apart`` in the class of the larger one, and each of these touches one strip. Of
+    ``apart + spare`` strips at least ``spare`` are alike. They share a cell, unless all of these are empty in both: a set with ``spare`` empty strips, one
+    in 100,000 at most, places its empty strips too. A set is placed in its own class and in those of larger sets that it may be linked to.
+    """
+
+    def __init__(self, percent: int):
+        self.percent, self.lows, self.cuts, low = percent, [], [], 1
+        while low < 1 << 31:
+            high = max(low + 1, low * 4 // 3)
+            apart = 2 * (high - 1) * (100 - percent) // (100 + percent)
+            spare = next((n for n in range(1, 200) if self._empty(apart + n, n, percent * low / 100) < 1e-5), 200)
+            self.lows.append(low)
+            self.cuts.append((apart, spare))
+            low = high
+
+    @staticmethod
+    def _empty(strips: int, n: int, size: float) -> float:
+        """At most how likely a set of ``size`` elements leaves ``n`` of its strips empty."""
+        ways = math.lgamma(strips + 1) - math.lgamma(n + 1) - math.lgamma(strips - n + 1)
+        return math.exp(min(ways + size * math.log1p(-n / strips), 0)) if n < strips else 0.0
+
+    def cells(self, found: np.ndarray) -> np.ndarray:
+        """The cells of a set (ascending). In a class where linked sets are equal there are none."""
+        made, mixed = [], mix(found ^ np.uint64(BASES[0]))
+        for at in range(bisect.bisect_right(self.lows, len(found)) - 1, len(self.lows)):
+            apart, spare = self.cuts[at]
+            if 100 * len(found) < self.percent * self.lows[at]:
+                break
+            if not apart:
+                continue
+            strip = ((found >> np.uint64(32)) * np.uint64(apart + spare)) >> np.uint64(32)
+            first = np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]])
+            name = np.uint64(at << 33)
+            made.append(mix(np.add.reduceat(mixed, first) + mix(name + strip[first])))
+            if apart + spare - len(first) >= spare:
+                made.append(mix(name + np.setdiff1d(np.arange(apart + spare, dtype=np.uint64), strip[first]) + np.uint64(1 << 32)))
+        return np.concatenate(made) if made else np.zeros(0, np.uint64)
+
+
+def stripped(size: int, percent: int):
+    """(cell, s1) of the strips of each set. A task places equal sets once as far as it remembers them."""
+    def run(iterator):
+        rolling, strips, known = Rolling(BASES[0]), Strips(percent), set()
+        for batch in batches(iterator):
+            made = []
+            for text in batch.column("text"):
+                found = shingles(text.as_py(), size, rolling)
+                s1 = np.sum(mix(found), dtype=np.uint64)
+                if not len(found) or int(s1) in known:
+                    continue
+                if len(known) >= 1 << 18:
+                    known.clear()
+                known.add(int(s1))
+                cell = strips.cells(found)
+                made.append((cell, np.full(len(cell), s1)))
+            if made:
+                cell, s1 = (np.concatenate(x) for x in zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cell)), pa.array(signed(s1))], names=["cell", "s1"])
+    return run
+
+
+def strip_ties(rows: DataFrame) -> DataFrame:
+    """(a, b): the sets of each cell of ``rows`` (cell, s1) tied to the least of them. A tie may come repeatedly."""
+    return rows.select(F.min("s1").over(Window.partitionBy("cell")).alias("a"), F.col("s1").alias("b")).filter("a <> b")
+
+
 def filtered_sets(size: int, bits):
     """(doc_id, s1, set) of the documents whose bit is set; false positives go in the join that follows."""
     def run(iterator):
@@ -343,7 +417,11 @@ def classes(docs: DataFrame, size: int = 3, percent: int = 90, at_once: int = 40
     own = outline.filter("doc_id is not null and n_shingles > 0")
     # equal sets are one node, named by its least doc_id; rows that share a doc_id but not the text are told apart by s1
     reps = own.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    tied = components(ties(texts.mapInArrow(placed(size, percent, levels), "cell long, s1 long, extent long"), percent)).select(F.col("node").alias("s1"), F.col("root").alias("grp"))
+    if percent < STRIPS_FROM or sparing:
+        pairs = ties(texts.mapInArrow(placed(size, percent, levels), "cell long, s1 long, extent long"), percent)
+    else:
+        pairs = strip_ties(texts.mapInArrow(stripped(size, percent), "cell long, s1 long"))
+    tied = components(pairs).select(F.col("node").alias("s1"), F.col("root").alias("grp"))
     groups = cut_lineage(by_size(cut_lineage(tied.join(reps, "s1").select("rep", "s1", "size", "grp")), percent))
 
     def members(some: DataFrame) -> DataFrame:
