@@ -51,3 +51,25 @@ def test_a_link_passes_on_one_row_per_task(spark, monkeypatch):
     monkeypatch.setattr(snapshot, "stored", lambda df: (seen.append(plan(df)), store(df))[1])
     snapshot.dedupe_counts(spark.createDataFrame(ROWS, SCHEMA), codes={"norway": "NO"}).collect()
     assert sum("WindowGroupLimit" in p for p in seen) == 1
+
+
+def test_only_shared_keys_of_winners_are_kept(spark, monkeypatch):
+    rows = [(1, "u1", "Acme", "A"), (2, "u1", "Acme", "B"), (3, "u3", "Acme", "B"), (4, "u4", "Acme", "C"), (5, "u5", "Acme", "A"), (6, "u5", "Acme", "D"), (6, "u5", "Acme", "D")]
+    made, store = [], snapshot.stored
+    monkeypatch.setattr(snapshot, "stored", lambda df: (made.append(store(df)), made[-1])[1])
+    got = snapshot.first_wins(spark.createDataFrame(rows, "seq long, url string, company string, title string"))
+    assert sorted(r.seq for r in got.collect()) == [1, 3, 4, 6, 6]
+    first = {r.seq: (r.won, r.url is None, r._pair is None) for r in made[1].collect()}
+    assert first[1] == (True, False, False) and first[4] == (True, True, True) and not first[2][0]
+
+
+def test_an_office_is_found_without_a_join(spark, tmp_path):
+    rows = [(1, "Acme", "A", "Oslo / Rome", None), (2, "acme", "a", "oslo / Paris", None), (3, "Acme", "B", None, None), (4, "", "A", "X", None), (5, "Acme", "C", "Bern", None), (5, "Acme", "D", "Ulm", None)]
+    df = spark.createDataFrame(rows, "seq long, company string, title string, location string, postedDate date")
+    want = {("A", "Oslo / Rome / Paris"), ("B", None), ("A", "X"), ("C", "Bern"), ("D", "Ulm")}
+    for given in (df, df.withColumn("seq", F.struct("seq", "title"))):
+        given.write.parquet(f"{tmp_path}/{len(given.schema['seq'].dataType.simpleString())}")
+        got = snapshot.merge_offices(spark.read.parquet(f"{tmp_path}/{len(given.schema['seq'].dataType.simpleString())}"))
+        planned = plan(got)
+        assert "WindowGroupLimit" in planned and planned.count("Join") <= 2
+        assert {(r.title, r.location) for r in got.collect()} == want
