@@ -67,7 +67,9 @@ def test_an_office_is_found_without_a_join(spark, tmp_path):
     rows = [(1, "Acme", "A", "Oslo / Rome", None), (2, "acme", "a", "oslo / Paris", None), (3, "Acme", "B", None, None), (4, "", "A", "X", None), (5, "Acme", "C", "Bern", None), (5, "Acme", "D", "Ulm", None)]
     df = spark.createDataFrame(rows, "seq long, company string, title string, location string, postedDate date")
     want = {("A", "Oslo / Rome / Paris"), ("B", None), ("A", "X"), ("C", "Bern"), ("D", "Ulm")}
-    for given in (df, df.withColumn("seq", F.struct("seq", "title"))):
+    # a row without an order lists no office
+    late = spark.createDataFrame([(None, "Acme", "A", "Bonn", None)], df.schema)
+    for given in (df.unionByName(late), df.withColumn("seq", F.struct("seq", "title"))):
         given.write.parquet(f"{tmp_path}/{len(given.schema['seq'].dataType.simpleString())}")
         got = snapshot.merge_offices(spark.read.parquet(f"{tmp_path}/{len(given.schema['seq'].dataType.simpleString())}"))
         planned = plan(got)
